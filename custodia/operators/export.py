@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custodia.functions.columns import MEASUREMENT_COLUMNS
 from custodia.operators.clinical import BLOOD_TEST
 from custodia.operators.cohort import cohort_has_null, stroke_cohort
-from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
+from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, find_hot_keys, salted_join
 
 # Leading columns of the public table, before the 32 measurement columns.
 PUBLIC_PREFIX = ("stroke", "patientId", "gender", "birthDate")
@@ -76,9 +76,12 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
         if null_ids == "strict":
             out = out.where((F.col("stroke") == 1) | ~cohort_has_null(cohort, key))
     elif plan == "two_branch":
-        joined = salted_join(facts, people, key, "inner", skew)
-        branch1 = salted_join(joined, ids, key, "left_semi", skew)
-        branch0 = salted_join(joined, ids, key, "left_anti", skew)
+        # One probe of the measurements serves all three joins: the joined
+        # rows per key never outnumber the measurement rows per key.
+        hot = find_hot_keys(facts, key, skew) if skew is not None else None
+        joined = salted_join(facts, people, key, "inner", skew, hot=hot)
+        branch1 = salted_join(joined, ids, key, "left_semi", skew, hot=hot)
+        branch0 = salted_join(joined, ids, key, "left_anti", skew, hot=hot)
         if null_ids == "strict":
             branch0 = branch0.where(~cohort_has_null(cohort, key))
         out = _public_projection(branch0, F.lit(0), key).unionByName(

@@ -5,26 +5,27 @@ rows (profiles, consent clauses, cohort ids). A single patient, source or
 test batch may hold a large share of all measurements, and a plain
 shuffle join then sends that share to one task.
 
-``salted_join`` finds the hot keys in one extra pre-aggregated pass over
-the fact's key column, spreads each hot key's fact rows over ``buckets``
-salts (a hash of the row, so a re-run after an executor loss assigns the
-same salt), and replicates only the hot keys' rows of the per-key side
-once per salt. Cold keys keep salt 0 and join as usual. The result is
-exactly the plain join: each fact row meets each matching per-key row
-once. The hot-key set is broadcast; its size is bounded by construction
-(a key is hot only if it holds at least 1/``max_hot`` of the rows, so at
-most ``max_hot`` keys qualify).
+``salted_join`` first probes the fact's key column for hot keys: one
+pre-aggregated pass (counts are combined map-side, so a hot key costs one
+partial count per task) that returns the largest keys above ``min_rows``
+rows, at most ``max_hot`` of them. With no hot
+key the plan is the plain join and Catalyst/AQE pick the strategy. With
+hot keys, only their fact rows are spread over ``buckets`` salts (a hash
+of the row, so a re-run after an executor loss assigns the same salt),
+and only their per-key rows are replicated once per salt. Cold keys keep
+salt 0. The result equals the plain join exactly: each fact row meets
+each matching per-key row once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALT = "_salt"
-_HOT = "_hot"
 _N = "_n"
 
 
@@ -33,9 +34,10 @@ class SkewPolicy:
     """How to guard a fact-to-key join against hot keys.
 
     buckets:  salts per hot key (tasks a hot key is split over).
-    max_hot:  a key is hot only with at least 1/max_hot of the rows; this
-              bounds the broadcast hot-key set to max_hot rows.
-    min_rows: and only with at least this many rows (one task's worth).
+    max_hot:  at most this many keys (the largest) are salted; any other
+              key is joined exactly without salt.
+    min_rows: a key is hot only with at least this many rows (about one
+              task's worth; below it a key cannot slow a stage down).
     """
 
     buckets: int = 32
@@ -51,45 +53,49 @@ DEFAULT_SKEW = SkewPolicy()
 
 
 def hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """Keys holding at least max(min_rows, total/max_hot) fact rows.
+    """The (at most ``max_hot``) largest keys with at least ``min_rows`` rows.
 
-    Counts are combined map-side before the shuffle, so a hot key costs one
-    partial count per task, never a group of rows in one task.
+    Lazily: one pre-aggregated count per key, then a per-task top-k merged
+    on the driver. Keys beyond the top ``max_hot`` are still joined exactly,
+    just unsalted.
     """
     counts = (fact.select(key).where(F.col(key).isNotNull())
               .groupBy(key).agg(F.count(F.lit(1)).alias(_N)))
-    total = counts.select(F.sum(_N)).scalar()
-    return counts.where(
-        (F.col(_N) >= F.lit(policy.min_rows)) & (F.col(_N) * F.lit(policy.max_hot) >= total)
-    ).select(key)
+    return (counts.where(F.col(_N) >= F.lit(policy.min_rows))
+            .orderBy(F.col(_N).desc()).limit(policy.max_hot).select(key))
+
+
+def find_hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> list:
+    """Run the hot-key probe; returns at most ``policy.max_hot`` key values."""
+    return [r[0] for r in hot_keys(fact, key, policy).collect()]
 
 
 def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
-                policy: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+                policy: SkewPolicy | None = DEFAULT_SKEW,
+                hot: Sequence | None = None) -> DataFrame:
     """``fact.join(keyed, key, how)`` with hot keys split over salts.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (the
-    fact side is preserved). ``policy=None`` gives the plain join.
+    fact side is preserved). ``policy=None`` gives the plain join. ``hot``
+    passes a known hot-key list (any superset of the real one is correct,
+    so a probe of a larger table can be reused); otherwise the probe runs
+    now, as one small job.
     """
     if policy is None or policy.buckets == 1:
         return fact.join(keyed, key, how)
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not preserve the fact side for {how!r}")
-    hot = F.broadcast(hot_keys(fact, key, policy).withColumn(_HOT, F.lit(True)))
+    if hot is None:
+        hot = find_hot_keys(fact, key, policy)
+    if not hot:
+        return fact.join(keyed, key, how)
+    is_hot = F.col(key).isin(list(hot))
     row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
-    salted_fact = (
-        fact.join(hot, key, "left")
-        .withColumn(SALT, F.when(F.col(_HOT), F.pmod(row_hash, F.lit(policy.buckets)))
-                    .otherwise(F.lit(0)).cast("int"))
-        .drop(_HOT)
-    )
-    replicas = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(policy.buckets - 1))) \
+    salted_fact = fact.withColumn(
+        SALT, F.when(is_hot, F.pmod(row_hash, F.lit(policy.buckets))).otherwise(F.lit(0)).cast("int"))
+    replicas = F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.buckets - 1))) \
         .otherwise(F.array(F.lit(0)))
-    salted_keyed = (
-        keyed.join(hot, key, "left")
-        .withColumn(SALT, F.explode(replicas))
-        .drop(_HOT)
-    )
+    salted_keyed = keyed.withColumn(SALT, F.explode(replicas))
     joined = salted_fact.join(salted_keyed, [key, SALT], how)
     # Same column order as the plain using-join: key, fact columns, keyed columns.
     out = [key] + [c for c in fact.columns if c != key]

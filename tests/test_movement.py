@@ -1,0 +1,66 @@
+import pytest
+from pyspark.sql import functions as F
+
+from custodia.operators import public_export
+from custodia.plans import MovementError, finish_movement, start_movement
+from custodia.sources.fixtures import blood_tests, patients_profiles
+
+from conftest import SF001
+
+
+def _rows(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def test_round_trip_equals_source_after_fill(spark, scratch):
+    export = public_export(blood_tests(spark, SF001), patients_profiles(spark, SF001))
+    staged = start_movement(export, f"{scratch}/staging")
+    assert staged.rows == export.count() and not staged.empty
+    done = finish_movement(spark, f"{scratch}/staging", f"{scratch}/target")
+    assert done.rows == staged.rows
+    expected = export.na.fill({"fibrinogen_value": 0.0})
+    assert _rows(spark.read.parquet(f"{scratch}/target")) == _rows(expected)
+
+
+def test_plain_append_is_not_idempotent_but_movement_id_is(spark, scratch):
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "patientId long, fibrinogen_value double")
+    start_movement(df, f"{scratch}/s")
+    finish_movement(spark, f"{scratch}/s", f"{scratch}/t_append")
+    finish_movement(spark, f"{scratch}/s", f"{scratch}/t_append")
+    assert spark.read.parquet(f"{scratch}/t_append").count() == 4
+    for _ in range(2):
+        finish_movement(spark, f"{scratch}/s", f"{scratch}/t_idem", movement_id="m1")
+    finish_movement(spark, f"{scratch}/s", f"{scratch}/t_idem", movement_id="m2")
+    t = spark.read.parquet(f"{scratch}/t_idem")
+    assert t.count() == 4
+    assert t.where(F.col("fibrinogen_value").isNull()).count() == 0
+
+
+def test_empty_staging_is_an_error(spark, scratch):
+    with pytest.raises(MovementError):
+        finish_movement(spark, f"{scratch}/nothing-here", f"{scratch}/t")
+    empty = spark.createDataFrame([], "patientId long, v double")
+    report = start_movement(empty, f"{scratch}/empty")
+    assert report.empty
+    with pytest.raises(MovementError):
+        finish_movement(spark, f"{scratch}/empty", f"{scratch}/t")
+
+
+def test_schema_clash_is_refused_before_append(spark, scratch):
+    spark.createDataFrame([(1, 1.0)], "patientId long, v double").write.parquet(f"{scratch}/t")
+    spark.createDataFrame([(2, "x")], "patientId long, v string").write.parquet(f"{scratch}/s")
+    with pytest.raises(MovementError):
+        finish_movement(spark, f"{scratch}/s", f"{scratch}/t")
+    assert spark.read.parquet(f"{scratch}/t").count() == 1
+
+
+def test_zero_column_result_is_refused(spark, scratch):
+    with pytest.raises(MovementError):
+        start_movement(spark.range(3).select(), f"{scratch}/z")
+
+
+def test_errorifexists_mode(spark, scratch):
+    df = spark.createDataFrame([(1,)], "patientId long")
+    start_movement(df, f"{scratch}/once", mode="errorifexists")
+    with pytest.raises(Exception):
+        start_movement(df, f"{scratch}/once", mode="errorifexists")
