@@ -83,11 +83,32 @@ def component_average(values: DataFrame, column: str, digits: int | None = None,
 def age_band_average(tests: DataFrame, profiles: DataFrame | None, component: str,
                      start_age: int, end_age: int, as_of: _dt.date | None = None,
                      zone: Zone = Zone.ON_PREM, digits: int | None = None,
-                     skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
-    """Average of a component over subjects in an age band."""
-    values = age_band_values(tests, profiles, component, start_age, end_age,
-                             as_of=as_of, zone=zone, skew=skew)
-    return component_average(values, component_column(component), digits=digits)
+                     key: str = "patientId", birth: str = "birthDate") -> DataFrame:
+    """Average of a component over subjects in an age band (one row,
+    ``value``; NULL when no value qualifies).
+
+    Outside the public zone the measurements are first reduced to one
+    (sum, count) per subject, combined map-side, so the join with the
+    band's subjects moves one row per subject instead of every measurement,
+    and a subject with a huge share of the rows costs one partial per task.
+    Joining partials and summing them equals the average over the joined
+    rows (a subject listed twice in the profiles counts twice, as in the
+    row-level join).
+    """
+    min_year, max_year = birth_years(start_age, end_age, as_of)
+    value = component_column(component)
+    if Zone.parse(zone) is Zone.PUBLIC:
+        values = tests.where(birth_year_filter(tests, birth, min_year, max_year))
+        return component_average(values, value, digits=digits)
+    if profiles is None:
+        raise ValueError("profiles are required outside the public zone")
+    partial = (tests.where(F.col(key).isNotNull()).groupBy(key)
+               .agg(F.sum(value).alias("_sum"), F.count(value).alias("_cnt")))
+    band = profiles.where(birth_year_filter(profiles, birth, min_year, max_year)).select(key)
+    avg = F.try_divide(F.sum("_sum"), F.sum("_cnt"))
+    if digits is not None:
+        avg = F.round(avg, digits)
+    return partial.join(band, key, "inner").agg(avg.alias("value"))
 
 
 def patient_details(profiles: DataFrame, social_id: str | None = None,
