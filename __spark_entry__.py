@@ -14,7 +14,6 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from custodia.functions.columns import COMPONENTS, MEASUREMENT_COLUMNS, NO_NORMAL_RANGE
 from custodia.model import GovernedPlan, Zone

@@ -55,3 +55,29 @@ def test_hot_key_is_spread_over_salts(fact, keyed):
 def test_superset_hot_list_is_still_exact(fact, keyed):
     salted = salted_join(fact, keyed, "k", "inner", HOT, hot=[7, 1, 2, 3, 999])
     assert _rows(salted) == _rows(fact.join(keyed, "k", "inner"))
+
+
+def test_hot_key_lands_in_several_tasks_of_a_shuffle_join(spark, fact, keyed):
+    """With broadcasts off (as for a large per-key side), the hot key's rows
+    are split over several reduce tasks instead of one."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    old_aqe = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    # toy data: keep AQE from merging all reduce partitions into one
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        def tasks_for_hot(df):
+            return (df.where(F.col("k") == 7).select(F.spark_partition_id().alias("p"))
+                    .distinct().count())
+        assert tasks_for_hot(fact.join(keyed, "k", "inner")) == 1
+        salted = salted_join(fact, keyed, "k", "inner", HOT)
+        assert "SortMergeJoin" in plan_text(salted) or "ShuffledHashJoin" in plan_text(salted)
+        assert tasks_for_hot(salted) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        if old_aqe is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
