@@ -2,10 +2,10 @@
 
 from custodia.plans.governed import governed_query, run_governed
 from custodia.plans.movement import (
-    MovementError, MovementReport, fill_present, finish_movement, start_movement,
+    MovementError, MovementReport, fill_present, finish_movement, stage_governed, start_movement,
 )
 
 __all__ = [
     "governed_query", "run_governed", "MovementError", "MovementReport",
-    "fill_present", "finish_movement", "start_movement",
+    "fill_present", "finish_movement", "stage_governed", "start_movement",
 ]

@@ -43,7 +43,10 @@ def run_governed(spark: SparkSession, plan: GovernedPlan | None, catalog: Catalo
     views = [_view_name(t) for t in plan.tables]
     if views.count(CLAUSES_VIEW) > 1:
         raise ValueError("a governed plan may reference one clauses table")
-    session = spark.newSession()
+    try:
+        session = spark.newSession()
+    except Exception:  # sessions that cannot spawn a child keep their own views
+        session = spark
     for table, view in zip(plan.tables, views):
         catalog.load(session, table, **dict(plan.write_options)).createOrReplaceTempView(view)
     result = session.sql(plan.sql, args=dict(args) if args else None)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from custodia.model import GovernedPlan
+
 # The reference fills this gap on ingest into the target zone.
 DEFAULT_FILL = {"fibrinogen_value": 0.0}
 MOVEMENT_COLUMN = "movement_id"
@@ -67,6 +69,17 @@ def start_movement(df: DataFrame, staging: str, options: Mapping[str, str] | Non
     return MovementReport(staging, _write_observed(df, write))
 
 
+def stage_governed(spark: SparkSession, plan: GovernedPlan | None, catalog,
+                   staging: str, args: Mapping[str, object] | None = None,
+                   subject: str | None = "patientId") -> MovementReport:
+    """Start a movement from a policy decision: run the governed plan and
+    stage its result with the plan's write options (e.g. encryption keys)."""
+    from custodia.plans.governed import run_governed
+
+    result = run_governed(spark, plan, catalog, args=args, subject=subject)
+    return start_movement(result, staging, options=plan.write_options)
+
+
 def _schema_of(spark: SparkSession, path: str, options: Mapping[str, str]) -> T.StructType | None:
     try:
         return spark.read.options(**options).parquet(path).schema

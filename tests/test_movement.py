@@ -64,3 +64,19 @@ def test_errorifexists_mode(spark, scratch):
     start_movement(df, f"{scratch}/once", mode="errorifexists")
     with pytest.raises(Exception):
         start_movement(df, f"{scratch}/once", mode="errorifexists")
+
+
+def test_stage_governed_applies_plan_write_options(spark, scratch):
+    import glob
+
+    from custodia.model import GovernedPlan
+    from custodia.plans import stage_governed
+    from custodia.sources.fixtures import fixture_catalog
+
+    plan = GovernedPlan("SELECT patientId, socialId FROM patientsProfiles", ("patientsProfiles",),
+                        write_options={"compression": "gzip"})
+    report = stage_governed(spark, plan, fixture_catalog(SF001), f"{scratch}/g")
+    assert report.rows == 150
+    assert glob.glob(f"{scratch}/g/*.gz.parquet")
+    with pytest.raises(PermissionError):
+        stage_governed(spark, None, fixture_catalog(SF001), f"{scratch}/h")
