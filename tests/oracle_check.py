@@ -42,6 +42,15 @@ def digest(columns, rows) -> str:
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                  "DATE": "date", "BOOLEAN": "boolean", "SMALLINT": "smallint", "FLOAT": "float"}
+
+
+def duck_types(con, sql):
+    rel = con.sql(sql)
+    return {c: _DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+
+
 def compare(spark, name, fn, sql, sf_dir, con):
     df = fn(spark, sf_dir)
     s_cols = df.columns
@@ -55,8 +64,13 @@ def compare(spark, name, fn, sql, sf_dir, con):
     d_rows = rel.fetchall()
     out["oracle_rows"] = len(d_rows)
     out["columns_match"] = sorted(s_cols) == sorted(d_cols)
+    d_types = duck_types(con, sql)
+    type_diff = {c: (t, d_types.get(c)) for c, t in df.dtypes if d_types.get(c) != t}
+    out["types_match"] = not type_diff
+    if type_diff:
+        out["type_diff"] = type_diff
     out["hash_match"] = digest(s_cols, s_rows) == digest(d_cols, d_rows)
-    out["status"] = "ok" if (out["columns_match"] and out["hash_match"]
+    out["status"] = "ok" if (out["columns_match"] and out["hash_match"] and out["types_match"]
                              and len(s_rows) == len(d_rows)) else "MISMATCH"
     if not out["columns_match"]:
         out["cols"] = (sorted(s_cols), sorted(d_cols))
