@@ -26,7 +26,7 @@ spark.sparkContext.setLogLevel("OFF")
 @F.udf(T.BooleanType())
 def fail_first_attempt(k):
     ctx = TaskContext.get()
-    if ctx.partitionId() == 0 and ctx.attemptNumber() == 0 and ctx.stageAttemptNumber() == 0:
+    if ctx.partitionId() == 0 and ctx.attemptNumber() == 0:
         with open(MARKER, "a") as fh:
             fh.write("failed once\n")
         raise RuntimeError("injected executor failure")
