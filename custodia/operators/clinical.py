@@ -13,7 +13,7 @@ from custodia.functions.columns import NUTRITIONAL_COLUMNS, PROFILE_COLUMNS, com
 from custodia.functions.predicates import birth_year_filter, years_before
 from custodia.functions.pseudonyms import pseudonym_of
 from custodia.model import Zone
-from custodia.operators.cohort import stroke_cohort
+from custodia.operators.cohort import cohort_and_hot_keys
 from custodia.operators.rows import drop_denied_rows
 from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
 
@@ -163,12 +163,13 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
     else:
         if profiles is None:
             raise ValueError("profiles are required outside the public zone")
-        cohort = stroke_cohort(tests, key).where(F.col(key).isNotNull())
+        cohort, hot = cohort_and_hot_keys(tests, F.col("category") == BLOOD_TEST, key, skew)
+        cohort = cohort.where(F.col(key).isNotNull())
         wanted = [c for c in profiles.columns if c in columns and c != key]
         patients = profiles.select(key, *wanted).join(cohort, key, "left_semi")
         keep = [c for c in facts.columns if c in columns or c == key
                 or (order_by and c in ([order_by] if isinstance(order_by, str) else order_by))]
-        df = salted_join(facts.select(*keep), patients, key, "inner", skew)
+        df = salted_join(facts.select(*keep), patients, key, "inner", skew, hot=hot)
     if limit is not None:
         if order_by is not None:
             df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.model import Zone
-from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
+from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join, top_keys
 
 
 def stroke_cohort(tests: DataFrame, key: str = "patientId", flag: str = "stroke") -> DataFrame:
@@ -19,6 +19,39 @@ def stroke_cohort(tests: DataFrame, key: str = "patientId", flag: str = "stroke"
     return tests.where(F.col(flag) == 1).select(key).distinct()
 
 
+def subject_stats(tests: DataFrame, counted: Column | None = None, key: str = "patientId",
+                  flag: str = "stroke") -> DataFrame:
+    """One row per subject id (NULL included): ``_n`` rows matching
+    ``counted`` (all rows when None) and ``_in_cohort`` (1 when any row has
+    ``flag = 1``). One pass with map-side partial aggregation serves both the
+    hot-key probe of a later join and the cohort."""
+    n = F.count(F.lit(1)) if counted is None else F.count(F.when(counted, F.lit(1)))
+    return tests.groupBy(key).agg(
+        n.alias("_n"),
+        F.max(F.when(F.col(flag) == 1, F.lit(1)).otherwise(F.lit(0))).alias("_in_cohort"))
+
+
+def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
+                        skew: SkewPolicy | None):
+    """(cohort ids incl. a NULL id if flagged, hot keys or None).
+
+    Without a skew policy the cohort stays a lazy ``distinct`` of the flagged
+    rows. With one, the per-subject statistics are computed once and cut
+    from their lineage with a reliable checkpoint (in the shared
+    ``spark.checkpoint.dir``; its size grows with subjects, not rows), then
+    read by both the probe and the cohort, so the measurement keys are
+    scanned once instead of twice.
+    """
+    if skew is None:
+        return stroke_cohort(tests, key), None
+    from custodia.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(tests.sparkSession)
+    stats = subject_stats(tests, counted, key).checkpoint(eager=True)
+    hot = [r[0] for r in top_keys(stats, key, "_n", skew).collect()]
+    return stats.where(F.col("_in_cohort") == 1).select(key), hot
+
+
 def in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
               skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
     """Rows whose subject is in the cohort (``key IN (cohort)``); NULL ids

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from custodia.functions.columns import MEASUREMENT_COLUMNS
 from custodia.operators.clinical import BLOOD_TEST
-from custodia.operators.cohort import cohort_has_null, stroke_cohort
-from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, find_hot_keys, salted_join
+from custodia.operators.cohort import cohort_and_hot_keys, cohort_has_null
+from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
 
 # Leading columns of the public table, before the 32 measurement columns.
 PUBLIC_PREFIX = ("stroke", "patientId", "gender", "birthDate")
@@ -60,25 +60,27 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     The export keeps gender, birth year and exact dates, so small groups
     may stay re-identifiable; see ``quasi_identifier_groups``.
     """
+    if null_ids not in ("ignore", "strict"):
+        raise ValueError("null_ids must be 'ignore' or 'strict'")
     cond = _as_condition(where)
-    facts = tests.where(F.col("category") == BLOOD_TEST)
+    exported = F.col("category") == BLOOD_TEST
     if cond is not None:
-        facts = facts.where(cond)
-    facts = facts.select(key, *MEASUREMENT_COLUMNS)
+        exported = exported & cond
+    facts = tests.where(exported).select(key, *MEASUREMENT_COLUMNS)
     people = profiles.select(key, "gender", "birthDate")
-    cohort = stroke_cohort(tests, key)
+    # One pass over the measurement keys gives the cohort and the hot keys.
+    cohort, hot = cohort_and_hot_keys(tests, exported, key, skew)
     ids = cohort.where(F.col(key).isNotNull())
 
     if plan == "one_pass":
         flagged = people.join(ids.withColumn("_in_cohort", F.lit(1)), key, "left")
-        joined = salted_join(facts, flagged, key, "inner", skew)
+        joined = salted_join(facts, flagged, key, "inner", skew, hot=hot)
         out = _public_projection(joined, F.coalesce(F.col("_in_cohort"), F.lit(0)), key)
         if null_ids == "strict":
             out = out.where((F.col("stroke") == 1) | ~cohort_has_null(cohort, key))
     elif plan == "two_branch":
-        # One probe of the measurements serves all three joins: the joined
+        # The probe of the measurements serves all three joins: the joined
         # rows per key never outnumber the measurement rows per key.
-        hot = find_hot_keys(facts, key, skew) if skew is not None else None
         joined = salted_join(facts, people, key, "inner", skew, hot=hot)
         branch1 = salted_join(joined, ids, key, "left_semi", skew, hot=hot)
         branch0 = salted_join(joined, ids, key, "left_anti", skew, hot=hot)
@@ -88,8 +90,6 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
             _public_projection(branch1, F.lit(1), key))
     else:
         raise ValueError("plan must be 'one_pass' or 'two_branch'")
-    if null_ids not in ("ignore", "strict"):
-        raise ValueError("null_ids must be 'ignore' or 'strict'")
     return out.distinct() if distinct else out
 
 

@@ -61,8 +61,15 @@ def hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> Da
     """
     counts = (fact.select(key).where(F.col(key).isNotNull())
               .groupBy(key).agg(F.count(F.lit(1)).alias(_N)))
-    return (counts.where(F.col(_N) >= F.lit(policy.min_rows))
-            .orderBy(F.col(_N).desc()).limit(policy.max_hot).select(key))
+    return top_keys(counts, key, _N, policy)
+
+
+def top_keys(counts: DataFrame, key: str, count_col: str,
+             policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Hot keys from a per-key count table (ties broken by key, so the
+    choice is deterministic)."""
+    return (counts.where(F.col(key).isNotNull() & (F.col(count_col) >= F.lit(policy.min_rows)))
+            .orderBy(F.col(count_col).desc(), F.col(key)).limit(policy.max_hot).select(key))
 
 
 def find_hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> list:
