@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custodia.functions.columns import COMPONENTS, MEASUREMENT_COLUMNS, NO_NORMAL_RANGE
+from custodia.functions.columns import MEASUREMENT_COLUMNS
 from custodia.model import GovernedPlan, Zone
 from custodia.operators import (
     age_band_average, age_band_values, drop_denied_rows, generalise_birth_date, in_cohort,
@@ -26,7 +26,8 @@ from custodia.operators import (
 from custodia.plans.governed import run_governed
 from custodia.plans.movement import fill_present
 from custodia.sources.fixtures import (
-    DOCUMENT_PATIENTS, FIXTURE_MODULUS, FIXTURE_UNIT, STROKE_MODULUS, fixture_catalog,
+    CLAUSE_EXPRESSIONS, DOCUMENT_EXPRESSIONS, PROFILE_EXPRESSIONS, blood_tests_expressions,
+    fixture_catalog,
 )
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -257,36 +258,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --------------------------------------------------------------------------
 
 def _blood_tests_sql() -> str:
-    cols = [
-        "event_id AS testId", "user_id AS patientId", "CAST(ts AS DATE) AS date",
-        "CASE WHEN event_type IN ('signup') THEN 'visit' ELSE 'blood_test' END AS category",
-        f"CASE WHEN event_type = 'error' AND event_id % {STROKE_MODULUS} = 0 THEN 1 ELSE 0 END AS stroke",
-        "CAST(18 + event_id % 20 AS INT) AS bmi",
-    ]
-    for comp in COMPONENTS:
-        m = FIXTURE_MODULUS[comp]
-        cols.append(f"CASE WHEN event_id % {m} = 0 THEN value END AS {comp}_value")
-        cols.append(f"CASE WHEN event_id % {m} = 0 THEN '{FIXTURE_UNIT}' END AS {comp}_unit")
-        if comp not in NO_NORMAL_RANGE:
-            cols.append(f"CASE WHEN event_id % {m} = 0 THEN '10-{10 * m}' END AS {comp}_normalRange")
-    return "SELECT " + ", ".join(cols) + " FROM events"
-
-
-_PROFILES_SQL = (
-    "SELECT c_custkey AS patientId, c_name AS socialId, n_name AS nationality, "
-    "c_mktsegment AS job, CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender, "
-    "make_date(CAST(1930 + c_custkey % 80 AS INT), CAST(1 + c_custkey % 12 AS INT), "
-    "CAST(1 + c_custkey % 28 AS INT)) AS birthDate "
-    "FROM customer JOIN nation ON c_nationkey = n_nationkey"
-)
-_CLAUSES_SQL = (
-    "SELECT c_custkey AS patientId, c_custkey % 5 <> 0 AS consent_labs, "
-    "c_custkey % 3 <> 0 AS consent_identity FROM customer"
-)
-_DOCUMENTS_SQL = (
-    f"SELECT doc_id, doc_id % {DOCUMENT_PATIENTS} AS patientId, lang, source, n_chars, text "
-    "FROM documents"
-)
+    return "SELECT " + ", ".join(blood_tests_expressions()) + " FROM events"
+
+
+_PROFILES_SQL = ("SELECT " + ", ".join(PROFILE_EXPRESSIONS)
+                 + " FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_CLAUSES_SQL = "SELECT " + ", ".join(CLAUSE_EXPRESSIONS) + " FROM customer"
+_DOCUMENTS_SQL = "SELECT " + ", ".join(DOCUMENT_EXPRESSIONS) + " FROM documents"
 
 _WITH = (
     f"WITH blood_tests AS ({_blood_tests_sql()}), "

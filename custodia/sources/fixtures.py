@@ -15,7 +15,7 @@ Every builder reads whole tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.functions.columns import COMPONENTS, NO_NORMAL_RANGE
@@ -45,31 +45,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _measured(event_id: Column, component: str) -> Column:
-    return event_id % FIXTURE_MODULUS[component] == 0
-
-
-def blood_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _table(spark, sf_dir, "events")
-    eid = F.col("event_id")
-    cols = [
-        eid.alias("testId"),
-        F.col("user_id").alias("patientId"),
-        F.col("ts").cast("date").alias("date"),
-        F.when(F.col("event_type").isin("signup"), F.lit("visit"))
-        .otherwise(F.lit("blood_test")).alias("category"),
-        F.when((F.col("event_type") == "error") & (eid % STROKE_MODULUS == 0), F.lit(1))
-        .otherwise(F.lit(0)).alias("stroke"),
-        (F.lit(18) + eid % 20).cast("int").alias("bmi"),
+def blood_tests_expressions() -> list[str]:
+    """The measurement table as SQL expressions over ``events`` (valid in
+    Spark and in DuckDB; the oracle inlines the same list)."""
+    exprs = [
+        "event_id AS testId",
+        "user_id AS patientId",
+        "CAST(ts AS DATE) AS date",
+        "CASE WHEN event_type IN ('signup') THEN 'visit' ELSE 'blood_test' END AS category",
+        f"CASE WHEN event_type = 'error' AND event_id % {STROKE_MODULUS} = 0 THEN 1 ELSE 0 END AS stroke",
+        "CAST(18 + event_id % 20 AS INT) AS bmi",
     ]
     for comp in COMPONENTS:
-        hit = _measured(eid, comp)
-        cols.append(F.when(hit, F.col("value")).alias(f"{comp}_value"))
-        cols.append(F.when(hit, F.lit(FIXTURE_UNIT)).alias(f"{comp}_unit"))
+        m = FIXTURE_MODULUS[comp]
+        hit = f"event_id % {m} = 0"
+        exprs.append(f"CASE WHEN {hit} THEN value END AS {comp}_value")
+        exprs.append(f"CASE WHEN {hit} THEN '{FIXTURE_UNIT}' END AS {comp}_unit")
         if comp not in NO_NORMAL_RANGE:
-            rng = f"10-{10 * FIXTURE_MODULUS[comp]}"
-            cols.append(F.when(hit, F.lit(rng)).alias(f"{comp}_normalRange"))
-    return ev.select(*cols)
+            exprs.append(f"CASE WHEN {hit} THEN '10-{10 * m}' END AS {comp}_normalRange")
+    return exprs
+
+
+def blood_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # one selectExpr: the 36 expressions are parsed JVM-side in one call
+    return _table(spark, sf_dir, "events").selectExpr(*blood_tests_expressions())
+
+
+# The profile, consent and document tables as SQL expressions over
+# customer x nation, customer and documents (shared with the oracle).
+PROFILE_EXPRESSIONS = [
+    "c_custkey AS patientId",
+    "c_name AS socialId",
+    "n_name AS nationality",
+    "c_mktsegment AS job",
+    "CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender",
+    "make_date(CAST(1930 + c_custkey % 80 AS INT), CAST(1 + c_custkey % 12 AS INT), "
+    "CAST(1 + c_custkey % 28 AS INT)) AS birthDate",
+]
+CLAUSE_EXPRESSIONS = [
+    "c_custkey AS patientId",
+    "c_custkey % 5 <> 0 AS consent_labs",
+    "c_custkey % 3 <> 0 AS consent_identity",
+]
+DOCUMENT_EXPRESSIONS = [
+    "doc_id", f"doc_id % {DOCUMENT_PATIENTS} AS patientId", "lang", "source", "n_chars", "text",
+]
 
 
 def patients_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,36 +97,16 @@ def patients_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nation is the fixed 25-row TPC-H dimension at every scale factor, so
     # broadcasting it has a proven size bound.
     nation = F.broadcast(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    key = F.col("c_custkey")
-    return cust.join(nation, cust.c_nationkey == nation.n_nationkey).select(
-        key.alias("patientId"),
-        F.col("c_name").alias("socialId"),
-        F.col("n_name").alias("nationality"),
-        F.col("c_mktsegment").alias("job"),
-        F.when(key % 2 == 0, F.lit("female")).otherwise(F.lit("male")).alias("gender"),
-        F.make_date(
-            (F.lit(1930) + key % 80).cast("int"),
-            (F.lit(1) + key % 12).cast("int"),
-            (F.lit(1) + key % 28).cast("int"),
-        ).alias("birthDate"),
-    )
+    return (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
+            .selectExpr(*PROFILE_EXPRESSIONS))
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _table(spark, sf_dir, "customer").select(
-        key.alias("patientId"),
-        (key % 5 != 0).alias("consent_labs"),
-        (key % 3 != 0).alias("consent_identity"),
-    )
+    return _table(spark, sf_dir, "customer").selectExpr(*CLAUSE_EXPRESSIONS)
 
 
 def patient_documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.col("doc_id") % DOCUMENT_PATIENTS).alias("patientId"),
-        "lang", "source", "n_chars", "text",
-    )
+    return _table(spark, sf_dir, "documents").selectExpr(*DOCUMENT_EXPRESSIONS)
 
 
 def fixture_catalog(sf_dir: str) -> Catalog:
