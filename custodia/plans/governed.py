@@ -57,7 +57,12 @@ def governed_query(spark: SparkSession, query: str, purpose: str, policy: Policy
                    catalog: Catalog, zone: Zone | str = Zone.ON_PREM,
                    args: Mapping[str, object] | None = None, requester_id: str = "",
                    subject: str | None = "patientId") -> DataFrame:
-    """Ask the policy for a decision on ``query`` and run it."""
+    """Ask the policy for a decision on ``query`` and run it (query service).
+
+    After the policy's denied rows are dropped (subject id ignored), rows
+    with no value at all are dropped too, so an id-only result hides a
+    NULL id here, while a movement (``stage_governed``) keeps it.
+    """
     if not purpose:
         raise ValueError("Missing purpose")
     if not query:
@@ -66,4 +71,5 @@ def governed_query(spark: SparkSession, query: str, purpose: str, policy: Policy
                             access=Zone.parse(zone).access, requester_id=requester_id)
     plan = policy(request)
     log.info("governed query for purpose %s: %s", purpose, plan.sql if plan else None)
-    return run_governed(spark, plan, catalog, args=args, subject=subject)
+    result = run_governed(spark, plan, catalog, args=args, subject=subject)
+    return drop_denied_rows(result, subject=None)

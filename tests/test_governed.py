@@ -78,3 +78,14 @@ def test_governed_query_calls_policy_with_zone_access(spark):
 def test_zone_parse_defaults():
     assert Zone.parse("public") is Zone.PUBLIC
     assert Zone.parse("mars") is Zone.ON_PREM and Zone.parse(None) is Zone.ON_PREM
+
+
+def test_id_only_null_is_hidden_by_queries_but_moved(spark, scratch):
+    from custodia.plans import stage_governed
+
+    spark.createDataFrame([(1,), (None,)], "patientId long").write.parquet(f"{scratch}/ids")
+    cat = Catalog({"ids": TableSpec("ids", "parquet", f"{scratch}/ids")})
+    plan = GovernedPlan("SELECT patientId FROM ids", ("ids",))
+    queried = governed_query(spark, "SELECT patientId FROM ids", "care", lambda r: plan, cat)
+    assert [r.patientId for r in queried.collect()] == [1]
+    assert stage_governed(spark, plan, cat, f"{scratch}/staged").rows == 2
