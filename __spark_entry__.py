@@ -108,6 +108,11 @@ def q_nutritional(spark, sf_dir):
     return nutritional_data(bt, pp)
 
 
+def q_nutritional_private(spark, sf_dir):
+    _, bt, pp = _tables(spark, sf_dir)
+    return nutritional_data(bt, pp, zone=Zone.PRIVATE)
+
+
 def q_nutritional_top20(spark, sf_dir):
     _, bt, pp = _tables(spark, sf_dir)
     return nutritional_data(bt, pp, limit=TOP_K, order_by="testId")
@@ -222,6 +227,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "patient_details_private": q_patient_details_private,
     "documents": q_documents,
     "nutritional": q_nutritional,
+    "nutritional_private": q_nutritional_private,
     "nutritional_top20": q_nutritional_top20,
     "stroke_cohort": q_stroke_cohort,
     "in_cohort": q_in_cohort,
@@ -298,6 +304,9 @@ _BAND_PUBLIC = "birthDate > 1960 AND birthDate < 1990"
 _NUTRITION = ("blood_tests.cholesterol_total_value, blood_tests.cholesterol_ldl_value, "
               "blood_tests.patientId, blood_tests.bmi, blood_tests.category, "
               "patientsProfiles.birthDate, patientsProfiles.gender")
+# private zone: the birth date leaves as a year
+_NUTRITION_PRIVATE = _NUTRITION.replace(
+    "patientsProfiles.birthDate", "CAST(year(patientsProfiles.birthDate) AS INT) AS birthDate")
 _MASK = ("SELECT b.patientId, CASE WHEN cl.consent_labs THEN b.cholesterol_total_value END "
          "AS cholesterol_total_value, CASE WHEN cl.consent_labs THEN b.fibrinogen_value END "
          "AS fibrinogen_value FROM blood_tests b LEFT JOIN clauses cl ON b.patientId = cl.patientId")
@@ -318,13 +327,16 @@ _ORACLE = {
         "SELECT nationality, job, birthDate, gender, patientId, socialId FROM patientsProfiles "
         f"WHERE socialId = '{SOCIAL_ID}'",
     "patient_details_private":
-        "SELECT nationality, job, birthDate, gender, patientId, socialId FROM "
+        "SELECT nationality, job, CAST(year(birthDate) AS INT) AS birthDate, gender, patientId, "
+        "socialId FROM "
         "(SELECT patientId, sha256(socialId) AS socialId, nationality, job, gender, birthDate "
         f"FROM patientsProfiles) p WHERE socialId = sha256('{SOCIAL_ID}')",
     "documents": f"SELECT * FROM documents_p WHERE patientId = {PATIENT}",
     "nutritional":
         f"SELECT {_NUTRITION} FROM {_J} WHERE blood_tests.category = 'blood_test' "
         f"AND blood_tests.patientId IN {_IDS}",
+    "nutritional_private":
+        f"SELECT {_NUTRITION_PRIVATE} FROM {_J} WHERE blood_tests.category = 'blood_test' AND blood_tests.patientId IN {_IDS}",
     "nutritional_top20":
         f"SELECT {_NUTRITION} FROM {_J} WHERE blood_tests.category = 'blood_test' "
         f"AND blood_tests.patientId IN {_IDS} ORDER BY blood_tests.testId LIMIT {TOP_K}",

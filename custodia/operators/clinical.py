@@ -14,6 +14,7 @@ from custodia.functions.predicates import birth_year_filter, years_before
 from custodia.functions.pseudonyms import pseudonym_of
 from custodia.model import Zone
 from custodia.operators.cohort import cohort_and_hot_keys
+from custodia.operators.privacy import generalise_birth_date
 from custodia.operators.rows import drop_denied_rows
 from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
 
@@ -111,13 +112,21 @@ def age_band_average(tests: DataFrame, profiles: DataFrame | None, component: st
     return partial.join(band, key, "inner").agg(avg.alias("value"))
 
 
+def _zone_view(df: DataFrame, zone: Zone, birth: str = "birthDate") -> DataFrame:
+    """In the private zone birth dates leave only as years."""
+    if Zone.parse(zone) is Zone.PRIVATE and birth in df.columns:
+        return generalise_birth_date(df, birth)
+    return df
+
+
 def patient_details(profiles: DataFrame, social_id: str | None = None,
                     zone: Zone = Zone.ON_PREM, method: str = "sha2", salt: str = "",
                     id_column: str = "socialId", key: str = "patientId") -> DataFrame:
     """The profile columns of the details query that the table has.
 
     With ``social_id`` the rows are those of that person; in the private
-    zone the stored id is a pseudonym and the lookup compares pseudonyms.
+    zone the stored id is a pseudonym, the lookup compares pseudonyms and
+    the birth date is returned as a year.
     """
     cols = [c for c in PROFILE_COLUMNS if c in profiles.columns]
     if not cols:
@@ -127,7 +136,7 @@ def patient_details(profiles: DataFrame, social_id: str | None = None,
         target: Column = (pseudonym_of(social_id, method=method, salt=salt)
                           if Zone.parse(zone) is Zone.PRIVATE else F.lit(social_id))
         df = df.where(F.col(id_column) == target)
-    return drop_denied_rows(df, subject=key)
+    return drop_denied_rows(_zone_view(df, zone), subject=key)
 
 
 def patient_documents(documents: DataFrame, patient_id, key: str = "patientId") -> DataFrame:
@@ -156,6 +165,7 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
 
     ``limit`` with ``order_by`` is a top-k (per-task top-k, then merged);
     without ``order_by`` any ``limit`` rows are returned, as in the reference.
+    In the private zone the birth date is returned as a year.
     """
     facts = tests.where(F.col("category") == BLOOD_TEST)
     if Zone.parse(zone) is Zone.PUBLIC:
@@ -174,4 +184,5 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
         if order_by is not None:
             df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
         df = df.limit(limit)
-    return drop_denied_rows(df.select(*[c for c in columns if c in df.columns]), subject=key)
+    out = df.select(*[c for c in columns if c in df.columns])
+    return drop_denied_rows(_zone_view(out, zone), subject=key)

@@ -105,3 +105,12 @@ def test_documents_no_match_and_missing_id(spark):
     assert patient_documents(docs, 8).count() == 0
     with pytest.raises(ValueError):
         patient_documents(docs, "")
+
+
+def test_private_zone_returns_birth_years(spark):
+    t, p = _tests(spark), _profiles(spark)
+    rows = nutritional_data(t, p, zone=Zone.PRIVATE).collect()
+    assert {r.birthDate for r in rows} == {1970}
+    from custodia.operators import pseudonymise_id
+    details = patient_details(pseudonymise_id(p), "S11", zone=Zone.PRIVATE).first()
+    assert details.birthDate == 1990
