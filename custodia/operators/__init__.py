@@ -10,7 +10,7 @@ from custodia.operators.privacy import (
     generalise_birth_date, mask_by_clauses, pseudonymise_id, suppress_id,
 )
 from custodia.operators.rows import drop_denied_rows, json_component, to_json_rows
-from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, find_hot_keys, hot_keys, salted_join
+from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, find_hot_keys, key_counts, salted_join
 
 __all__ = [
     "age_band_average", "age_band_values", "birth_years", "component_average",
@@ -19,5 +19,5 @@ __all__ = [
     "PUBLIC_COLUMNS", "public_export", "quasi_identifier_groups",
     "generalise_birth_date", "mask_by_clauses", "pseudonymise_id", "suppress_id",
     "drop_denied_rows", "json_component", "to_json_rows",
-    "DEFAULT_SKEW", "SkewPolicy", "find_hot_keys", "hot_keys", "salted_join",
+    "DEFAULT_SKEW", "SkewPolicy", "find_hot_keys", "key_counts", "salted_join",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.model import Zone
-from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join, top_keys
+from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, hot_salts, salted_join, top_keys
 
 
 def stroke_cohort(tests: DataFrame, key: str = "patientId", flag: str = "stroke") -> DataFrame:
@@ -33,7 +33,7 @@ def subject_stats(tests: DataFrame, counted: Column | None = None, key: str = "p
 
 def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
                         skew: SkewPolicy | None):
-    """(cohort ids incl. a NULL id if flagged, hot keys or None).
+    """(cohort ids incl. a NULL id if flagged, {hot key: salts} or None).
 
     Without a skew policy the cohort stays a lazy ``distinct`` of the flagged
     rows. With one, the per-subject statistics are computed once and cut
@@ -48,7 +48,7 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
 
     ensure_checkpoint_dir(tests.sparkSession)
     stats = subject_stats(tests, counted, key).checkpoint(eager=True)
-    hot = [r[0] for r in top_keys(stats, key, "_n", skew).collect()]
+    hot = hot_salts(top_keys(stats, key, "_n", skew), key, skew)
     return stats.where(F.col("_in_cohort") == 1).select(key), hot
 
 

@@ -7,22 +7,24 @@ shuffle join then sends that share to one task.
 
 ``salted_join`` first probes the fact's key column for hot keys: one
 pre-aggregated pass (counts are combined map-side, so a hot key costs one
-partial count per task) that returns the largest keys above ``min_rows``
-rows, at most ``max_hot`` of them. With no hot
-key the plan is the plain join and Catalyst/AQE pick the strategy. With
-hot keys, only their fact rows are spread over ``buckets`` salts (a hash
-of the row, so a re-run after an executor loss assigns the same salt),
-and only their per-key rows are replicated once per salt. Cold keys keep
-salt 0. The result equals the plain join exactly: each fact row meets
-each matching per-key row once.
+partial count per task) that returns the largest keys above
+``rows_per_task`` rows, at most ``max_hot`` of them, with their counts.
+With no hot key the plan is the plain join and Catalyst/AQE pick the
+strategy. Each hot key gets salts in proportion to its size (about
+``rows_per_task`` rows per salt, a power of two, at most ``max_buckets``):
+its fact rows are spread over those salts by a hash of the row (so a
+re-run after an executor loss assigns the same salt), and its per-key rows
+are replicated once per salt. Cold keys keep salt 0. The result equals the
+plain join exactly: each fact row meets each matching per-key row once.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = "_salt"
@@ -33,77 +35,107 @@ _N = "_n"
 class SkewPolicy:
     """How to guard a fact-to-key join against hot keys.
 
-    buckets:  salts per hot key (tasks a hot key is split over).
-    max_hot:  at most this many keys (the largest) are salted; any other
-              key is joined exactly without salt.
-    min_rows: a key is hot only with at least this many rows (about one
-              task's worth; below it a key cannot slow a stage down).
+    rows_per_task: a key is hot with at least this many rows; a hot key gets
+                   about one salt (one task) per this many rows.
+    max_buckets:   upper bound on the salts of one key (a power of two).
+    max_hot:       at most this many keys (the largest) are salted; any
+                   other key is joined exactly without salt.
+    buckets:       fixed salt count for every hot key instead (tests).
     """
 
-    buckets: int = 32
+    rows_per_task: int = 1_000_000
+    max_buckets: int = 1 << 16
     max_hot: int = 1024
-    min_rows: int = 1_000_000
+    buckets: int | None = None
 
     def __post_init__(self):
-        if self.buckets < 1 or self.max_hot < 1 or self.min_rows < 1:
+        if min(self.rows_per_task, self.max_buckets, self.max_hot) < 1 or \
+                (self.buckets is not None and self.buckets < 1):
             raise ValueError("SkewPolicy values must be positive")
 
+    def salts_for(self, rows: int) -> int:
+        """Salt count for a key with ``rows`` rows."""
+        if self.buckets is not None:
+            return self.buckets
+        want = -(-rows // self.rows_per_task)  # ceil
+        salts = 1
+        while salts < want and salts < self.max_buckets:
+            salts <<= 1
+        return max(salts, 2)
 
-DEFAULT_SKEW = SkewPolicy()
 
+DEFAULT_SKEW = SkewPolicy()
 
-def hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """The (at most ``max_hot``) largest keys with at least ``min_rows`` rows.
 
-    Lazily: one pre-aggregated count per key, then a per-task top-k merged
-    on the driver. Keys beyond the top ``max_hot`` are still joined exactly,
-    just unsalted.
-    """
-    counts = (fact.select(key).where(F.col(key).isNotNull())
-              .groupBy(key).agg(F.count(F.lit(1)).alias(_N)))
-    return top_keys(counts, key, _N, policy)
+def key_counts(fact: DataFrame, key: str) -> DataFrame:
+    """Rows per non-NULL key, combined map-side."""
+    return (fact.select(key).where(F.col(key).isNotNull())
+            .groupBy(key).agg(F.count(F.lit(1)).alias(_N)))
 
 
 def top_keys(counts: DataFrame, key: str, count_col: str,
              policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """Hot keys from a per-key count table (ties broken by key, so the
-    choice is deterministic)."""
-    return (counts.where(F.col(key).isNotNull() & (F.col(count_col) >= F.lit(policy.min_rows)))
-            .orderBy(F.col(count_col).desc(), F.col(key)).limit(policy.max_hot).select(key))
+    """The (at most ``max_hot``) largest keys with at least
+    ``rows_per_task`` rows, with their counts; a per-task top-k merged on the
+    driver, ties broken by key so the choice is deterministic."""
+    return (counts.where(F.col(key).isNotNull() & (F.col(count_col) >= F.lit(policy.rows_per_task)))
+            .orderBy(F.col(count_col).desc(), F.col(key)).limit(policy.max_hot)
+            .select(key, F.col(count_col).alias(_N)))
+
+
+def hot_salts(top: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> dict:
+    """Collect a ``top_keys`` result (at most ``max_hot`` rows) as
+    {key: salt count}."""
+    return {r[key]: policy.salts_for(r[_N]) for r in top.collect()}
+
+
+def find_hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> dict:
+    """Run the hot-key probe on a fact table: {key: salt count}."""
+    return hot_salts(top_keys(key_counts(fact, key), key, _N, policy), key, policy)
+
+
+def _by_salts(hot: Mapping) -> list[tuple[int, list]]:
+    groups: dict[int, list] = defaultdict(list)
+    for k, salts in hot.items():
+        groups[int(salts)].append(k)
+    return sorted(groups.items())
 
 
-def find_hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> list:
-    """Run the hot-key probe; returns at most ``policy.max_hot`` key values."""
-    return [r[0] for r in hot_keys(fact, key, policy).collect()]
+def _case(key: Column, hot: Mapping, branch, default: Column) -> Column:
+    """CASE over the salt classes; each class is one hash-set lookup."""
+    expr = None
+    for salts, keys in _by_salts(hot):
+        cond = key.isin(keys)
+        expr = F.when(cond, branch(salts)) if expr is None else expr.when(cond, branch(salts))
+    return expr.otherwise(default)
 
 
 def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
                 policy: SkewPolicy | None = DEFAULT_SKEW,
-                hot: Sequence | None = None) -> DataFrame:
+                hot: Mapping | None = None) -> DataFrame:
     """``fact.join(keyed, key, how)`` with hot keys split over salts.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (the
     fact side is preserved). ``policy=None`` gives the plain join. ``hot``
-    passes a known hot-key list (any superset of the real one is correct,
-    so a probe of a larger table can be reused); otherwise the probe runs
-    now, as one small job.
+    ({key: salts}) passes a known probe result (any superset of the real
+    one is still exact, so a probe of a larger table can be reused);
+    otherwise the probe runs now, as one small job.
     """
-    if policy is None or policy.buckets == 1:
+    if policy is None:
         return fact.join(keyed, key, how)
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not preserve the fact side for {how!r}")
     if hot is None:
         hot = find_hot_keys(fact, key, policy)
+    hot = {k: s for k, s in hot.items() if s > 1}
     if not hot:
         return fact.join(keyed, key, how)
-    is_hot = F.col(key).isin(list(hot))
+    k = F.col(key)
     row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
-    salted_fact = fact.withColumn(
-        SALT, F.when(is_hot, F.pmod(row_hash, F.lit(policy.buckets))).otherwise(F.lit(0)).cast("int"))
-    replicas = F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.buckets - 1))) \
-        .otherwise(F.array(F.lit(0)))
-    salted_keyed = keyed.withColumn(SALT, F.explode(replicas))
-    joined = salted_fact.join(salted_keyed, [key, SALT], how)
+    salt = _case(k, hot, lambda s: F.pmod(row_hash, F.lit(s)), F.lit(0)).cast("int")
+    replicas = _case(k, hot, lambda s: F.sequence(F.lit(0), F.lit(s - 1)), F.array(F.lit(0)))
+    joined = fact.withColumn(SALT, salt).join(
+        keyed.withColumn(SALT, F.explode(replicas)), [key, SALT], how)
     # Same column order as the plain using-join: key, fact columns, keyed columns.
     out = [key] + [c for c in fact.columns if c != key]
     if how not in ("left_semi", "left_anti"):

@@ -38,7 +38,7 @@ fact = spark.range(3000, numPartitions=4).select(
     F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).cast("long").alias("k"))
 keyed = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
 flaky = fact.where(fail_first_attempt(F.col("k")))
-policy = SkewPolicy(buckets=4, max_hot=4, min_rows=100)
+policy = SkewPolicy(buckets=4, max_hot=4, rows_per_task=100)
 salted = sorted(map(tuple, salted_join(flaky, keyed, "k", "inner", policy).collect()))
 plain = sorted(map(tuple, fact.join(keyed, "k", "inner").collect()))
 print("RESULT", salted == plain, len(salted))

@@ -33,7 +33,7 @@ def test_one_pass_equals_two_branch(tables):
 
 def test_salted_export_equals_plain(tables):
     bt, pp = tables
-    forced = SkewPolicy(buckets=4, max_hot=16, min_rows=1)
+    forced = SkewPolicy(buckets=4, max_hot=16, rows_per_task=1)
     assert _rows(public_export(bt, pp, skew=forced)) == _rows(public_export(bt, pp, skew=None))
 
 

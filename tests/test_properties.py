@@ -11,7 +11,7 @@ from custodia.operators import SkewPolicy, drop_denied_rows, not_in_cohort, salt
 
 SETTINGS = settings(max_examples=12, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
-FORCE = SkewPolicy(buckets=3, max_hot=4, min_rows=2)
+FORCE = SkewPolicy(buckets=3, max_hot=4, rows_per_task=2)
 
 keys = st.one_of(st.none(), st.integers(0, 5), st.just(1), st.just(1))  # key 1 dominates
 

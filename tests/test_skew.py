@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan_text
 from custodia.operators import SkewPolicy, find_hot_keys, salted_join
 
-HOT = SkewPolicy(buckets=4, max_hot=8, min_rows=50)
+HOT = SkewPolicy(buckets=4, max_hot=8, rows_per_task=50)
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def _rows(df):
 
 
 def test_probe_finds_the_hot_key(fact):
-    assert find_hot_keys(fact, "k", HOT) == [7]
+    assert find_hot_keys(fact, "k", HOT) == {7: 4}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -53,7 +53,7 @@ def test_hot_key_is_spread_over_salts(fact, keyed):
 
 
 def test_superset_hot_list_is_still_exact(fact, keyed):
-    salted = salted_join(fact, keyed, "k", "inner", HOT, hot=[7, 1, 2, 3, 999])
+    salted = salted_join(fact, keyed, "k", "inner", HOT, hot={7: 4, 1: 2, 2: 8, 3: 3, 999: 16})
     assert _rows(salted) == _rows(fact.join(keyed, "k", "inner"))
 
 
@@ -81,3 +81,18 @@ def test_hot_key_lands_in_several_tasks_of_a_shuffle_join(spark, fact, keyed):
             spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         else:
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
+
+
+def test_salts_grow_with_the_key():
+    p = SkewPolicy(rows_per_task=100, max_buckets=1024)
+    assert p.salts_for(100) == 2 and p.salts_for(300) == 4 and p.salts_for(1000) == 16
+    assert p.salts_for(10**12) == 1024
+    assert SkewPolicy(buckets=5).salts_for(10**9) == 5
+
+
+def test_adaptive_salts_are_exact(fact, keyed):
+    adaptive = SkewPolicy(rows_per_task=40, max_hot=8)
+    hot = find_hot_keys(fact, "k", adaptive)
+    assert hot[7] == 8  # 300 rows / 40 per task -> 8 salts
+    assert _rows(salted_join(fact, keyed, "k", "left", adaptive)) == \
+        _rows(fact.join(keyed, "k", "left"))
