@@ -56,3 +56,17 @@ def test_jdbc_round_trip_embedded_in_process(spark):
         "numPartitions": "2"})})
     loaded = parallel.load(spark, "patient")
     assert loaded.rdd.getNumPartitions() == 2 and loaded.count() == 4
+
+
+def test_catalog_from_location_and_type_maps(spark):
+    cat = Catalog.from_maps(
+        {"nation": f"{SF001}/nation.parquet", "patient": "PATIENT"},
+        {"nation_type": "s3a", "patient_type": "jdbc"},
+        {"url": "jdbc:derby:memory:x", "user": "u", "password": "p"})
+    assert cat.load(spark, "nation").count() == 25
+    spec = cat.spec("patient")
+    assert spec.format == "jdbc" and spec.options["url"].startswith("jdbc:")
+    with pytest.raises(KeyError):
+        Catalog.from_maps({"t": "/x"}, {})
+    with pytest.raises(ValueError):
+        Catalog.from_maps({"t": "T"}, {"t_type": "jdbc"})
