@@ -93,10 +93,15 @@ def tests_with_profiles(tests: DataFrame, profiles: DataFrame | None,
     """Measurements joined with the subject's profile (inner, NULL ids drop).
 
     In the public zone the measurement table is already denormalised, so no
-    join is made and ``tests`` is returned as it is.
+    join is made and ``tests`` is returned as it is. In the private zone the
+    birth date is returned as a year.
     """
-    if Zone.parse(zone) is Zone.PUBLIC:
+    zone = Zone.parse(zone)
+    if zone is Zone.PUBLIC:
         return tests
     if profiles is None:
         raise ValueError("profiles are required outside the public zone")
-    return salted_join(tests, profiles, key, "inner", skew)
+    joined = salted_join(tests, profiles, key, "inner", skew)
+    if zone is Zone.PRIVATE and "birthDate" in joined.columns:
+        joined = joined.withColumn("birthDate", F.year("birthDate").cast("int"))
+    return joined

@@ -50,3 +50,13 @@ def test_matches_sql_not_in(spark):
 def test_public_zone_needs_no_join(spark):
     t = _tests(spark)
     assert tests_with_profiles(t, None, zone=Zone.PUBLIC) is t
+
+
+def test_private_zone_join_returns_birth_years(spark):
+    import datetime as dt
+    t = _tests(spark)
+    p = spark.createDataFrame([(10, dt.date(1970, 5, 1)), (11, dt.date(1980, 1, 1))],
+                              "patientId long, birthDate date")
+    rows = tests_with_profiles(t, p, zone=Zone.PRIVATE).collect()
+    assert sorted(r.birthDate for r in rows) == [1970, 1970, 1980]
+    assert {type(r.birthDate) for r in tests_with_profiles(t, p).collect()} == {dt.date}
