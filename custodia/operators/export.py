@@ -62,6 +62,8 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     """
     if null_ids not in ("ignore", "strict"):
         raise ValueError("null_ids must be 'ignore' or 'strict'")
+    if plan not in ("one_pass", "two_branch"):
+        raise ValueError("plan must be 'one_pass' or 'two_branch'")
     cond = _as_condition(where)
     exported = F.col("category") == BLOOD_TEST
     if cond is not None:
@@ -78,9 +80,10 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
         out = _public_projection(joined, F.coalesce(F.col("_in_cohort"), F.lit(0)), key)
         if null_ids == "strict":
             out = out.where((F.col("stroke") == 1) | ~cohort_has_null(cohort, key))
-    elif plan == "two_branch":
-        # The probe of the measurements serves all three joins: the joined
-        # rows per key never outnumber the measurement rows per key.
+    else:
+        # The probe of the measurements serves all three joins (results are
+        # exact for any hot-key list; with one profile per subject the
+        # joined rows per key equal the measurement rows per key).
         joined = salted_join(facts, people, key, "inner", skew, hot=hot)
         branch1 = salted_join(joined, ids, key, "left_semi", skew, hot=hot)
         branch0 = salted_join(joined, ids, key, "left_anti", skew, hot=hot)
@@ -88,8 +91,6 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
             branch0 = branch0.where(~cohort_has_null(cohort, key))
         out = _public_projection(branch0, F.lit(0), key).unionByName(
             _public_projection(branch1, F.lit(1), key))
-    else:
-        raise ValueError("plan must be 'one_pass' or 'two_branch'")
     return out.distinct() if distinct else out
 
 
