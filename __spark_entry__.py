@@ -11,10 +11,18 @@ oracle inlines the same derivations as CTEs.
 from __future__ import annotations
 
 import datetime as _dt
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The package lives next to this file; make it importable however this
+# module is loaded (by name from the repo root or by file path).
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from custodia.functions.columns import MEASUREMENT_COLUMNS
 from custodia.model import GovernedPlan, Zone
 from custodia.operators import (
