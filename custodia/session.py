@@ -69,3 +69,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A sub-path of the shared checkpoint folder (stream checkpoints)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def scale_conf(shuffle_bytes: int, partition_bytes: int = 256 << 20,
+               max_partitions: int = 100_000) -> dict[str, str]:
+    """Partition settings for a job whose largest shuffle moves about
+    ``shuffle_bytes`` (e.g. the measurement columns of an export).
+
+    Shuffle partitions start at ``shuffle_bytes / partition_bytes`` (capped;
+    AQE coalesces small ones at runtime toward ``partition_bytes``), input
+    splits are ``partition_bytes``, and a join partition counts as skewed
+    above 4 x ``partition_bytes`` so AQE splits it. Apply these when the
+    session is built; library code never sets them.
+    """
+    if shuffle_bytes < 0 or partition_bytes <= 0:
+        raise ValueError("sizes must be positive")
+    partitions = max(200, min(max_partitions, -(-shuffle_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        **RECOMMENDED_CONF,
+    }
