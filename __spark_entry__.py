@@ -24,14 +24,14 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from custodia.functions.columns import MEASUREMENT_COLUMNS
-from custodia.model import GovernedPlan, Zone
+from custodia.model import GovernedPlan, PolicyRequest, Zone
 from custodia.operators import (
     age_band_average, age_band_values, drop_denied_rows, generalise_birth_date, in_cohort,
     json_component, component_average, component_series, mask_by_clauses, not_in_cohort,
     nutritional_data, patient_details, patient_documents, pseudonymise_id, public_export,
     quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
 )
-from custodia.plans.governed import run_governed
+from custodia.plans.governed import governed_query, run_governed
 from custodia.plans.movement import fill_present
 from custodia.sources.fixtures import (
     CLAUSE_EXPRESSIONS, DOCUMENT_EXPRESSIONS, PROFILE_EXPRESSIONS, blood_tests_expressions,
@@ -204,6 +204,22 @@ def q_governed(spark, sf_dir):
     return run_governed(spark, plan, fixture_catalog(sf_dir))
 
 
+RESEARCH_QUERY = "SELECT patientId, cholesterol_total_value, fibrinogen_value, date FROM blood_tests"
+
+
+def research_policy(request: PolicyRequest) -> GovernedPlan | None:
+    """Stand-in for the external policy engine: for research reads of the
+    measurement table it answers with the consent-masked rewrite."""
+    if request.purpose == "research" and request.query == RESEARCH_QUERY:
+        return GovernedPlan(sql=GOVERNED_SQL, tables=("blood_tests", "blood_tests_clauses"))
+    return None
+
+
+def q_governed_query(spark, sf_dir):
+    return governed_query(spark, RESEARCH_QUERY, "research", research_policy,
+                          fixture_catalog(sf_dir))
+
+
 def q_generalise(spark, sf_dir):
     _, _, pp = _tables(spark, sf_dir)
     return generalise_birth_date(pp.select("patientId", "gender", "birthDate"))
@@ -251,6 +267,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "public_group_sizes": q_public_group_sizes,
     "masked": q_masked,
     "governed": q_governed,
+    "governed_query": q_governed_query,
     "generalise": q_generalise,
     "pseudonym_sha2": q_pseudonym_sha2,
     "fill": q_fill,
@@ -382,6 +399,9 @@ _ORACLE = {
         "FROM blood_tests",
     "id_only": "SELECT patientId FROM patientsProfiles",
 }
+# The query-service path (policy -> plan -> run -> row filters) gives the
+# governed rows; the all-NULL filter changes nothing for this result.
+_ORACLE["governed_query"] = _ORACLE["governed"]
 # The JSON round trip must give the same average as the typed path.
 _ORACLE["json_average"] = _ORACLE["avg_age"]
 
