@@ -80,3 +80,17 @@ def test_stage_governed_applies_plan_write_options(spark, scratch):
     assert glob.glob(f"{scratch}/g/*.gz.parquet")
     with pytest.raises(PermissionError):
         stage_governed(spark, None, fixture_catalog(SF001), f"{scratch}/h")
+
+
+def test_sorted_target_lets_lookups_skip_row_groups(spark, scratch):
+    from conftest import plan_text
+
+    df = spark.range(0, 20000, numPartitions=2).select(
+        (F.col("id") % 500).alias("patientId"), (F.col("id") * 1.0).alias("fibrinogen_value"))
+    start_movement(df, f"{scratch}/s")
+    finish_movement(spark, f"{scratch}/s", f"{scratch}/t", sort_within=["patientId"])
+    t = spark.read.parquet(f"{scratch}/t")
+    assert t.count() == 20000
+    lookup = t.where(F.col("patientId") == 7)
+    assert "PushedFilters: [IsNotNull(patientId), EqualTo(patientId,7)]" in plan_text(lookup)
+    assert lookup.count() == 40
