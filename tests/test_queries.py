@@ -21,9 +21,8 @@ def test_query_matches_oracle(spark, con, name):
     assert res["status"] in ("ok", "rows-only"), res
 
 
-def test_every_query_but_json_rows_has_an_oracle():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"json_rows"}
-    assert set(E.oracle_sql()) <= set(E.queries())
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
