@@ -49,3 +49,25 @@ def test_filters_and_pruning_reach_the_scan(spark):
 def test_cohort_joins_are_semi_and_anti(spark):
     assert "LeftSemi" in plan_text(E.queries()["in_cohort"](spark, SF01))
     assert "LeftAnti" in plan_text(E.queries()["not_in_cohort"](spark, SF01))
+
+
+def _scan_blocks(text: str, table: str) -> list[str]:
+    """Detail blocks of the formatted plan that scan ``table``."""
+    return [b for b in text.split("\n\n")
+            if "Scan parquet" in b and f"{table}.parquet" in b and "ReadSchema" in b]
+
+
+def test_export_scans_the_measurements_once_with_pruned_columns(spark):
+    text = plan_text(E.queries()["public_export"](spark, SF01))
+    scans = _scan_blocks(text, "events")
+    # the cohort and hot keys come from the checkpointed per-subject pass
+    assert len(scans) == 1, scans
+    assert ("ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,"
+            "event_type:string,value:double>") in scans[0]
+
+
+def test_age_band_average_aggregates_before_the_join(spark):
+    tree = plan_text(E.queries()["avg_age"](spark, SF01)).split("\n\n")[0]
+    # the operator tree prints the root first: a HashAggregate below the join
+    # is the per-subject partial aggregate of the measurements
+    assert tree.index("Join") < tree.rindex("HashAggregate")
