@@ -20,3 +20,20 @@ def test_stream_appends_each_staged_file_once(spark, scratch):
     out = spark.read.parquet(target)
     assert out.count() == 3
     assert out.where("fibrinogen_value IS NULL").count() == 0
+
+
+def test_continuous_stream_picks_up_new_staged_files(spark, scratch):
+    staging, target, ckpt = f"{scratch}/staging", f"{scratch}/target", f"{scratch}/ckpt"
+    schema = "patientId long, fibrinogen_value double"
+    start_movement(spark.createDataFrame([(1, 1.0)], schema), staging, mode="append")
+    q = stream_movement(spark, staging, target, checkpoint=ckpt, available_now=False,
+                        max_files_per_trigger=1)
+    try:
+        q.processAllAvailable()
+        start_movement(spark.createDataFrame([(2, None), (3, 3.0)], schema), staging, mode="append")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    out = spark.read.parquet(target)
+    assert sorted(r.patientId for r in out.collect()) == [1, 2, 3]
+    assert out.where("fibrinogen_value IS NULL").count() == 0
