@@ -30,13 +30,14 @@ def stream_movement(spark: SparkSession, staging: str, target: str,
                     checkpoint: str | None = None,
                     partition_by: list[str] | None = None,
                     available_now: bool = True,
-                    max_files_per_trigger: int | None = None) -> StreamingQuery:
+                    max_files_per_trigger: int | None = None,
+                    processing_time: str = "10 seconds") -> StreamingQuery:
     """Start a stream from the staging folder to the target table.
 
     ``schema`` defaults to the schema of what is already staged (a stream
     needs it up front). ``available_now=True`` processes everything staged
     so far, in bounded batches, then stops; ``False`` keeps watching the
-    folder. The checkpoint defaults to a folder under the session's shared
+    folder, starting a batch every ``processing_time``. The checkpoint defaults to a folder under the session's shared
     ``spark.checkpoint.dir`` named after the target.
     """
     opts = dict(options or {})
@@ -57,5 +58,6 @@ def stream_movement(spark: SparkSession, staging: str, target: str,
               .options(**opts))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = (writer.trigger(availableNow=True) if available_now
+              else writer.trigger(processingTime=processing_time))
     return writer.start()

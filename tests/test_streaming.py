@@ -27,7 +27,7 @@ def test_continuous_stream_picks_up_new_staged_files(spark, scratch):
     schema = "patientId long, fibrinogen_value double"
     start_movement(spark.createDataFrame([(1, 1.0)], schema), staging, mode="append")
     q = stream_movement(spark, staging, target, checkpoint=ckpt, available_now=False,
-                        max_files_per_trigger=1)
+                        max_files_per_trigger=1, processing_time="1 second")
     try:
         q.processAllAvailable()
         start_movement(spark.createDataFrame([(2, None), (3, 3.0)], schema), staging, mode="append")
