@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from custodia.model import Zone
@@ -47,8 +47,15 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
     from custodia.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(tests.sparkSession)
-    stats = subject_stats(tests, counted, key).checkpoint(eager=True)
-    hot = hot_salts(top_keys(stats, key, "_n", skew), key, skew)
+    # The largest per-subject count is observed while the statistics are
+    # written, so the hot-key read runs only when some subject is hot.
+    seen = Observation("subject_stats")
+    stats = (subject_stats(tests, counted, key)
+             .observe(seen, F.max(F.col("_n")).alias("max_n"))
+             .checkpoint(eager=True))
+    hot = {}
+    if (seen.get["max_n"] or 0) >= skew.rows_per_task:
+        hot = hot_salts(top_keys(stats, key, "_n", skew), key, skew)
     return stats.where(F.col("_in_cohort") == 1).select(key), hot
 
 
