@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from custodia.model import Zone
-from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, hot_salts, salted_join, top_keys
+from custodia.operators.skew import (
+    DEFAULT_SKEW, SkewPolicy, find_hot_keys, hot_salts, salted_join, top_keys,
+)
 
 
 def stroke_cohort(tests: DataFrame, key: str = "patientId", flag: str = "stroke") -> DataFrame:
@@ -40,13 +42,17 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
     from their lineage with a reliable checkpoint (in the shared
     ``spark.checkpoint.dir``; its size grows with subjects, not rows), then
     read by both the probe and the cohort, so the measurement keys are
-    scanned once instead of twice.
+    scanned once instead of twice. A cluster session that names no shared
+    checkpoint folder gets the same result from a separate probe and a lazy
+    cohort (one more narrow scan); no machine-local folder is used.
     """
     if skew is None:
         return stroke_cohort(tests, key), None
-    from custodia.session import ensure_checkpoint_dir
+    from custodia.session import shared_checkpoint_dir
 
-    ensure_checkpoint_dir(tests.sparkSession)
+    if shared_checkpoint_dir(tests.sparkSession) is None:
+        counted_rows = tests if counted is None else tests.where(counted)
+        return stroke_cohort(tests, key), find_hot_keys(counted_rows, key, skew)
     # The largest per-subject count is observed while the statistics are
     # written, so the hot-key read runs only when some subject is hot.
     seen = Observation("subject_stats")

@@ -66,6 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The checkpoint folder if one can be used: the configured shared
+    folder, or a scratch folder on a local-mode session; None on a cluster
+    session that names none."""
+    try:
+        return ensure_checkpoint_dir(spark)
+    except RuntimeError:
+        return None
+
+
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A sub-path of the shared checkpoint folder (stream checkpoints)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)

@@ -79,3 +79,16 @@ def test_group_sizes(tables):
     bt, pp = tables
     groups = quasi_identifier_groups(public_export(bt, pp))
     assert groups.agg(F.sum("n")).first()[0] == public_export(bt, pp).count()
+
+
+def test_export_without_a_shared_checkpoint_folder(spark, tables, monkeypatch):
+    """A cluster session naming no checkpoint folder: same rows, no
+    machine-local folder, the probe runs separately."""
+    import custodia.session as session
+
+    bt, pp = tables
+    forced = SkewPolicy(buckets=4, max_hot=16, rows_per_task=1)
+    expected = _rows(public_export(bt, pp, skew=None))
+    monkeypatch.setattr(session, "shared_checkpoint_dir", lambda s: None)
+    assert _rows(public_export(bt, pp, skew=forced)) == expected
+    assert _rows(public_export(bt, pp)) == expected
