@@ -31,10 +31,14 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+CROSS_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
-def test_no_python_in_plans(spark, name):
+def test_no_python_and_no_cross_join_in_plans(spark, name):
     text = plan_text(E.queries()[name](spark, SF01))
     assert not any(node in text for node in PYTHON_NODES)
+    assert not any(node in text for node in CROSS_NODES)
 
 
 def test_filters_and_pruning_reach_the_scan(spark):
