@@ -103,6 +103,7 @@ def test_patient_details_private_lookup(spark):
 def test_documents_no_match_and_missing_id(spark):
     docs = spark.createDataFrame([(1, 7, "t")], "doc_id long, patientId long, text string")
     assert patient_documents(docs, 8).count() == 0
+    assert patient_documents(docs, "7").count() == 1  # text id, as the reference sends it
     with pytest.raises(ValueError):
         patient_documents(docs, "")
 
