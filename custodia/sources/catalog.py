@@ -32,18 +32,25 @@ class Catalog:
 
     @classmethod
     def from_maps(cls, locations: Mapping[str, str], types: Mapping[str, str],
-                  jdbc: Mapping[str, str] | None = None) -> "Catalog":
+                  jdbc: Mapping[str, str] | None = None,
+                  partitioning: Mapping[str, Mapping[str, str]] | None = None) -> "Catalog":
         """Catalog from location and type maps: ``locations[name]`` is a path
         (or a JDBC table), ``types[name + "_type"]`` is ``s3a``/``parquet``/
         another Spark file format or ``jdbc``; ``jdbc`` holds ``url``,
         ``user``, ``password`` (and any other JDBC option). A table without a
-        known type is an error here, not an empty frame later."""
+        known type is an error here, not an empty frame later.
+
+        ``partitioning[name]`` adds per-table reader options; for a large JDBC
+        table give ``partitionColumn``/``lowerBound``/``upperBound``/
+        ``numPartitions`` so it is read over that many connections instead of
+        one."""
         specs: dict[str, TableSpec] = {}
         for name, location in locations.items():
             kind = types.get(f"{name}_type")
             if not kind:
                 raise KeyError(f"no type configured for table {name!r}")
             options = dict(jdbc or {}) if kind == "jdbc" else {}
+            options.update((partitioning or {}).get(name, {}))
             if kind == "jdbc" and "url" not in options:
                 raise ValueError(f"table {name!r} is jdbc but no jdbc url is configured")
             specs[name] = TableSpec(name, kind, location, options)

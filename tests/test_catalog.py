@@ -66,6 +66,10 @@ def test_catalog_from_location_and_type_maps(spark):
     assert cat.load(spark, "nation").count() == 25
     spec = cat.spec("patient")
     assert spec.format == "jdbc" and spec.options["url"].startswith("jdbc:")
+    parted = Catalog.from_maps({"patient": "PATIENT"}, {"patient_type": "jdbc"},
+                               {"url": "jdbc:derby:memory:x"},
+                               {"patient": {"partitionColumn": "patientId", "numPartitions": "8"}})
+    assert parted.spec("patient").options["numPartitions"] == "8"
     with pytest.raises(KeyError):
         Catalog.from_maps({"t": "/x"}, {})
     with pytest.raises(ValueError):
