@@ -113,3 +113,23 @@ def test_export_equals_brute_force(spark, tests, pids, strict):
                                            "fibrinogen_value").collect()
     expected = _brute_force_export(tests, [(a, b, c.year) for a, b, c in profiles], strict)
     assert sorted((tuple(r) for r in got), key=repr) == expected
+
+
+@SETTINGS
+@given(tests=st.lists(st.tuples(keys, st.one_of(st.none(), st.integers(-50, 50))), max_size=30),
+       births=st.lists(st.tuples(st.integers(0, 5), st.integers(1950, 2010)), max_size=8))
+def test_age_band_average_equals_row_level_join(spark, tests, births):
+    from custodia.operators import age_band_average
+
+    t = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in tests],
+                              "patientId long, fibrinogen_value double")
+    p = spark.createDataFrame([(k, dt.date(y, 6, 1)) for k, y in births],
+                              "patientId long, birthDate date")
+    got = age_band_average(t, p, "fibrinogen", 20, 50, as_of=dt.date(2020, 1, 1)).first().value
+    # brute force: every (measurement, profile) pair with a birth year in 1970..1999
+    vals = [v for k, v in tests for pk, y in births
+            if k is not None and k == pk and 1970 <= y < 2000 and v is not None]
+    if not vals:
+        assert got is None
+    else:
+        assert math.isclose(got, sum(vals) / len(vals), rel_tol=1e-12, abs_tol=1e-12)
