@@ -154,7 +154,8 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
                      zone: Zone = Zone.ON_PREM, limit: int | None = None,
                      order_by: str | list[str] | None = None, key: str = "patientId",
                      columns: tuple[str, ...] = NUTRITIONAL_COLUMNS,
-                     skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+                     skew: SkewPolicy | None = DEFAULT_SKEW, flag: str = "stroke",
+                     category: str = "category") -> DataFrame:
     """Nutrition-related values of blood-test rows of stroke patients.
 
     Private/on-prem: the cohort (ids with any stroke row) is applied to the
@@ -167,13 +168,13 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
     without ``order_by`` any ``limit`` rows are returned, as in the reference.
     In the private zone the birth date is returned as a year.
     """
-    facts = tests.where(F.col("category") == BLOOD_TEST)
+    facts = tests.where(F.col(category) == BLOOD_TEST)
     if Zone.parse(zone) is Zone.PUBLIC:
-        df = facts.where(F.col("stroke") == 1)
+        df = facts.where(F.col(flag) == 1)
     else:
         if profiles is None:
             raise ValueError("profiles are required outside the public zone")
-        cohort, hot = cohort_and_hot_keys(tests, F.col("category") == BLOOD_TEST, key, skew)
+        cohort, hot = cohort_and_hot_keys(tests, F.col(category) == BLOOD_TEST, key, skew, flag)
         cohort = cohort.where(F.col(key).isNotNull())
         wanted = [c for c in profiles.columns if c in columns and c != key]
         patients = profiles.select(key, *wanted).join(cohort, key, "left_semi")

@@ -34,7 +34,7 @@ def subject_stats(tests: DataFrame, counted: Column | None = None, key: str = "p
 
 
 def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
-                        skew: SkewPolicy | None):
+                        skew: SkewPolicy | None, flag: str = "stroke"):
     """(cohort ids incl. a NULL id if flagged, {hot key: salts} or None).
 
     Without a skew policy the cohort stays a lazy ``distinct`` of the flagged
@@ -47,16 +47,16 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
     cohort (one more narrow scan); no machine-local folder is used.
     """
     if skew is None:
-        return stroke_cohort(tests, key), None
+        return stroke_cohort(tests, key, flag), None
     from custodia.session import shared_checkpoint_dir
 
     if shared_checkpoint_dir(tests.sparkSession) is None:
         counted_rows = tests if counted is None else tests.where(counted)
-        return stroke_cohort(tests, key), find_hot_keys(counted_rows, key, skew)
+        return stroke_cohort(tests, key, flag), find_hot_keys(counted_rows, key, skew)
     # The largest per-subject count is observed while the statistics are
     # written, so the hot-key read runs only when some subject is hot.
     seen = Observation("subject_stats")
-    stats = (subject_stats(tests, counted, key)
+    stats = (subject_stats(tests, counted, key, flag)
              .observe(seen, F.max(F.col("_n")).alias("max_n"))
              .checkpoint(eager=True))
     hot = {}

@@ -23,20 +23,24 @@ def _as_condition(where: Column | str | None) -> Column | None:
     return F.expr(where)
 
 
-def _public_projection(df: DataFrame, stroke: Column, key: str) -> DataFrame:
+def _public_projection(df: DataFrame, stroke: Column, key: str, flag: str, gender: str,
+                       birth: str, measurements: tuple[str, ...]) -> DataFrame:
     return df.select(
-        stroke.cast("int").alias("stroke"),
+        stroke.cast("int").alias(flag),
         F.lit(0).alias(key),
-        F.col("gender"),
-        F.year(F.col("birthDate")).cast("int").alias("birthDate"),
-        *[F.col(c) for c in MEASUREMENT_COLUMNS],
+        F.col(gender),
+        F.year(F.col(birth)).cast("int").alias(birth),
+        *[F.col(c) for c in measurements],
     )
 
 
 def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | None = None,
                   distinct: bool = True, null_ids: str = "ignore",
                   plan: str = "one_pass", key: str = "patientId",
-                  skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+                  skew: SkewPolicy | None = DEFAULT_SKEW, flag: str = "stroke",
+                  category: str = "category", gender: str = "gender",
+                  birth: str = "birthDate",
+                  measurements: tuple[str, ...] = MEASUREMENT_COLUMNS) -> DataFrame:
     """Blood-test rows for the public zone, de-identified and denormalised.
 
     Each blood-test row of a profiled subject becomes a 36-column row:
@@ -57,6 +61,9 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     ``null_ids="strict"`` reproduces NOT IN when the cohort holds a NULL
     id: the stroke-0 branch is then empty.
 
+    Column names are arguments (the reference's names by default), so the
+    same export runs on other subject/measurement tables.
+
     The export keeps gender, birth year and exact dates, so small groups
     may stay re-identifiable; see ``quasi_identifier_groups``.
     """
@@ -65,21 +72,25 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     if plan not in ("one_pass", "two_branch"):
         raise ValueError("plan must be 'one_pass' or 'two_branch'")
     cond = _as_condition(where)
-    exported = F.col("category") == BLOOD_TEST
+    exported = F.col(category) == BLOOD_TEST
     if cond is not None:
         exported = exported & cond
-    facts = tests.where(exported).select(key, *MEASUREMENT_COLUMNS)
-    people = profiles.select(key, "gender", "birthDate")
+    facts = tests.where(exported).select(key, *measurements)
+    people = profiles.select(key, gender, birth)
+
+    def project(df: DataFrame, stroke: Column) -> DataFrame:
+        return _public_projection(df, stroke, key, flag, gender, birth, measurements)
+
     # One pass over the measurement keys gives the cohort and the hot keys.
-    cohort, hot = cohort_and_hot_keys(tests, exported, key, skew)
+    cohort, hot = cohort_and_hot_keys(tests, exported, key, skew, flag)
     ids = cohort.where(F.col(key).isNotNull())
 
     if plan == "one_pass":
         flagged = people.join(ids.withColumn("_in_cohort", F.lit(1)), key, "left")
         joined = salted_join(facts, flagged, key, "inner", skew, hot=hot)
-        out = _public_projection(joined, F.coalesce(F.col("_in_cohort"), F.lit(0)), key)
+        out = project(joined, F.coalesce(F.col("_in_cohort"), F.lit(0)))
         if null_ids == "strict":
-            out = out.where((F.col("stroke") == 1) | ~cohort_has_null(cohort, key))
+            out = out.where((F.col(flag) == 1) | ~cohort_has_null(cohort, key))
     else:
         # The probe of the measurements serves all three joins (results are
         # exact for any hot-key list; with one profile per subject the
@@ -89,8 +100,7 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
         branch0 = salted_join(joined, ids, key, "left_anti", skew, hot=hot)
         if null_ids == "strict":
             branch0 = branch0.where(~cohort_has_null(cohort, key))
-        out = _public_projection(branch0, F.lit(0), key).unionByName(
-            _public_projection(branch1, F.lit(1), key))
+        out = project(branch0, F.lit(0)).unionByName(project(branch1, F.lit(1)))
     return out.distinct() if distinct else out
 
 

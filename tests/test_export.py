@@ -92,3 +92,16 @@ def test_export_without_a_shared_checkpoint_folder(spark, tables, monkeypatch):
     monkeypatch.setattr(session, "shared_checkpoint_dir", lambda s: None)
     assert _rows(public_export(bt, pp, skew=forced)) == expected
     assert _rows(public_export(bt, pp)) == expected
+
+
+def test_export_on_tables_with_other_column_names(spark):
+    tests, profiles = _toy(spark, False)
+    renamed_t = (tests.withColumnRenamed("patientId", "subject").withColumnRenamed("stroke", "event")
+                 .withColumnRenamed("category", "kind"))
+    renamed_p = (profiles.withColumnRenamed("patientId", "subject")
+                 .withColumnRenamed("gender", "sex").withColumnRenamed("birthDate", "born"))
+    out = public_export(renamed_t, renamed_p, key="subject", flag="event", category="kind",
+                        gender="sex", birth="born",
+                        measurements=("fibrinogen_value",))
+    assert out.columns == ["event", "subject", "sex", "born", "fibrinogen_value"]
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 0, "m", 1980, 2.0), (1, 0, "f", 1970, 1.0)]
