@@ -13,7 +13,7 @@ from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custodia.model import GovernedPlan, PolicyRequest, Zone
+from custodia.model import GovernedPlan, PolicyRequest, TableSpec, Zone
 from custodia.operators.rows import drop_denied_rows
 from custodia.sources.catalog import Catalog
 
@@ -48,7 +48,12 @@ def run_governed(spark: SparkSession, plan: GovernedPlan | None, catalog: Catalo
     except Exception:  # sessions that cannot spawn a child keep their own views
         session = spark
     for table, view in zip(plan.tables, views):
-        catalog.load(session, table, **dict(plan.write_options)).createOrReplaceTempView(view)
+        # The plan's properties (Parquet decryption keys) are for file
+        # sources; a JDBC connection does not get them.
+        spec = catalog.spec(table)
+        is_jdbc = isinstance(spec, TableSpec) and spec.format == "jdbc"
+        options = {} if is_jdbc else dict(plan.write_options)
+        catalog.load(session, table, **options).createOrReplaceTempView(view)
     result = session.sql(plan.sql, args=dict(args) if args else None)
     return drop_denied_rows(result, subject=subject)
 
