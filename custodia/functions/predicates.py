@@ -56,7 +56,9 @@ def birth_year_filter(df: DataFrame, column: str, min_year: int, max_year: int,
         first = _dt.date(min_year if lo_incl else min_year + 1, 1, 1)
         after = _dt.date(max_year + 1 if hi_incl else max_year, 1, 1)
         return (col >= F.lit(first)) & (col < F.lit(after))
-    year = F.year(F.to_date(col))
+    # text: malformed values match no band (as a text comparison would)
+    # instead of failing the job under ANSI mode
+    year = F.year(col.try_cast("date"))
     lo = year >= min_year if lo_incl else year > min_year
     hi = year <= max_year if hi_incl else year < max_year
     return lo & hi

@@ -37,8 +37,9 @@ def stream_movement(spark: SparkSession, staging: str, target: str,
     ``schema`` defaults to the schema of what is already staged (a stream
     needs it up front). ``available_now=True`` processes everything staged
     so far, in bounded batches, then stops; ``False`` keeps watching the
-    folder, starting a batch every ``processing_time``. The checkpoint defaults to a folder under the session's shared
-    ``spark.checkpoint.dir`` named after the target.
+    folder, starting a batch every ``processing_time``. The checkpoint
+    defaults to a folder under the session's shared ``spark.checkpoint.dir``
+    named after the target.
     """
     opts = dict(options or {})
     if schema is None:

@@ -43,6 +43,12 @@ def test_birth_band_semantics_by_storage(spark, kind, expected):
     assert got == expected
 
 
+def test_malformed_text_birth_dates_match_no_band(spark):
+    df = spark.createDataFrame([("1970-05-01",), ("n/a",), (None,)], "birthDate string")
+    got = [r.birthDate for r in df.where(birth_year_filter(df, "birthDate", 1960, 1990)).collect()]
+    assert got == ["1970-05-01"]
+
+
 def test_date_band_is_pushed_to_parquet(spark, scratch):
     path = f"{scratch}/p"
     spark.createDataFrame([(dt.date(1970, 1, 1),)], "birthDate date").write.parquet(path)
