@@ -51,6 +51,7 @@ class TableSpec:
     location: str
     options: Mapping[str, str] = field(default_factory=dict)
     required_columns: tuple[str, ...] = ()
+    schema: str | None = None  # DDL; when given, reads skip schema inference
 
 
 @dataclass(frozen=True)

@@ -82,6 +82,8 @@ class Catalog:
         else:
             fmt = _FORMAT_ALIASES.get(entry.format, entry.format)
             reader = spark.read.format(fmt).options(**{**entry.options, **options})
+            if entry.schema and fmt != "jdbc":
+                reader = reader.schema(entry.schema)
             if fmt == "jdbc":
                 df = reader.option("dbtable", entry.location).load()
             else:

@@ -16,6 +16,7 @@ Every builder reads whole tables; nothing is sampled or capped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 from custodia.functions.columns import COMPONENTS, NO_NORMAL_RANGE
@@ -41,8 +42,19 @@ STROKE_MODULUS = 97
 DOCUMENT_PATIENTS = 150
 
 
+# The driver's tables are read-only, so a schema inferred once per path is
+# reused and later reads skip the inference job.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    known = _SCHEMAS.get(path)
+    if known is not None:
+        return spark.read.schema(known).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def blood_tests_expressions() -> list[str]:

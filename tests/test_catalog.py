@@ -74,3 +74,10 @@ def test_catalog_from_location_and_type_maps(spark):
         Catalog.from_maps({"t": "/x"}, {})
     with pytest.raises(ValueError):
         Catalog.from_maps({"t": "T"}, {"t_type": "jdbc"})
+
+
+def test_declared_schema_is_used(spark):
+    cat = Catalog({"n": TableSpec("n", "parquet", f"{SF001}/nation.parquet",
+                                  schema="n_nationkey INT, n_name STRING")})
+    df = cat.load(spark, "n")
+    assert df.columns == ["n_nationkey", "n_name"] and df.count() == 25
