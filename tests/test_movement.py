@@ -94,3 +94,20 @@ def test_sorted_target_lets_lookups_skip_row_groups(spark, scratch):
     lookup = t.where(F.col("patientId") == 7)
     assert "PushedFilters: [IsNotNull(patientId), EqualTo(patientId,7)]" in plan_text(lookup)
     assert lookup.count() == 40
+
+
+def test_public_target_partitioned_by_cohort_prunes_reads(spark, scratch):
+    from conftest import plan_text
+
+    from custodia.model import Zone
+    from custodia.operators import nutritional_data
+
+    export = public_export(blood_tests(spark, SF001), patients_profiles(spark, SF001))
+    start_movement(export, f"{scratch}/s")
+    finish_movement(spark, f"{scratch}/s", f"{scratch}/public", partition_by=["stroke"],
+                    sort_within=["birthDate"])
+    public = spark.read.parquet(f"{scratch}/public")
+    cohort = nutritional_data(public, zone=Zone.PUBLIC)
+    text = plan_text(cohort)
+    assert "PartitionFilters: [isnotnull(stroke" in text and "(stroke" in text
+    assert cohort.count() == export.where("stroke = 1").count()
