@@ -26,9 +26,8 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6)
+        # exact: both engines must produce the same double
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if hasattr(v, "as_py"):
