@@ -95,6 +95,16 @@ def _schema_of(spark: SparkSession, path: str, options: Mapping[str, str]) -> T.
         return None
 
 
+def _is_stream_sink(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a streaming file sink's commit log (path
+    resolution only, no job)."""
+    try:
+        spark.read.format("text").load(f"{path.rstrip('/')}/_spark_metadata")
+        return True
+    except AnalysisException:
+        return False
+
+
 def _check_compatible(staged: T.StructType, target: T.StructType, skip: set[str]) -> None:
     have = {f.name: f.dataType for f in staged.fields if f.name not in skip}
     want = {f.name: f.dataType for f in target.fields if f.name not in skip}
@@ -125,9 +135,14 @@ def finish_movement(spark: SparkSession, staging: str, target: str,
       ``movement_id=<id>`` written with dynamic partition overwrite, so
       re-running a movement replaces its rows instead of duplicating them;
     * ``sort_within`` (e.g. ``["patientId"]``) clusters each written file by
-      those columns for data skipping in later per-subject reads.
+      those columns for data skipping in later per-subject reads;
+    * a target written by ``stream_movement`` is refused: its readers follow
+      the stream's commit log and would never see batch-appended files.
     """
     opts = dict(options or {})
+    if _is_stream_sink(spark, target):
+        raise MovementError(f"{target} is written by a stream; finish this movement with "
+                            "stream_movement instead")
     try:
         staged = spark.read.options(**opts).parquet(staging)
     except AnalysisException as exc:

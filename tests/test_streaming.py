@@ -37,3 +37,17 @@ def test_continuous_stream_picks_up_new_staged_files(spark, scratch):
     out = spark.read.parquet(target)
     assert sorted(r.patientId for r in out.collect()) == [1, 2, 3]
     assert out.where("fibrinogen_value IS NULL").count() == 0
+
+
+def test_batch_finish_refuses_a_stream_target(spark, scratch):
+    import pytest
+
+    from custodia.plans import MovementError, finish_movement
+
+    staging, target = f"{scratch}/staging", f"{scratch}/target"
+    start_movement(spark.createDataFrame([(1, 1.0)], "patientId long, fibrinogen_value double"),
+                   staging, mode="append")
+    stream_movement(spark, staging, target, checkpoint=f"{scratch}/ckpt").awaitTermination()
+    with pytest.raises(MovementError):
+        finish_movement(spark, staging, target)
+    assert spark.read.parquet(target).count() == 1
