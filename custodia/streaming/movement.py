@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from typing import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +24,20 @@ from custodia.plans.movement import DEFAULT_FILL, MovementError, fill_present
 from custodia.session import checkpoint_path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("text").load(path)  # path resolution only, no job
+        return True
+    except AnalysisException:
+        return False
+
+
+def _holds_batch_data(spark: SparkSession, target: str) -> bool:
+    """An existing target without a stream commit log: its files were
+    written by batch jobs, and a sink's log would make readers skip them."""
+    return _exists(spark, target) and not _exists(spark, f"{target.rstrip('/')}/_spark_metadata")
+
+
 def stream_movement(spark: SparkSession, staging: str, target: str,
                     schema: T.StructType | None = None,
                     fill: Mapping[str, object] | None = None,
@@ -39,9 +54,13 @@ def stream_movement(spark: SparkSession, staging: str, target: str,
     so far, in bounded batches, then stops; ``False`` keeps watching the
     folder, starting a batch every ``processing_time``. The checkpoint
     defaults to a folder under the session's shared ``spark.checkpoint.dir``
-    named after the target.
+    named after the target. A target that already holds batch-written data
+    is refused.
     """
     opts = dict(options or {})
+    if _holds_batch_data(spark, target):
+        raise MovementError(f"{target} already holds batch-written data; a stream sink there "
+                            "would hide it from readers (give the stream its own target)")
     if schema is None:
         try:
             schema = spark.read.options(**opts).parquet(staging).schema

@@ -51,3 +51,17 @@ def test_batch_finish_refuses_a_stream_target(spark, scratch):
     with pytest.raises(MovementError):
         finish_movement(spark, staging, target)
     assert spark.read.parquet(target).count() == 1
+
+
+def test_stream_refuses_a_batch_target(spark, scratch):
+    import pytest
+
+    from custodia.plans import MovementError
+
+    staging, target = f"{scratch}/staging", f"{scratch}/target"
+    df = spark.createDataFrame([(1, 1.0)], "patientId long, fibrinogen_value double")
+    start_movement(df, staging, mode="append")
+    df.write.parquet(target)
+    with pytest.raises(MovementError):
+        stream_movement(spark, staging, target, checkpoint=f"{scratch}/ckpt")
+    assert spark.read.parquet(target).count() == 1
