@@ -184,9 +184,9 @@ def q_masked(spark, sf_dir):
     cat, bt, _ = _tables(spark, sf_dir)
     clauses = cat.load(spark, "blood_tests_clauses")
     cols = bt.select("patientId", "cholesterol_total_value", "fibrinogen_value")
-    masked = mask_by_clauses(cols, clauses, {"cholesterol_total_value": "consent_labs",
-                                             "fibrinogen_value": "consent_labs"})
-    return drop_denied_rows(masked)
+    return mask_by_clauses(cols, clauses, {"cholesterol_total_value": "consent_labs",
+                                           "fibrinogen_value": "consent_labs"},
+                           drop_denied=True)
 
 
 GOVERNED_SQL = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.functions.pseudonyms import pseudonym
+from custodia.operators.rows import drop_denied_rows
 from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
 
 
@@ -29,7 +30,8 @@ def suppress_id(df: DataFrame, column: str = "patientId", value: int = 0) -> Dat
 
 def mask_by_clauses(df: DataFrame, clauses: DataFrame, rules: Mapping[str, str | Column],
                     key: str = "patientId",
-                    skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+                    skew: SkewPolicy | None = DEFAULT_SKEW,
+                    drop_denied: bool = False) -> DataFrame:
     """Blank cells the subject has not consented to share.
 
     ``clauses`` holds one row per subject with boolean consent columns;
@@ -37,7 +39,11 @@ def mask_by_clauses(df: DataFrame, clauses: DataFrame, rules: Mapping[str, str |
     boolean expression over consent columns) that allows it. A cell is kept
     only when its consent is TRUE: FALSE, NULL and a subject without a
     clauses row all give NULL. Masking never turns a NULL into a value.
-    Follow with ``drop_denied_rows`` to remove rows left empty.
+
+    ``drop_denied=True`` also removes the rows left empty (as
+    ``drop_denied_rows``). Because masking only removes values, rows that are
+    already empty are dropped before the consent join (exact, and it shrinks
+    the join input); the rest are checked again after masking.
     """
     unknown = [c for c in rules if c not in df.columns]
     if unknown:
@@ -46,8 +52,10 @@ def mask_by_clauses(df: DataFrame, clauses: DataFrame, rules: Mapping[str, str |
     needed = sorted({r for r in rules.values() if isinstance(r, str)})
     only_names = all(isinstance(r, str) for r in rules.values())
     consent = clauses.select(key, *needed) if only_names else clauses
-    joined = salted_join(df, consent, key, "left", skew)
-    return joined.select(*[
+    source = drop_denied_rows(df, subject=key) if drop_denied else df
+    joined = salted_join(source, consent, key, "left", skew)
+    masked = joined.select(*[
         F.when(conds[c], F.col(c)).alias(c) if c in conds else F.col(c)
         for c in df.columns
     ])
+    return drop_denied_rows(masked, subject=key) if drop_denied else masked

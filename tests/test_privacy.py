@@ -51,3 +51,16 @@ def test_masking_with_expression_rule(spark):
                                     "patientId long, c1 boolean, c2 boolean")
     masked = mask_by_clauses(data, clauses, {"lab": F.col("c1") & F.col("c2")})
     assert {r.patientId: r.lab for r in masked.collect()} == {1: None, 2: 2.0}
+
+
+def test_masking_with_drop_denied_equals_mask_then_drop(spark):
+    data = spark.createDataFrame(
+        [(1, 1.0, None), (2, None, None), (3, None, "c"), (4, 4.0, "d"), (None, 5.0, None)],
+        "patientId long, lab double, note string")
+    clauses = spark.createDataFrame([(1, True), (3, True), (4, False)],
+                                    "patientId long, consent_labs boolean")
+    rules = {"lab": "consent_labs", "note": "consent_labs"}
+    one_step = mask_by_clauses(data, clauses, rules, drop_denied=True)
+    two_steps = drop_denied_rows(mask_by_clauses(data, clauses, rules))
+    assert sorted(map(repr, one_step.collect())) == sorted(map(repr, two_steps.collect()))
+    assert sorted(r.patientId for r in one_step.collect()) == [1, 3]
