@@ -25,11 +25,12 @@ def _as_condition(where: Column | str | None) -> Column | None:
 
 def _public_projection(df: DataFrame, stroke: Column, key: str, flag: str, gender: str,
                        birth: str, measurements: tuple[str, ...]) -> DataFrame:
+    # birth is already a year here (computed per subject, before the join)
     return df.select(
         stroke.cast("int").alias(flag),
         F.lit(0).alias(key),
         F.col(gender),
-        F.year(F.col(birth)).cast("int").alias(birth),
+        F.col(birth),
         *[F.col(c) for c in measurements],
     )
 
@@ -76,7 +77,8 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     if cond is not None:
         exported = exported & cond
     facts = tests.where(exported).select(key, *measurements)
-    people = profiles.select(key, gender, birth)
+    # Per-subject values are computed once per subject, not per measurement.
+    people = profiles.select(key, gender, F.year(F.col(birth)).cast("int").alias(birth))
 
     def project(df: DataFrame, stroke: Column) -> DataFrame:
         return _public_projection(df, stroke, key, flag, gender, birth, measurements)
@@ -86,9 +88,11 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     ids = cohort.where(F.col(key).isNotNull())
 
     if plan == "one_pass":
-        flagged = people.join(ids.withColumn("_in_cohort", F.lit(1)), key, "left")
+        flagged = (people.join(ids.withColumn("_in_cohort", F.lit(1)), key, "left")
+                   .select(key, gender, birth,
+                           F.coalesce(F.col("_in_cohort"), F.lit(0)).alias("_stroke")))
         joined = salted_join(facts, flagged, key, "inner", skew, hot=hot)
-        out = project(joined, F.coalesce(F.col("_in_cohort"), F.lit(0)))
+        out = project(joined, F.col("_stroke"))
         if null_ids == "strict":
             out = out.where((F.col(flag) == 1) | ~cohort_has_null(cohort, key))
     else:
