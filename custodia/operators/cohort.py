@@ -114,7 +114,7 @@ def tests_with_profiles(tests: DataFrame, profiles: DataFrame | None,
         return tests
     if profiles is None:
         raise ValueError("profiles are required outside the public zone")
-    joined = salted_join(tests, profiles, key, "inner", skew)
-    if zone is Zone.PRIVATE and "birthDate" in joined.columns:
-        joined = joined.withColumn("birthDate", F.year("birthDate").cast("int"))
-    return joined
+    if zone is Zone.PRIVATE and "birthDate" in profiles.columns:
+        # generalised once per subject, before the join
+        profiles = profiles.withColumn("birthDate", F.year("birthDate").cast("int"))
+    return salted_join(tests, profiles, key, "inner", skew)
