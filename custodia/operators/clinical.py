@@ -177,7 +177,8 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
         cohort, hot = cohort_and_hot_keys(tests, F.col(category) == BLOOD_TEST, key, skew, flag)
         cohort = cohort.where(F.col(key).isNotNull())
         wanted = [c for c in profiles.columns if c in columns and c != key]
-        patients = profiles.select(key, *wanted).join(cohort, key, "left_semi")
+        # private zone: birth years are made once per subject, before the join
+        patients = _zone_view(profiles.select(key, *wanted), zone).join(cohort, key, "left_semi")
         keep = [c for c in facts.columns if c in columns or c == key
                 or (order_by and c in ([order_by] if isinstance(order_by, str) else order_by))]
         df = salted_join(facts.select(*keep), patients, key, "inner", skew, hot=hot)
@@ -186,4 +187,4 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
             df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
         df = df.limit(limit)
     out = df.select(*[c for c in columns if c in df.columns])
-    return drop_denied_rows(_zone_view(out, zone), subject=key)
+    return drop_denied_rows(out, subject=key)
