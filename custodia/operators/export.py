@@ -88,9 +88,13 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     ids = cohort.where(F.col(key).isNotNull())
 
     if plan == "one_pass":
-        flagged = (people.join(ids.withColumn("_in_cohort", F.lit(1)), key, "left")
-                   .select(key, gender, birth,
-                           F.coalesce(F.col("_in_cohort"), F.lit(0)).alias("_stroke")))
+        # The flag as semi join (1) plus anti join (0), not a left join:
+        # Spark sizes a semi/anti join like its left side but a left join as
+        # the product of both sides, so this keeps the per-subject side
+        # eligible for a broadcast when it is small, instead of shuffling the
+        # measurements first.
+        flagged = (people.join(ids, key, "left_semi").withColumn("_stroke", F.lit(1))
+                   .unionByName(people.join(ids, key, "left_anti").withColumn("_stroke", F.lit(0))))
         joined = salted_join(facts, flagged, key, "inner", skew, hot=hot)
         out = project(joined, F.col("_stroke"))
         if null_ids == "strict":
