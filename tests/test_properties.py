@@ -133,3 +133,16 @@ def test_age_band_average_equals_row_level_join(spark, tests, births):
         assert got is None
     else:
         assert math.isclose(got, sum(vals) / len(vals), rel_tol=1e-12, abs_tol=1e-12)
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 30), keys, st.sampled_from([0, 1])), max_size=30))
+def test_in_cohort_equals_sql_in(spark, rows):
+    from custodia.operators import in_cohort
+
+    t = spark.createDataFrame(rows, "testId long, patientId long, stroke int")
+    t.createOrReplaceTempView("prop_in")
+    sql = spark.sql("SELECT patientId, testId FROM prop_in WHERE patientId IN "
+                    "(SELECT patientId FROM prop_in WHERE stroke = 1)")
+    ours = in_cohort(t.select("testId", "patientId"), stroke_cohort(t), skew=FORCE)
+    assert _sorted(ours.select("patientId", "testId").collect()) == _sorted(sql.collect())
