@@ -146,3 +146,14 @@ def test_in_cohort_equals_sql_in(spark, rows):
                     "(SELECT patientId FROM prop_in WHERE stroke = 1)")
     ours = in_cohort(t.select("testId", "patientId"), stroke_cohort(t), skew=FORCE)
     assert _sorted(ours.select("patientId", "testId").collect()) == _sorted(sql.collect())
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 30), keys, st.sampled_from([0, 1])), max_size=30))
+def test_default_not_in_cohort_equals_sql_not_exists(spark, rows):
+    t = spark.createDataFrame(rows, "testId long, patientId long, stroke int")
+    t.createOrReplaceTempView("prop_ne")
+    sql = spark.sql("SELECT patientId, testId FROM prop_ne o WHERE NOT EXISTS "
+                    "(SELECT 1 FROM prop_ne i WHERE i.stroke = 1 AND i.patientId = o.patientId)")
+    ours = not_in_cohort(t.select("testId", "patientId"), stroke_cohort(t), skew=FORCE)
+    assert _sorted(ours.select("patientId", "testId").collect()) == _sorted(sql.collect())
