@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, mixing, topk
+from custodia.llm import decontaminate, jaccard_join, mixing, topk
 from custodia.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -31,6 +35,7 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_systematic_mix": op4_systematic_mix,
+    "op5_shingle_jaccard_join": op5_shingle_jaccard_join,
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
     "op10_branch_and_bound": op10_branch_and_bound,
 }
