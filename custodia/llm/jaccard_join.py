@@ -213,12 +213,24 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
                 .mapInArrow(_full_sets(shingle), "set long, tokens binary, wanted long")
                 .filter(F.col("set") == F.col("wanted")).dropDuplicates(["set"]).select("set", "tokens"))
 
-    # each class with the neighbour it shares most entries with
-    offers = (lists.filter(F.col("before").isNotNull())
-              .filter(_possible(F.col("before.n"), F.col("before.pos"), F.col("n"), F.col("pos")))
-              .groupBy(F.col("set").alias("a"), F.col("before.set").alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    chosen = (offers.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
-              .select("a", F.col("best.b").alias("b")))
+    # each class with the neighbour and with the leader that it shares most
+    # entries with; leaders are the classes whose entries are in long lists
+    fame = (lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token")))
+            .groupBy("set").agg((F.sum("size") / F.max("n")).alias("fame")))
+    known = lists.join(fame, "set")
+    one = F.struct("fame", "set", "n", "pos")
+    known = known.withColumn("leader", F.max(one).over(Window.partitionBy("token")))
+    offers = (known.select("set", "n", "pos", F.explode(F.array(
+                  F.struct(F.lit(0).alias("kind"), F.col("before.set").alias("set"),
+                           F.col("before.n").alias("n"), F.col("before.pos").alias("pos")),
+                  F.struct(F.lit(1).alias("kind"), F.col("leader.set").alias("set"),
+                           F.col("leader.n").alias("n"), F.col("leader.pos").alias("pos")))).alias("o"))
+              .filter("o.set <> set")
+              .filter(_possible(F.least("n", "o.n"), F.col("pos"), F.greatest("n", "o.n"), F.col("pos")))
+              .groupBy(F.col("set").alias("a"), "o.kind", F.col("o.set").alias("b"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    chosen = (offers.groupBy("a", "kind").agg(F.max(F.struct("n", "b")).alias("best"))
+              .select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct())
     near = kept(_verified(chosen, sets))
     groups = components(near)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from custodia.session import ensure_checkpoint_dir
@@ -12,7 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared checkpoint folder, so
-    that later jobs neither repeat its work nor depend on one executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and read back from the shared checkpoint folder.
+
+    Later jobs neither repeat its work nor depend on one executor, and plan
+    with its real size (a checkpoint keeps the estimates of the plan before
+    it, which multiply from join to join). The files stay in the folder that
+    ``spark.checkpoint.dir`` names until its owner clears it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
