@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, jaccard_join, mixing, topk
+from custodia.llm import chat, decontaminate, html_text, jaccard_join, language_id, mixing, topk
 from custodia.llm.tables import table
 
 
+def op2_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -28,14 +36,21 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tree_scored_text": op2_tree_scored_text,
+    "op3_perspective_rotation": op3_perspective_rotation,
     "op4_systematic_mix": op4_systematic_mix,
     "op5_shingle_jaccard_join": op5_shingle_jaccard_join,
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
+    "op9_language_mixture": op9_language_mixture,
     "op10_branch_and_bound": op10_branch_and_bound,
 }
