@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import chat, decontaminate, html_text, jaccard_join, language_id, mixing, topk
+from custodia.llm import chat, decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, topk
 from custodia.llm.tables import table
 
 
+def op1_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents")).drop("dropped")
+
+
 def op2_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_segment_line_dedup": op1_segment_line_dedup,
     "op2_tree_scored_text": op2_tree_scored_text,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_systematic_mix": op4_systematic_mix,
