@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import chat, decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, topk
+from custodia.llm import (
+    chat, decontaminate, hmm, html_text, jaccard_join, language_id, line_dedup, mixing, quality, topk,
+)
 from custodia.llm.tables import table
 
 
@@ -32,6 +34,14 @@ def op5_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_hidden_markov_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_systematic_mix": op4_systematic_mix,
     "op5_shingle_jaccard_join": op5_shingle_jaccard_join,
+    "op6_hidden_markov_model": op6_hidden_markov_model,
+    "op7_rule_ensemble": op7_rule_ensemble,
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
     "op9_language_mixture": op9_language_mixture,
     "op10_branch_and_bound": op10_branch_and_bound,
