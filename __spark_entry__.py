@@ -275,13 +275,27 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# The training-data operators and their pipeline are an optional part: the
+# queries above work without it.
+try:
+    import corpus_pipeline
+    from custodia.llm.oracles import ORACLE_SQL as _LLM_ORACLE
+    from custodia.llm.queries import QUERIES as _LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "custodia.llm")):
+        raise
+    _LLM_QUERIES, _LLM_ORACLE = {}, {}
+else:
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": corpus_pipeline.run}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the anonymised public-zone export on sf0.001."""
     return q_public_export(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM_QUERIES}
 
 
 # --------------------------------------------------------------------------
@@ -418,4 +432,4 @@ _ORACLE["json_average"] = _ORACLE["avg_age"]
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key."""
-    return {k: _WITH + v for k, v in _ORACLE.items()}
+    return {**{k: _WITH + v for k, v in _ORACLE.items()}, **_LLM_ORACLE}
