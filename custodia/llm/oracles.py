@@ -37,7 +37,7 @@ SELECT doc_id, size, source_size, target,
 
 OP8 = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
 items AS (
@@ -48,14 +48,14 @@ windows AS (
   FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM items WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM windows),
 docs AS (
-  SELECT doc_id, list(word ORDER BY at) AS w, count(*) AS n_words FROM words GROUP BY doc_id),
+  SELECT doc_id, list(word ORDER BY pos) AS w, count(*) AS n_words FROM words GROUP BY doc_id),
 found AS (
-  SELECT p.doc_id, p.at, p.n, item_id FROM (
-    SELECT doc_id, n, at, array_to_string(w[at:at + n - 1], ' ') AS phrase
-    FROM (SELECT d.*, s.n, unnest(generate_series(1, d.n_words - s.n + 1)) AS at FROM docs d, sizes s
+  SELECT p.doc_id, p.pos, p.n, item_id FROM (
+    SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS phrase
+    FROM (SELECT d.*, s.n, unnest(generate_series(1, d.n_words - s.n + 1)) AS pos FROM docs d, sizes s
           WHERE d.n_words >= s.n)) p JOIN windows x ON x.phrase = p.phrase AND x.n = p.n),
 hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (
-    SELECT doc_id, unnest(generate_series(at, at + n - 1)) AS k FROM found) GROUP BY doc_id),
+    SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS k FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
     string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
     FROM found GROUP BY doc_id)
@@ -66,9 +66,9 @@ FROM documents d LEFT JOIN docs USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT
 """
 
 OP10 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT
   AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
   vec_id, score FROM s)
