@@ -91,11 +91,19 @@ def segment_keys(line: str, edits: int) -> tuple[list[tuple[int, str]], list[tup
     return own, sorted(more.difference(own))
 
 
+def _sketch(line: str) -> int:
+    """Which characters (by code modulo 56) occur an odd number of times,
+    and above these bits the length modulo 128. An edit changes at most two
+    of the bits."""
+    odd = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % 56, minlength=56) & 1
+    return int.from_bytes(np.packbits(odd, bitorder="little").tobytes(), "little") | (len(line) & 127) << 56
+
+
 def _keys(edits: int, min_chars: int) -> Callable:
     def run(batches):
         for batch in batches:
             seen: set[int] = set()
-            keys, names, whole = [], [], []
+            keys, names, whole, sketches = [], [], [], []
             for text in batch.column(0):
                 for line in _lines(text.as_py()):
                     if len(line) < min_chars:
@@ -105,20 +113,21 @@ def _keys(edits: int, min_chars: int) -> Callable:
                         continue
                     seen.add(name)
                     own, more = segment_keys(line, edits)
+                    sketches += [_sketch(line)] * (len(own) + len(more))
                     for part, mine in ((own, True), (more, False)):
                         for i, s in part:
                             keys.append(xxhash.xxh3_64_intdigest(s.encode(), i))
                             names.append(name)
                             whole.append(mine)
                 if len(keys) >= 1 << 19:
-                    yield _batch(keys, names, whole)
-                    keys, names, whole = [], [], []
-            yield _batch(keys, names, whole)
+                    yield _batch(keys, names, whole, sketches)
+                    keys, names, whole, sketches = [], [], [], []
+            yield _batch(keys, names, whole, sketches)
 
-    def _batch(keys, names, whole):
+    def _batch(keys, names, whole, sketches):
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(names, pa.int64()),
-             pa.array(whole, pa.bool_())], names=["key", "lo", "own"])
+             pa.array(whole, pa.bool_()), pa.array(sketches, pa.int64())], names=["key", "lo", "own", "sketch"])
     return run
 
 
@@ -149,12 +158,15 @@ def line_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     """(a, b) of different lines within ``edits``, by hash, each pair once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .filter("doc_id IS NOT NULL")
-    keys = texts.select("text").mapInArrow(_keys(edits, min_chars), "key long, lo long, own boolean")
+    keys = texts.select("text").mapInArrow(_keys(edits, min_chars), "key long, lo long, own boolean, sketch long")
     whole = Window.partitionBy("key")
     lists = kept(keys.withColumn("least", F.min("lo").over(whole)).withColumn("most", F.max("lo").over(whole))
-                 .filter("least <> most").groupBy("key", "lo").agg(F.max("own").alias("own")))
+                 .filter("least <> most").groupBy("key", "lo", "sketch").agg(F.max("own").alias("own")))
     left, right = lists.filter("own").alias("l"), lists.alias("r")
-    pairs = kept(left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.lo") != F.col("r.lo")))
+    changed = F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch")).bitwiseAND(F.lit((1 << 56) - 1)))
+    apart = F.pmod(F.shiftright("l.sketch", 56) - F.shiftright("r.sketch", 56), F.lit(128))
+    fits = (changed <= 2 * edits) & ((apart <= edits) | (apart >= 128 - edits))
+    pairs = kept(left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.lo") != F.col("r.lo")) & fits)
                  .select(F.least("l.lo", "r.lo").alias("a"), F.greatest("l.lo", "r.lo").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("lo")).distinct()
     where = (asked.join(classes.select("lo", "first"), "lo").groupBy(F.col("first").alias("doc_id"))
