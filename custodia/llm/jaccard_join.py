@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia.llm.components import components
-from custodia.llm.tables import kept
+from custodia.llm.tables import kept, most_frequent
 from custodia.llm.words import Words, batch_words, blank_separated, mix
 
 SHINGLE = 5
 #: Tokens put last in the order, at most; the order decides only the work.
-FREQUENT_TOKENS = 1 << 17
-_SEEN = 8                  # documents of a batch that hold a frequent token
+FREQUENT_TOKENS = 1 << 18
+_SEEN = 4                  # documents of a batch that hold a frequent token
 _FLUSH = 1 << 22           # tokens counted at once
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,24 +70,50 @@ def _set_hashes(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([one + np.uint64(len(s)), two], np.uint64).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each of some ranges of hashes."""
+    places = (s >> np.uint64(56)).astype(np.int64)
+    return np.bincount(places, minlength=256).astype(np.uint32 if len(s) > 65535 else np.uint16).tobytes()
+
+
+def _counts(sketch) -> np.ndarray:
+    data = sketch.as_buffer()
+    return np.frombuffer(data, np.uint16 if len(data) == 512 else np.uint32).astype(np.int64)
+
+
+def _likely(batches):
+    """Of the pairs, those whose sketches allow the similarity: ranges
+    bound the common elements by the smaller of both counts."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            a, b = _counts(x), _counts(y)
+            keep.append(9 * int(np.minimum(a, b).sum()) >= 4 * int(a.sum() + b.sum()))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
+                                         names=["a", "b"])
+
+
 def _describe(size: int) -> Callable:
     """Rows of documents (seen NULL) and of tokens that a batch sees often."""
-    names = ["doc_id", "n", "set", "check", "token", "seen"]
+    names = ["doc_id", "n", "set", "check", "token", "seen", "sketch"]
 
     def often(sets: list[np.ndarray]):
         tokens, n = np.unique(np.concatenate(sets), return_counts=True)
         tokens, n = tokens[n >= _SEEN], n[n >= _SEEN]
         none = pa.nulls(len(n), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none] * 4 + [pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+            [none] * 4 + [pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64)),
+                          pa.nulls(len(n), pa.binary())], names=names)
 
     def run(batches):
         sets, held = [], 0
         for batch in batches:
-            rows = []
+            rows, sketches = [], []
             for _, _, words in batch_words(batch.column(1), blank_separated()):
                 for s in _shingles(words, size):
                     rows.append((len(s), *_set_hashes(s)))
+                    sketches.append(_sketch(s))
                     sets.append(s)
                     held += len(s)
                     if held >= _FLUSH:
@@ -96,7 +122,8 @@ def _describe(size: int) -> Callable:
             columns = np.array(rows, np.int64).reshape(-1, 3)
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(columns[:, k]) for k in range(3)], none, none], names=names)
+                [batch.column(0), *[pa.array(columns[:, k]) for k in range(3)], none, none,
+                 pa.array(sketches, pa.binary())], names=names)
         if sets:
             yield often(sets)
     return run
@@ -163,11 +190,28 @@ def _similar(batches):
                                          names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
-    return (pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-            .mapInArrow(_similar, "a long, b long"))
+def _paired(pairs: DataFrame, values: DataFrame, test: Callable) -> DataFrame:
+    """The pairs (a, b) whose ``values`` (set, value) pass a test."""
+    left = values.select(F.col("set").alias("a"), F.col("value").alias("x"))
+    right = values.select(F.col("set").alias("b"), F.col("value").alias("y"))
+    return kept(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+                .mapInArrow(test, "a long, b long").distinct())
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those that are similar. Sketches rule
+    most others out; then whole sets are compared, which come from one text
+    of each class that is left."""
+    first = documents.filter("doc_id IS NOT NULL AND n > 0").groupBy("set", "check").agg(F.min("doc_id").alias("doc_id"))
+    both = lambda p: p.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    members = kept(both(pairs).join(first, "set").select("set", "doc_id"))
+    sketches = documents.join(members, ["doc_id", "set"]).select("set", F.col("sketch").alias("value"))
+    likely = _paired(pairs, sketches, _likely)
+    wanted = kept(both(likely).join(members, "set").select("doc_id", F.col("set").alias("wanted")))
+    sets = kept(texts.join(wanted, "doc_id").select("text", "wanted")
+                .mapInArrow(_full_sets(shingle), "set long, value binary, wanted long")
+                .filter(F.col("set") == F.col("wanted")).select("set", "value"))
+    return _paired(likely, sets, _similar)
 
 
 def _possible(n, pos, other_n, other_pos):
@@ -187,13 +231,13 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = kept(texts.mapInArrow(
-        _describe(shingle), "doc_id long, n long, set long, check long, token long, seen long"))
-    documents = seen.filter("seen IS NULL").select("doc_id", "n", "set", "check")
-    top = (seen.filter("seen IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
-           .orderBy(F.col("seen").desc(), "token").limit(frequent_tokens).toArrow())
+        _describe(shingle), "doc_id long, n long, set long, check long, token long, seen long, sketch binary"))
+    documents = seen.filter("seen IS NULL").select("doc_id", "n", "set", "check", "sketch")
+    counted = seen.filter("seen IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("n"))
+    top = most_frequent(counted, frequent_tokens)[0].toArrow()
     tokens = np.asarray(top.column("token").combine_chunks(), np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    weights = np.frexp(np.asarray(top.column("seen").combine_chunks(), np.float64))[1]
+    weights = np.frexp(np.asarray(top.column("n").combine_chunks(), np.float64))[1]
     frequent = spark.sparkContext.broadcast((tokens[order], weights[order]))
 
     # index lists, one entry for each class; keep lists of two or more
@@ -206,13 +250,6 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
              .withColumn("after", F.lead("n").over(by_size)))
     lists = kept(lists.filter((F.col("before.n") * 5 >= F.col("n") * 4) | (F.col("after") * 4 <= F.col("n") * 5)))
 
-    # whole sets of the classes that may have a partner
-    first = documents.filter("doc_id IS NOT NULL AND n > 0").groupBy("set", "check").agg(F.min("doc_id").alias("doc_id"))
-    wanted = lists.select("set").distinct().join(first, "set").select("doc_id", F.col("set").alias("wanted"))
-    sets = kept(texts.join(wanted, "doc_id").select("text", "wanted")
-                .mapInArrow(_full_sets(shingle), "set long, tokens binary, wanted long")
-                .filter(F.col("set") == F.col("wanted")).dropDuplicates(["set"]).select("set", "tokens"))
-
     # each class with the neighbour and with the leader that it shares most
     # entries with; leaders are the classes whose entries are in long lists
     fame = (lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token")))
@@ -231,7 +268,7 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
               .agg(F.count(F.lit(1)).alias("n")))
     chosen = (offers.groupBy("a", "kind").agg(F.max(F.struct("n", "b")).alias("best"))
               .select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct())
-    near = kept(_verified(chosen, sets))
+    near = _verified(kept(chosen), documents, texts, shingle)
     groups = components(near)
 
     # pairs across groups: same list, sizes that fit, position early enough
@@ -251,7 +288,7 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
                          & ((s("n") < l("n")) | ((s("n") == l("n")) & (s("set") < l("set"))))
                          & _possible(s("n"), s("pos"), l("n"), l("pos")))
               .select(s("set").alias("a"), l("set").alias("b")).distinct())
-    more = kept(_verified(across, sets))
+    more = _verified(kept(across), documents, texts, shingle)
     if more.isEmpty():
         joined = groups
     else:

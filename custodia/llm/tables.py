@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from custodia.session import ensure_checkpoint_dir
 
@@ -25,3 +26,22 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The rows of ``counts`` with the largest ``n``, at most ``limit`` of
+    them, and the bound that their ``n`` reaches.
+
+    The bound comes from a histogram with 16 steps an octave, so no task
+    and not the driver sees more than ``limit`` rows; rows of the step that
+    would exceed it are all left out.
+    """
+    octave = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    steps = counts.groupBy(octave.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+    total, bound = 0, 1 << 62
+    for r in sorted(steps.collect(), key=lambda r: -r.step):
+        total += r.rows
+        if total > limit:
+            break
+        bound = r.least
+    return counts.filter(F.col("n") >= bound), bound
