@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.tables import kept
+from custodia.llm.tables import kept, most_frequent
 from custodia.llm.words import Words, batch_words, blank_separated, mix
 
 STATES = 8
@@ -306,13 +306,13 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Da
                   .mapInArrow(_count, "word long, class long, n long")
                   .groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
 
-    top = (counts.filter(F.col("n") >= MIN_COUNT).orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow())
+    top, bound = most_frequent(counts.filter(F.col("n") >= MIN_COUNT), FREQUENT)
+    top = top.select("word", "n").toArrow()
     words = np.asarray(top.column("word").combine_chunks(), np.int64).view(np.uint64)
     often = np.asarray(top.column("n").combine_chunks(), np.int64)
     order = np.argsort(words)
     frequent = context.broadcast((words[order], order.astype(np.int64)))
-    least = (int(often[-1]), int(words[-1:].view(np.int64)[0])) if len(often) else (1 << 62, 0)
-    is_rare = (F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1]))
+    is_rare = F.col("n") < bound
 
     texts = kept(rows.mapInArrow(_encode(frequent), "doc_id long, held_out boolean, symbols binary, rare binary")
                  .withColumn("row", F.monotonically_increasing_id()))
