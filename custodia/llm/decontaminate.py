@@ -144,7 +144,7 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _marker(sent, text_at: int, hits_at: int | None) -> Callable:
+def _marker(sent, text_at: int, hits_at: int | None, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = sent.value
         for batch in batches:
@@ -160,7 +160,7 @@ def _marker(sent, text_at: int, hits_at: int | None) -> Callable:
             columns = batch.columns if hits_at is None else batch.columns[:hits_at]
             names = batch.schema.names if hits_at is None else batch.schema.names[:hits_at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, _ARROW_HITS)],
-                                             names=[*names, "hits"])
+                                             names=[*names, name])
     return run
 
 
@@ -191,7 +191,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         windows = Windows(block, window)
         if not len(windows.lengths) and hits_at is not None:
             continue
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(windows), text_at, hits_at), schema)
+        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(windows), text_at, hits_at, name), schema)
         hits_at = len(docs.columns)
     return out
 

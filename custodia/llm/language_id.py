@@ -160,7 +160,7 @@ def _has_letter(words: Words) -> np.ndarray:
     return found
 
 
-def _predict(model, text_at: int) -> Callable:
+def _predict(model, text_at: int, name: str) -> Callable:
     def run(batches):
         names, table = model.value
         for batch in batches:
@@ -177,7 +177,7 @@ def _predict(model, text_at: int) -> Callable:
                                         "languages": [names[x] for x in np.argsort(-t, kind="stable") if t[x] > 0.01]}
                 out += found
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW_RESULT)],
-                                             names=[*batch.schema.names, "identified"])
+                                             names=[*batch.schema.names, name])
     return run
 
 
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "
         raise ValueError(f"column {name} exists")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, RESULT)])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(sent, docs.columns.index("text")), schema)
+    return docs.mapInArrow(_predict(sent, docs.columns.index("text"), name), schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
