@@ -320,21 +320,20 @@ _WITH = (
 
 _J = "blood_tests INNER JOIN patientsProfiles ON patientsProfiles.patientId = blood_tests.patientId"
 _IDS = "(SELECT DISTINCT patientId FROM blood_tests WHERE stroke = 1)"
-_ALL36 = (
-    "0 AS patientId, patientsProfiles.gender, "
-    "CAST(year(patientsProfiles.birthDate) AS INT) AS birthDate, "
-    + ", ".join(f"blood_tests.{c}" for c in MEASUREMENT_COLUMNS)
-)
 
 
-def _export_sql(union: str = "UNION", where: str = "") -> str:
-    extra = f" AND ({where})" if where else ""
+def _export_sql(distinct: bool = True, where: str = "TRUE") -> str:
+    """The export by its meaning: a subject has had a stroke if any of
+    their measurements says so; each measurement row of a subject with a
+    profile leaves without its id and with the year of birth."""
+    columns = ", ".join(f"m.{c}" for c in MEASUREMENT_COLUMNS)
     return (
-        f"(SELECT 0 AS stroke, {_ALL36} FROM {_J} WHERE blood_tests.category = 'blood_test' "
-        f"AND blood_tests.patientId NOT IN {_IDS}{extra}) "
-        f"{union} "
-        f"(SELECT 1 AS stroke, {_ALL36} FROM {_J} WHERE blood_tests.category = 'blood_test' "
-        f"AND blood_tests.patientId IN {_IDS}{extra})"
+        f"(SELECT {'DISTINCT' if distinct else ''} CAST(coalesce(h.had, FALSE) AS INT) AS stroke, "
+        "0 AS patientId, p.gender, CAST(year(p.birthDate) AS INT) AS birthDate, "
+        f"{columns} FROM (SELECT * FROM blood_tests WHERE category = 'blood_test' AND {where}) m "
+        "JOIN patientsProfiles p USING (patientId) "
+        "LEFT JOIN (SELECT patientId, bool_or(stroke = 1) AS had FROM blood_tests GROUP BY patientId) h "
+        "USING (patientId))"
     )
 
 
@@ -386,9 +385,9 @@ _ORACLE = {
         "SELECT blood_tests.*, patientsProfiles.socialId, patientsProfiles.nationality, "
         f"patientsProfiles.job, patientsProfiles.gender, patientsProfiles.birthDate FROM {_J}",
     "public_export": _export_sql(),
-    "public_export_all": _export_sql("UNION ALL"),
+    "public_export_all": _export_sql(distinct=False),
     "public_export_strict": _export_sql(),
-    "public_export_where": _export_sql(where="blood_tests.fibrinogen_value IS NOT NULL"),
+    "public_export_where": _export_sql(where="fibrinogen_value IS NOT NULL"),
     "public_cohort":
         "SELECT cholesterol_total_value, cholesterol_ldl_value, patientId, bmi, category, "
         f"birthDate, gender FROM ({_export_sql()}) p WHERE category = 'blood_test' AND stroke = 1",
