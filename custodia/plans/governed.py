@@ -28,6 +28,16 @@ def _view_name(table: str) -> str:
     return CLAUSES_VIEW if CLAUSES_VIEW in table else table
 
 
+def _child(spark: SparkSession) -> SparkSession:
+    """A session with its own views and the caller's runtime settings, so a
+    plan means the same there (time zone, ANSI mode, partitions)."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    return session
+
+
 def run_governed(spark: SparkSession, plan: GovernedPlan | None, catalog: Catalog,
                  args: Mapping[str, object] | None = None,
                  subject: str | None = "patientId") -> DataFrame:
@@ -43,10 +53,7 @@ def run_governed(spark: SparkSession, plan: GovernedPlan | None, catalog: Catalo
     views = [_view_name(t) for t in plan.tables]
     if views.count(CLAUSES_VIEW) > 1:
         raise ValueError("a governed plan may reference one clauses table")
-    try:
-        session = spark.newSession()
-    except Exception:  # sessions that cannot spawn a child keep their own views
-        session = spark
+    session = _child(spark)
     for table, view in zip(plan.tables, views):
         # The plan's properties (Parquet decryption keys) are for file
         # sources; a JDBC connection does not get them.

@@ -89,3 +89,16 @@ def test_id_only_null_is_hidden_by_queries_but_moved(spark, scratch):
     queried = governed_query(spark, "SELECT patientId FROM ids", "care", lambda r: plan, cat)
     assert [r.patientId for r in queried.collect()] == [1]
     assert stage_governed(spark, plan, cat, f"{scratch}/staged").rows == 2
+
+
+def test_governed_plan_runs_with_the_callers_settings(spark):
+    from custodia.plans.governed import _child
+
+    caller = spark.newSession()
+    for key, value in (("spark.sql.session.timeZone", "America/New_York"),
+                       ("spark.sql.shuffle.partitions", "77"), ("spark.sql.ansi.enabled", "false")):
+        caller.conf.set(key, value)
+    child = _child(caller)
+    assert child.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    assert child.conf.get("spark.sql.shuffle.partitions") == "77"
+    assert child.conf.get("spark.sql.ansi.enabled") == "false"
