@@ -10,6 +10,7 @@ so a lost executor's tasks are re-run without duplicate output.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Mapping
 
@@ -131,9 +132,10 @@ def finish_movement(spark: SparkSession, staging: str, target: str,
       applied to the columns that exist;
     * the staged schema must equal the target's (a type clash would let the
       append succeed and the next read fail);
-    * with ``movement_id`` the rows land in partition
-      ``movement_id=<id>`` written with dynamic partition overwrite, so
-      re-running a movement replaces its rows instead of duplicating them;
+    * with ``movement_id`` the rows land in the folder
+      ``movement_id=<id>``, the outermost partition, which is overwritten as
+      a whole: re-running a movement leaves no row of an earlier run, in
+      whatever partitions below it;
     * ``sort_within`` (e.g. ``["patientId"]``) clusters each written file by
       those columns for data skipping in later per-subject reads;
     * a target written by ``stream_movement`` is refused: its readers follow
@@ -153,20 +155,24 @@ def finish_movement(spark: SparkSession, staging: str, target: str,
     parts = list(partition_by or [])
     if movement_id is not None:
         staged = staged.withColumn(MOVEMENT_COLUMN, F.lit(str(movement_id)))
-        parts.append(MOVEMENT_COLUMN)
+        if not re.fullmatch(r"[\w.-]+", str(movement_id)):
+            raise ValueError("movement_id may hold letters, digits and _ . - only")
+        parts.insert(0, MOVEMENT_COLUMN)
     if check_schema:
         existing = _schema_of(spark, target, opts)
         if existing is not None:
             _check_compatible(staged.schema, existing, set(parts))
 
     def write(frame: DataFrame) -> None:
-        if movement_id is not None:
-            w = (frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"))
-        else:
+        path, inner = target, parts
+        if movement_id is None:
             w = frame.write.mode("append")
+        else:
+            path, inner = f"{target}/{MOVEMENT_COLUMN}={movement_id}", parts[1:]
+            w = frame.drop(MOVEMENT_COLUMN).write.mode("overwrite").option("partitionOverwriteMode", "static")
         w = w.options(**opts)
-        if parts:
-            w = w.partitionBy(*parts)
-        w.parquet(target)
+        if inner:
+            w = w.partitionBy(*inner)
+        w.parquet(path)
 
     return MovementReport(target, _write_observed(_clustered(staged, sort_within), write))

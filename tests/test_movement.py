@@ -111,3 +111,13 @@ def test_public_target_partitioned_by_cohort_prunes_reads(spark, scratch):
     text = plan_text(cohort)
     assert "PartitionFilters: [isnotnull(stroke" in text and "(stroke" in text
     assert cohort.count() == export.where("stroke = 1").count()
+
+
+@pytest.mark.parametrize("partition_by", [None, ["stroke"]])
+def test_a_shrinking_rerun_leaves_no_stale_rows(spark, scratch, partition_by):
+    target = f"{scratch}/target"
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0)], "stroke int, value double")
+    for name, frame in (("first", rows), ("second", rows.filter("stroke = 0"))):
+        frame.write.parquet(f"{scratch}/{name}")
+        finish_movement(spark, f"{scratch}/{name}", target, movement_id="m1", partition_by=partition_by)
+    assert [r.value for r in spark.read.parquet(target).collect()] == [1.0]
