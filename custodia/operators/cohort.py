@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custodia.model import Zone
 from custodia.operators.skew import (
-    DEFAULT_SKEW, SkewPolicy, find_hot_keys, hot_salts, salted_join, top_keys,
+    DEFAULT_SKEW, SkewPolicy, find_hot_keys, hot_keys, salted_join,
 )
 
 
@@ -57,11 +57,11 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
     # written, so the hot-key read runs only when some subject is hot.
     seen = Observation("subject_stats")
     stats = (subject_stats(tests, counted, key, flag)
-             .observe(seen, F.max(F.col("_n")).alias("max_n"))
+             .observe(seen, F.max(F.col("_n")).alias("max_n"), F.sum("_n").alias("total"))
              .checkpoint(eager=True))
     hot = {}
     if (seen.get["max_n"] or 0) >= skew.rows_per_task:
-        hot = hot_salts(top_keys(stats, key, "_n", skew), key, skew)
+        hot = hot_keys(stats, key, skew, total=seen.get["total"])
     return stats.where(F.col("_in_cohort") == 1).select(key), hot
 
 
@@ -69,7 +69,7 @@ def in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
               skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
     """Rows whose subject is in the cohort (``key IN (cohort)``); NULL ids
     never match."""
-    ids = cohort.select(key).where(F.col(key).isNotNull()).distinct()
+    ids = cohort.select(key).where(F.col(key).isNotNull())
     return salted_join(tests, ids, key, "left_semi", skew)
 
 
@@ -92,7 +92,7 @@ def not_in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
     """
     if null_ids not in ("ignore", "strict"):
         raise ValueError("null_ids must be 'ignore' or 'strict'")
-    ids = cohort.select(key).where(F.col(key).isNotNull()).distinct()
+    ids = cohort.select(key).where(F.col(key).isNotNull())
     out = salted_join(tests, ids, key, "left_anti", skew)
     if null_ids == "strict":
         out = out.where(~cohort_has_null(cohort, key)

@@ -7,15 +7,22 @@ shuffle join then sends that share to one task.
 
 ``salted_join`` first probes the fact's key column for hot keys: one
 pre-aggregated pass (counts are combined map-side, so a hot key costs one
-partial count per task) that returns the largest keys above
-``rows_per_task`` rows, at most ``max_hot`` of them, with their counts.
-With no hot key the plan is the plain join and Catalyst/AQE pick the
-strategy. Each hot key gets salts in proportion to its size (about
-``rows_per_task`` rows per salt, a power of two, at most ``max_buckets``):
-its fact rows are spread over those salts by a hash of the row (so a
-re-run after an executor loss assigns the same salt), and its per-key rows
-are replicated once per salt. Cold keys keep salt 0. The result equals the
-plain join exactly: each fact row meets each matching per-key row once.
+partial count per task). A key is hot when it holds at least
+``rows_per_task`` rows and at least 1 / ``max_hot`` of all rows, so there are
+never more than ``max_hot`` hot keys and none is left out. With no hot key
+the plan is the plain join and Catalyst/AQE pick the strategy. Each hot key
+gets salts in proportion to its size (about ``rows_per_task`` rows per salt,
+a power of two): its fact rows are spread over those salts, and its per-key
+rows are replicated once per salt. Cold keys keep salt 0. The result equals
+the plain join exactly: each fact row meets each matching per-key row once.
+
+NULL keys match nothing, so where they stay in the result (``left``,
+``left_anti``) a hot NULL is spread in the same way with no replicas at all.
+
+The salt is a hash of the row and of the input partition it comes from.
+Equal rows of one input partition share a salt, equal rows of different
+partitions do not, and a task that is run again assigns the same salts.
+Columns that cannot be hashed (maps, variants) are left out of the hash.
 """
 
 from __future__ import annotations
@@ -24,8 +31,9 @@ from collections import defaultdict
 from dataclasses import dataclass
 from typing import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALT = "_salt"
 _N = "_n"
@@ -37,20 +45,21 @@ class SkewPolicy:
 
     rows_per_task: a key is hot with at least this many rows; a hot key gets
                    about one salt (one task) per this many rows.
-    max_buckets:   upper bound on the salts of one key (a power of two).
-    max_hot:       at most this many keys (the largest) are salted; any
-                   other key is joined exactly without salt.
+    max_hot:       a key is hot with at least 1 / max_hot of all rows, which
+                   bounds the number of hot keys. Smaller keys are joined
+                   unsalted.
+    max_buckets:   upper bound on the salts of one key (None: no bound).
     buckets:       fixed salt count for every hot key instead (tests).
     """
 
     rows_per_task: int = 1_000_000
-    max_buckets: int = 1 << 16
-    max_hot: int = 1024
+    max_buckets: int | None = None
+    max_hot: int = 1 << 14
     buckets: int | None = None
 
     def __post_init__(self):
-        if min(self.rows_per_task, self.max_buckets, self.max_hot) < 1 or \
-                (self.buckets is not None and self.buckets < 1):
+        given = [n for n in (self.max_buckets, self.buckets) if n is not None]
+        if min(self.rows_per_task, self.max_hot, *given) < 1:
             raise ValueError("SkewPolicy values must be positive")
 
     def salts_for(self, rows: int) -> int:
@@ -59,39 +68,48 @@ class SkewPolicy:
             return self.buckets
         want = -(-rows // self.rows_per_task)  # ceil
         salts = 1
-        while salts < want and salts < self.max_buckets:
+        while salts < want and (self.max_buckets is None or salts < self.max_buckets):
             salts <<= 1
         return max(salts, 2)
 
+    def is_hot(self, rows: int, total: int) -> bool:
+        """Whether a key with ``rows`` of ``total`` rows is hot."""
+        return rows >= self.rows_per_task and rows * self.max_hot >= total
+
 
 DEFAULT_SKEW = SkewPolicy()
 
 
 def key_counts(fact: DataFrame, key: str) -> DataFrame:
-    """Rows per non-NULL key, combined map-side."""
-    return (fact.select(key).where(F.col(key).isNotNull())
-            .groupBy(key).agg(F.count(F.lit(1)).alias(_N)))
-
+    """Rows per key, NULL included, combined map-side."""
+    return fact.groupBy(key).agg(F.count(F.lit(1)).alias(_N))
 
-def top_keys(counts: DataFrame, key: str, count_col: str,
-             policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """The (at most ``max_hot``) largest keys with at least
-    ``rows_per_task`` rows, with their counts; a per-task top-k merged on the
-    driver, ties broken by key so the choice is deterministic."""
-    return (counts.where(F.col(key).isNotNull() & (F.col(count_col) >= F.lit(policy.rows_per_task)))
-            .orderBy(F.col(count_col).desc(), F.col(key)).limit(policy.max_hot)
-            .select(key, F.col(count_col).alias(_N)))
 
+def hot_keys(counts: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW,
+             total: int | None = None) -> dict:
+    """{hot key: salt count} from one row per key with its count ``_n``.
 
-def hot_salts(top: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> dict:
-    """Collect a ``top_keys`` result (at most ``max_hot`` rows) as
-    {key: salt count}."""
-    return {r[key]: policy.salts_for(r[_N]) for r in top.collect()}
+    The largest ``max_hot`` keys come to the driver (a per-task top-k, merged);
+    all hot keys are among them. ``total`` is the sum of all counts; without
+    it, it is observed in the same pass.
+    """
+    seen = None
+    if total is None:
+        seen = Observation("hot_keys")
+        counts = counts.observe(seen, F.sum(_N).alias("total"))
+    top = (counts.where(F.col(_N) >= F.lit(policy.rows_per_task))
+           .orderBy(F.col(_N).desc(), F.col(key)).limit(policy.max_hot).select(key, _N).collect())
+    if not top:
+        return {}
+    if seen is not None:
+        total = seen.get["total"]
+    return {r[key]: policy.salts_for(r[_N]) for r in top if policy.is_hot(r[_N], total)}
 
 
 def find_hot_keys(fact: DataFrame, key: str, policy: SkewPolicy = DEFAULT_SKEW) -> dict:
-    """Run the hot-key probe on a fact table: {key: salt count}."""
-    return hot_salts(top_keys(key_counts(fact, key), key, _N, policy), key, policy)
+    """Run the hot-key probe on a fact table: {key: salt count}; the key is
+    None when NULL keys are hot."""
+    return hot_keys(key_counts(fact, key), key, policy)
 
 
 def _by_salts(hot: Mapping) -> list[tuple[int, list]]:
@@ -103,11 +121,18 @@ def _by_salts(hot: Mapping) -> list[tuple[int, list]]:
 
 def _case(key: Column, hot: Mapping, branch, default: Column) -> Column:
     """CASE over the salt classes; each class is one hash-set lookup."""
-    expr = None
+    expr = F
     for salts, keys in _by_salts(hot):
-        cond = key.isin(keys)
-        expr = F.when(cond, branch(salts)) if expr is None else expr.when(cond, branch(salts))
-    return expr.otherwise(default)
+        expr = expr.when(key.isin(keys), branch(salts))
+    return default if expr is F else expr.otherwise(default)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
@@ -117,9 +142,9 @@ def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (the
     fact side is preserved). ``policy=None`` gives the plain join. ``hot``
-    ({key: salts}) passes a known probe result (any superset of the real
-    one is still exact, so a probe of a larger table can be reused);
-    otherwise the probe runs now, as one small job.
+    ({key: salts}, None for the NULL key) passes a known probe result (any
+    superset of the real one is still exact, so a probe of a larger table can
+    be reused); otherwise the probe runs now, as one small job.
     """
     if policy is None:
         return fact.join(keyed, key, how)
@@ -128,13 +153,22 @@ def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
     if hot is None:
         hot = find_hot_keys(fact, key, policy)
     hot = {k: s for k, s in hot.items() if s > 1}
-    if not hot:
+    null_salts = hot.pop(None, None)
+    if how in ("inner", "left_semi"):
+        null_salts = None       # rows with a NULL key leave anyway
+    if not hot and null_salts is None:
         return fact.join(keyed, key, how)
+    if how in ("inner", "left_semi"):
+        # said here, because no filter passes below the salt
+        fact = fact.where(F.col(key).isNotNull())
     k = F.col(key)
-    row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
-    salt = _case(k, hot, lambda s: F.pmod(row_hash, F.lit(s)), F.lit(0)).cast("int")
+    hashed = [f.name for f in fact.schema.fields if _hashable(f.dataType)]
+    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in hashed])
+    salt = _case(k, hot, lambda s: F.pmod(row_hash, F.lit(s)), F.lit(0))
+    if null_salts is not None:
+        salt = F.when(k.isNull(), F.pmod(row_hash, F.lit(null_salts))).otherwise(salt)
     replicas = _case(k, hot, lambda s: F.sequence(F.lit(0), F.lit(s - 1)), F.array(F.lit(0)))
-    joined = fact.withColumn(SALT, salt).join(
+    joined = fact.withColumn(SALT, salt.cast("int")).join(
         keyed.withColumn(SALT, F.explode(replicas)), [key, SALT], how)
     # Same column order as the plain using-join: key, fact columns, keyed columns.
     out = [key] + [c for c in fact.columns if c != key]

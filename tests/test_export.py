@@ -33,7 +33,7 @@ def test_one_pass_equals_two_branch(tables):
 
 def test_salted_export_equals_plain(tables):
     bt, pp = tables
-    forced = SkewPolicy(buckets=4, max_hot=16, rows_per_task=1)
+    forced = SkewPolicy(buckets=4, max_hot=10_000, rows_per_task=1)
     assert _rows(public_export(bt, pp, skew=forced)) == _rows(public_export(bt, pp, skew=None))
 
 
@@ -87,7 +87,7 @@ def test_export_without_a_shared_checkpoint_folder(spark, tables, monkeypatch):
     import custodia.session as session
 
     bt, pp = tables
-    forced = SkewPolicy(buckets=4, max_hot=16, rows_per_task=1)
+    forced = SkewPolicy(buckets=4, max_hot=10_000, rows_per_task=1)
     expected = _rows(public_export(bt, pp, skew=None))
     monkeypatch.setattr(session, "shared_checkpoint_dir", lambda s: None)
     assert _rows(public_export(bt, pp, skew=forced)) == expected

@@ -96,3 +96,58 @@ def test_adaptive_salts_are_exact(fact, keyed):
     assert hot[7] == 8  # 300 rows / 40 per task -> 8 salts
     assert _rows(salted_join(fact, keyed, "k", "left", adaptive)) == \
         _rows(fact.join(keyed, "k", "left"))
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Shuffle joins into 8 partitions that stay apart, as for large sides."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _largest_task(df, condition):
+    sizes = df.where(condition).groupBy(F.spark_partition_id().alias("p")).count()
+    return max(r["count"] for r in sizes.collect())
+
+
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_null_keys_are_spread(spark, shuffled, keyed, how):
+    fact = spark.range(0, 4000, 1, 8).select(
+        "id", F.when(F.col("id") % 2 == 0, F.col("id") % 40).alias("k"))
+    out = salted_join(fact, keyed, "k", how, SkewPolicy(buckets=8, rows_per_task=100))
+    assert out.where(F.col("k").isNull()).count() == 2000
+    assert _largest_task(out, F.col("k").isNull()) < 1000
+    assert _rows(out) == _rows(fact.join(keyed, "k", how))
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark, shuffled, keyed):
+    fact = spark.range(0, 4000, 1, 16).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 40).cast("long").alias("k"),
+        F.lit(1).alias("v"))
+    out = salted_join(fact, keyed, "k", "inner", SkewPolicy(buckets=16, rows_per_task=1000))
+    assert _largest_task(out, F.col("k") == 7) < 1500
+    assert _rows(out) == _rows(fact.join(keyed, "k"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_map_columns_are_carried(spark, fact, keyed, how):
+    mapped = fact.withColumn("m", F.create_map(F.lit("a"), F.col("v"))) \
+        .withColumn("n", F.array(F.struct(F.col("m").alias("x"))))
+    salted = salted_join(mapped, keyed, "k", how, HOT)
+    assert "_salt" in plan_text(salted)
+    assert _rows(salted) == _rows(mapped.join(keyed, "k", how))
+
+
+def test_every_key_above_the_share_is_hot(spark):
+    fact = spark.range(6000).select((F.col("id") % 3000).alias("k"))
+    assert len(find_hot_keys(fact, "k", SkewPolicy(rows_per_task=2, max_hot=3000))) == 3000
+    assert find_hot_keys(fact, "k", SkewPolicy(rows_per_task=2, max_hot=2999)) == {}
+    assert find_hot_keys(fact.limit(0), "k", SkewPolicy(rows_per_task=1)) == {}
