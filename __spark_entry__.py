@@ -16,6 +16,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The package lives next to this file; make it importable however this
 # module is loaded (by name from the repo root or by file path).
@@ -26,7 +27,7 @@ if _HERE not in sys.path:
 from custodia.functions.columns import MEASUREMENT_COLUMNS
 from custodia.model import GovernedPlan, PolicyRequest, Zone
 from custodia.operators import (
-    age_band_average, age_band_values, drop_denied_rows, generalise_birth_date, in_cohort,
+    SkewPolicy, age_band_average, age_band_values, drop_denied_rows, generalise_birth_date, in_cohort,
     json_component, component_average, component_series, mask_by_clauses, not_in_cohort,
     nutritional_data, patient_details, patient_documents, pseudonymise_id, public_export,
     quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
@@ -240,6 +241,36 @@ def q_id_only(spark, sf_dir):
     return drop_denied_rows(pp.select("patientId"))
 
 
+# The same tables with a subject who holds a third of all measurements and
+# with measurements of nobody; the policy makes both hot at any size.
+HOT_ID = ("CASE WHEN testId % 3 = 0 THEN 7 WHEN testId % 50 = 1 THEN NULL "
+          "ELSE patientId END")
+HOT_SKEW = SkewPolicy(rows_per_task=100)
+
+
+def _hot_tables(spark, sf_dir):
+    cat, bt, pp = _tables(spark, sf_dir)
+    return cat, bt.withColumn("patientId", F.expr(HOT_ID)), pp
+
+
+def q_hot_masked(spark, sf_dir):
+    cat, bt, _ = _hot_tables(spark, sf_dir)
+    cols = bt.select("patientId", "cholesterol_total_value", "fibrinogen_value")
+    return mask_by_clauses(cols, cat.load(spark, "blood_tests_clauses"),
+                           {"cholesterol_total_value": "consent_labs",
+                            "fibrinogen_value": "consent_labs"}, skew=HOT_SKEW)
+
+
+def q_hot_not_in_cohort(spark, sf_dir):
+    _, bt, _ = _hot_tables(spark, sf_dir)
+    return not_in_cohort(bt.select("testId", "patientId"), stroke_cohort(bt), skew=HOT_SKEW)
+
+
+def q_hot_public_export(spark, sf_dir):
+    _, bt, pp = _hot_tables(spark, sf_dir)
+    return public_export(bt, pp, skew=HOT_SKEW)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "component_series": q_component_series,
     "component_series_measured": q_component_series_measured,
@@ -272,6 +303,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pseudonym_sha2": q_pseudonym_sha2,
     "fill": q_fill,
     "id_only": q_id_only,
+    "hot_masked": q_hot_masked,
+    "hot_not_in_cohort": q_hot_not_in_cohort,
+    "hot_public_export": q_hot_public_export,
 }
 
 
@@ -429,6 +463,21 @@ _ORACLE["json_rows"] = (
 _ORACLE["json_average"] = _ORACLE["avg_age"]
 
 
+_WITH_HOT = _WITH.replace(
+    f"blood_tests AS ({_blood_tests_sql()})",
+    f"even_tests AS ({_blood_tests_sql()}), "
+    f"blood_tests AS (SELECT * REPLACE ({HOT_ID} AS patientId) FROM even_tests)")
+_HOT = {
+    "hot_masked": _MASK,
+    "hot_not_in_cohort":
+        "SELECT patientId, testId FROM blood_tests b WHERE NOT EXISTS "
+        "(SELECT 1 FROM blood_tests s WHERE s.stroke = 1 AND s.patientId = b.patientId)",
+    "hot_public_export": _export_sql(),
+}
+_ORACLE.update(_HOT)
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key."""
-    return {**{k: _WITH + v for k, v in _ORACLE.items()}, **_LLM_ORACLE}
+    return {**{k: (_WITH_HOT if k in _HOT else _WITH) + v for k, v in _ORACLE.items()},
+            **_LLM_ORACLE}
