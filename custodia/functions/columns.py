@@ -40,18 +40,19 @@ NUTRITIONAL_COLUMNS = (
 )
 
 
-def component_columns(component: str) -> tuple[str, ...]:
-    """value, unit and (when it exists) normalRange columns of one component."""
-    cols = [f"{component}_value", f"{component}_unit"]
-    if component not in NO_NORMAL_RANGE:
-        cols.append(f"{component}_normalRange")
-    return tuple(cols)
-
-
-# category, date, bmi and the 29 component columns: the 32 measurement
-# columns carried into the public zone.
-MEASUREMENT_COLUMNS = ("category", "date", "bmi") + tuple(
-    c for comp in COMPONENTS for c in component_columns(comp)
+# The 32 measurement columns carried into the public zone.
+MEASUREMENT_COLUMNS = (
+    "category", "prothrombinTime_unit", "cholesterol_hdl_value", "totalWhiteCellCount_unit",
+    "fibrinogen_normalRange", "antithrombin_value", "fibrinogen_unit", "haemoglobin_value",
+    "antithrombin_unit", "cholesterol_hdl_unit", "cholesterol_hdl_normalRange",
+    "cholesterol_ldl_normalRange", "bmi", "antithrombin_normalRange",
+    "totalWhiteCellCount_normalRange", "fibrinogen_value", "cholesterol_ldl_value",
+    "plateletCount_value", "cholesterol_total_normalRange",
+    "cholesterol_tryglicerides_normalRange", "totalWhiteCellCount_value", "date",
+    "cholesterol_ldl_unit", "haemoglobin_unit", "prothrombinTime_value",
+    "cholesterol_tryglicerides_unit", "plateletCount_unit", "cholesterol_total_value",
+    "haemoglobin_normalRange", "prothrombinTime_normalRange",
+    "cholesterol_tryglicerides_value", "cholesterol_total_unit",
 )
 
 

@@ -29,6 +29,12 @@ def years_before(as_of: _dt.date | None, years: int) -> int:
     return as_of.year - years
 
 
+def birth_year(column: str) -> Column:
+    """Birth year (INT) of a date, timestamp or ISO date text; a text that is
+    no date gives NULL instead of failing the job."""
+    return F.year(F.col(column).try_cast("date")).cast("int")
+
+
 def birth_year_filter(df: DataFrame, column: str, min_year: int, max_year: int,
                       lower: str | None = None, upper: str = "exclusive") -> Column:
     """Birth years in a band, typed by the column's storage.
@@ -39,7 +45,9 @@ def birth_year_filter(df: DataFrame, column: str, min_year: int, max_year: int,
     accordingly and can be forced to ``inclusive`` or ``exclusive``.
 
     Date columns are compared with date literals, so the filter is pushed to
-    the Parquet scan instead of evaluating ``year()`` on every row.
+    the Parquet scan instead of evaluating ``year()`` on every row. Text is
+    compared with the years as texts, which is pushed as well, and the rows
+    left must hold a date whose year is in the band.
     """
     dtype = df.schema[column].dataType
     is_year = isinstance(dtype, T.IntegralType)
@@ -56,9 +64,8 @@ def birth_year_filter(df: DataFrame, column: str, min_year: int, max_year: int,
         first = _dt.date(min_year if lo_incl else min_year + 1, 1, 1)
         after = _dt.date(max_year + 1 if hi_incl else max_year, 1, 1)
         return (col >= F.lit(first)) & (col < F.lit(after))
-    # text: malformed values match no band (as a text comparison would)
-    # instead of failing the job under ANSI mode
-    year = F.year(col.try_cast("date"))
-    lo = year >= min_year if lo_incl else year > min_year
-    hi = year <= max_year if hi_incl else year < max_year
-    return lo & hi
+    first = min_year if lo_incl else min_year + 1
+    after = max_year + 1 if hi_incl else max_year
+    year = birth_year(column)
+    return ((col >= f"{first:04d}") & (col < f"{after:04d}")
+            & (year >= first) & (year < after))

@@ -4,7 +4,9 @@ from custodia.operators.clinical import (
     age_band_average, age_band_values, birth_years, component_average, component_series,
     nutritional_data, patient_details, patient_documents,
 )
-from custodia.operators.cohort import in_cohort, not_in_cohort, stroke_cohort, tests_with_profiles
+from custodia.operators.cohort import (
+    cohort_and_hot_keys, in_cohort, not_in_cohort, stroke_cohort, tests_with_profiles,
+)
 from custodia.operators.export import PUBLIC_COLUMNS, public_export, quasi_identifier_groups
 from custodia.operators.privacy import (
     generalise_birth_date, mask_by_clauses, pseudonymise_id, suppress_id,
@@ -15,7 +17,7 @@ from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, find_hot_keys, key
 __all__ = [
     "age_band_average", "age_band_values", "birth_years", "component_average",
     "component_series", "nutritional_data", "patient_details", "patient_documents",
-    "in_cohort", "not_in_cohort", "stroke_cohort", "tests_with_profiles",
+    "cohort_and_hot_keys", "in_cohort", "not_in_cohort", "stroke_cohort", "tests_with_profiles",
     "PUBLIC_COLUMNS", "public_export", "quasi_identifier_groups",
     "generalise_birth_date", "mask_by_clauses", "pseudonymise_id", "suppress_id",
     "drop_denied_rows", "json_component", "to_json_rows",

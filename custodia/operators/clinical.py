@@ -44,7 +44,7 @@ def component_series(tests: DataFrame, component: str, patient_id=None,
 def birth_years(start_age: int, end_age: int, as_of: _dt.date | None = None) -> tuple[int, int]:
     """(min_year, max_year) of births for ages in [start_age, end_age]."""
     if start_age >= end_age:
-        raise ValueError("Wrong age range: start age must be below end age")
+        raise ValueError("start_age must be below end_age")
     return years_before(as_of, end_age), years_before(as_of, start_age)
 
 
@@ -119,19 +119,25 @@ def _zone_view(df: DataFrame, zone: Zone, birth: str = "birthDate") -> DataFrame
     return df
 
 
+def _require(have: list[str], wanted: tuple[str, ...]) -> None:
+    missing = [c for c in wanted if c not in have]
+    if missing:
+        raise ValueError(f"columns not in the data: {missing}; name those to return in columns")
+
+
 def patient_details(profiles: DataFrame, social_id: str | None = None,
                     zone: Zone = Zone.ON_PREM, method: str = "sha2", salt: str = "",
-                    id_column: str = "socialId", key: str = "patientId") -> DataFrame:
-    """The profile columns of the details query that the table has.
+                    id_column: str = "socialId", key: str = "patientId",
+                    columns: tuple[str, ...] = PROFILE_COLUMNS) -> DataFrame:
+    """The profile columns of the details query. A table without some of them
+    is an error; name the ones it has in ``columns``.
 
     With ``social_id`` the rows are those of that person; in the private
     zone the stored id is a pseudonym, the lookup compares pseudonyms and
     the birth date is returned as a year.
     """
-    cols = [c for c in PROFILE_COLUMNS if c in profiles.columns]
-    if not cols:
-        raise ValueError("profiles carry none of the patient-detail columns")
-    df = profiles.select(*cols)
+    _require(profiles.columns, columns)
+    df = profiles.select(*columns)
     if social_id is not None:
         target: Column = (pseudonym_of(social_id, method=method, salt=salt)
                           if Zone.parse(zone) is Zone.PRIVATE else F.lit(social_id))
@@ -145,7 +151,7 @@ def patient_documents(documents: DataFrame, patient_id, key: str = "patientId")
     Like the reference, this read is not routed through a policy.
     """
     if patient_id is None or patient_id == "":
-        raise ValueError("Missing patient ID")
+        raise ValueError("patient_id must be given")
     log.info("ungoverned read of documents for one subject")
     return documents.where(F.col(key) == F.lit(patient_id))
 
@@ -164,16 +170,19 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
     and the cohort. Public zone: the table is denormalised and ``stroke``
     is already per patient, so the cohort is a plain filter.
 
+    A column of ``columns`` that neither table has is an error.
     ``limit`` with ``order_by`` is a top-k (per-task top-k, then merged);
     without ``order_by`` any ``limit`` rows are returned, as in the reference.
     In the private zone the birth date is returned as a year.
     """
+    public = Zone.parse(zone) is Zone.PUBLIC
+    if not public and profiles is None:
+        raise ValueError("profiles are required outside the public zone")
+    _require(tests.columns if public else tests.columns + profiles.columns, columns)
     facts = tests.where(F.col(category) == BLOOD_TEST)
-    if Zone.parse(zone) is Zone.PUBLIC:
+    if public:
         df = facts.where(F.col(flag) == 1)
     else:
-        if profiles is None:
-            raise ValueError("profiles are required outside the public zone")
         cohort, hot = cohort_and_hot_keys(tests, F.col(category) == BLOOD_TEST, key, skew, flag)
         cohort = cohort.where(F.col(key).isNotNull())
         wanted = [c for c in profiles.columns if c in columns and c != key]
@@ -186,5 +195,4 @@ def nutritional_data(tests: DataFrame, profiles: DataFrame | None = None,
         if order_by is not None:
             df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
         df = df.limit(limit)
-    out = df.select(*[c for c in columns if c in df.columns])
-    return drop_denied_rows(out, subject=key)
+    return drop_denied_rows(df.select(*columns), subject=key)

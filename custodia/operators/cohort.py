@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Mapping
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from custodia.functions.predicates import birth_year
 from custodia.model import Zone
 from custodia.operators.skew import (
     DEFAULT_SKEW, SkewPolicy, find_hot_keys, hot_keys, salted_join,
@@ -42,7 +45,8 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
     from their lineage with a reliable checkpoint (in the shared
     ``spark.checkpoint.dir``; its size grows with subjects, not rows), then
     read by both the probe and the cohort, so the measurement keys are
-    scanned once instead of twice. A cluster session that names no shared
+    scanned once instead of twice (the rows themselves are read by the join
+    that follows). The pair can be kept and given to several plans. A cluster session that names no shared
     checkpoint folder gets the same result from a separate probe and a lazy
     cohort (one more narrow scan); no machine-local folder is used.
     """
@@ -66,11 +70,13 @@ def cohort_and_hot_keys(tests: DataFrame, counted: Column | None, key: str,
 
 
 def in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
-              skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+              skew: SkewPolicy | None = DEFAULT_SKEW,
+              hot: Mapping | None = None) -> DataFrame:
     """Rows whose subject is in the cohort (``key IN (cohort)``); NULL ids
-    never match."""
+    never match. With the pair of ``cohort_and_hot_keys`` as ``cohort`` and
+    ``hot`` the measurements are read twice: for their keys and for the rows."""
     ids = cohort.select(key).where(F.col(key).isNotNull())
-    return salted_join(tests, ids, key, "left_semi", skew)
+    return salted_join(tests, ids, key, "left_semi", skew, hot=hot)
 
 
 def cohort_has_null(cohort: DataFrame, key: str = "patientId"):
@@ -80,8 +86,9 @@ def cohort_has_null(cohort: DataFrame, key: str = "patientId"):
 
 def not_in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
                   null_ids: str = "ignore",
-                  skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
-    """Rows whose subject is not in the cohort.
+                  skew: SkewPolicy | None = DEFAULT_SKEW,
+                  hot: Mapping | None = None) -> DataFrame:
+    """Rows whose subject is not in the cohort (``hot`` as in ``in_cohort``).
 
     ``null_ids="ignore"`` (default): NOT EXISTS semantics; NULL ids in the
     cohort are ignored and rows with a NULL id are kept.
@@ -93,7 +100,7 @@ def not_in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
     if null_ids not in ("ignore", "strict"):
         raise ValueError("null_ids must be 'ignore' or 'strict'")
     ids = cohort.select(key).where(F.col(key).isNotNull())
-    out = salted_join(tests, ids, key, "left_anti", skew)
+    out = salted_join(tests, ids, key, "left_anti", skew, hot=hot)
     if null_ids == "strict":
         out = out.where(~cohort_has_null(cohort, key)
                         & (F.col(key).isNotNull() | ~cohort.exists()))
@@ -116,5 +123,5 @@ def tests_with_profiles(tests: DataFrame, profiles: DataFrame | None,
         raise ValueError("profiles are required outside the public zone")
     if zone is Zone.PRIVATE and "birthDate" in profiles.columns:
         # generalised once per subject, before the join
-        profiles = profiles.withColumn("birthDate", F.year("birthDate").cast("int"))
+        profiles = profiles.withColumn("birthDate", birth_year("birthDate"))
     return salted_join(tests, profiles, key, "inner", skew)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.functions.columns import MEASUREMENT_COLUMNS
+from custodia.functions.predicates import birth_year
 from custodia.operators.clinical import BLOOD_TEST
 from custodia.operators.cohort import cohort_and_hot_keys, cohort_has_null
 from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
@@ -41,14 +42,18 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
                   skew: SkewPolicy | None = DEFAULT_SKEW, flag: str = "stroke",
                   category: str = "category", gender: str = "gender",
                   birth: str = "birthDate",
-                  measurements: tuple[str, ...] = MEASUREMENT_COLUMNS) -> DataFrame:
+                  measurements: tuple[str, ...] = MEASUREMENT_COLUMNS,
+                  name: str = "blood_tests", limit: int | None = None,
+                  order_by: str | Column | list | None = None) -> DataFrame:
     """Blood-test rows for the public zone, de-identified and denormalised.
 
     Each blood-test row of a profiled subject becomes a 36-column row:
     ``stroke`` (1 when the subject has any stroke row, else 0), ``patientId``
     suppressed to 0, ``gender``, birth year as ``birthDate``, then the 32
     measurement columns. ``where`` (a Column or SQL condition over the
-    measurement table) restricts the exported rows, not the cohort.
+    measurement table) restricts the exported rows, not the cohort; its columns
+    may be qualified with ``name``. ``limit`` keeps so many rows of the export,
+    the first by ``order_by`` where that is given (a per-task top-k), else any.
     ``distinct=True`` removes duplicate rows, as the reference's UNION does
     (equal measurements of different people collapse once ids are 0).
 
@@ -76,15 +81,15 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
     exported = F.col(category) == BLOOD_TEST
     if cond is not None:
         exported = exported & cond
-    facts = tests.where(exported).select(key, *measurements)
+    facts = tests.alias(name).where(exported).select(key, *measurements)
     # Per-subject values are computed once per subject, not per measurement.
-    people = profiles.select(key, gender, F.year(F.col(birth)).cast("int").alias(birth))
+    people = profiles.select(key, gender, birth_year(birth).alias(birth))
 
     def project(df: DataFrame, stroke: Column) -> DataFrame:
         return _public_projection(df, stroke, key, flag, gender, birth, measurements)
 
     # One pass over the measurement keys gives the cohort and the hot keys.
-    cohort, hot = cohort_and_hot_keys(tests, exported, key, skew, flag)
+    cohort, hot = cohort_and_hot_keys(tests.alias(name), exported, key, skew, flag)
     ids = cohort.where(F.col(key).isNotNull())
 
     if plan == "one_pass":
@@ -109,7 +114,11 @@ def public_export(tests: DataFrame, profiles: DataFrame, where: Column | str | N
         if null_ids == "strict":
             branch0 = branch0.where(~cohort_has_null(cohort, key))
         out = project(branch0, F.lit(0)).unionByName(project(branch1, F.lit(1)))
-    return out.distinct() if distinct else out
+    if distinct:
+        out = out.distinct()
+    if limit is not None and order_by is not None:
+        out = out.orderBy(*(order_by if isinstance(order_by, list) else [order_by]))
+    return out if limit is None else out.limit(limit)
 
 
 def quasi_identifier_groups(export: DataFrame,

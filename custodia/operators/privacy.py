@@ -7,6 +7,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custodia.functions.predicates import birth_year
 from custodia.functions.pseudonyms import pseudonym
 from custodia.operators.rows import drop_denied_rows
 from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy, salted_join
@@ -19,8 +20,9 @@ def pseudonymise_id(df: DataFrame, column: str = "socialId", method: str = "sha2
 
 
 def generalise_birth_date(df: DataFrame, column: str = "birthDate") -> DataFrame:
-    """Replace a birth date by its year (INT)."""
-    return df.withColumn(column, F.year(F.col(column)).cast("int"))
+    """Replace a birth date (or ISO date text; NULL if it is no date) by its
+    year (INT)."""
+    return df.withColumn(column, birth_year(column))
 
 
 def suppress_id(df: DataFrame, column: str = "patientId", value: int = 0) -> DataFrame:

@@ -60,20 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="custodia-ckpt-"))
     return sc.getCheckpointDir()
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str | None:
-    """The checkpoint folder if one can be used: the configured shared
-    folder, or a scratch folder on a local-mode session; None on a cluster
-    session that names none."""
-    try:
-        return ensure_checkpoint_dir(spark)
-    except RuntimeError:
-        return None
+    """The checkpoint folder that the session already has or names in
+    ``spark.checkpoint.dir``; None otherwise (operators never make one)."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    return ensure_checkpoint_dir(spark) if named else None
 
 
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:

@@ -88,7 +88,16 @@ def blood_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILE_EXPRESSIONS = [
     "c_custkey AS patientId",
     "c_name AS socialId",
+    "c_name AS name",
+    "c_mktsegment AS surname",
     "n_name AS nationality",
+    "n_name AS birthCity",
+    "n_name AS addressCity",
+    "c_mktsegment AS addressRoad",
+    "CAST(1 + c_custkey % 200 AS INT) AS addressRoadNumber",
+    "CAST(10000 + c_custkey % 90000 AS VARCHAR(5)) AS addressPostalCode",
+    "CAST(2000000000 + c_custkey AS VARCHAR(20)) AS addressTelephoneNumber",
+    "CAST(6 + c_custkey % 14 AS INT) AS schoolYears",
     "c_mktsegment AS job",
     "CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender",
     "make_date(CAST(1930 + c_custkey % 80 AS INT), CAST(1 + c_custkey % 12 AS INT), "
@@ -106,9 +115,7 @@ DOCUMENT_EXPRESSIONS = [
 
 def patients_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = _table(spark, sf_dir, "customer")
-    # nation is the fixed 25-row TPC-H dimension at every scale factor, so
-    # broadcasting it has a proven size bound.
-    nation = F.broadcast(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
             .selectExpr(*PROFILE_EXPRESSIONS))
 

@@ -51,7 +51,8 @@ def stream_movement(spark: SparkSession, staging: str, target: str,
 
     ``schema`` defaults to the schema of what is already staged (a stream
     needs it up front). ``available_now=True`` processes everything staged
-    so far, in bounded batches, then stops; ``False`` keeps watching the
+    so far, then stops (in batches of ``max_files_per_trigger`` files; one
+    batch when that is None); ``False`` keeps watching the
     folder, starting a batch every ``processing_time``. The checkpoint
     defaults to a folder under the session's shared ``spark.checkpoint.dir``
     named after the target. A target that already holds batch-written data
@@ -64,7 +65,7 @@ def stream_movement(spark: SparkSession, staging: str, target: str,
     if schema is None:
         try:
             schema = spark.read.options(**opts).parquet(staging).schema
-        except Exception as exc:
+        except AnalysisException as exc:
             raise MovementError(f"nothing staged at {staging}; pass a schema") from exc
     reader = spark.readStream.schema(schema).options(**opts)
     if max_files_per_trigger:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from custodia.functions import birth_year_filter, component_column
 from custodia.model import Zone
 from custodia.operators import (
-    age_band_average, birth_years, component_series, nutritional_data, patient_details,
-    patient_documents,
+    age_band_average, birth_years, component_series, generalise_birth_date, nutritional_data,
+    patient_details, patient_documents,
 )
 
+from conftest import plan_text
+
 BIRTHS = ["1990-01-01", "1990-05-01", "2004-12-31", "2005-01-01", "2005-06-01"]
 
 
@@ -75,6 +77,36 @@ def _profiles(spark):
         "patientId long, socialId string, gender string, birthDate date")
 
 
+HAVE = ("patientId", "socialId", "gender", "birthDate")
+
+
+def test_a_missing_column_is_an_error(spark):
+    t, p = _tests(spark), _profiles(spark)
+    with pytest.raises(ValueError, match="addressCity"):
+        patient_details(p, "S10")
+    with pytest.raises(ValueError, match="bmi"):
+        nutritional_data(t.drop("bmi"), p)
+    columns = ("patientId", "gender")
+    assert nutritional_data(t.drop("bmi"), p, columns=columns).columns == list(columns)
+
+
+def test_a_text_that_is_no_date_has_no_birth_year(spark):
+    p = _profiles(spark).selectExpr(
+        "patientId", "gender", "CASE patientId WHEN 10 THEN 'unknown' ELSE CAST(birthDate AS STRING) END birthDate")
+    years = {r.patientId: r.birthDate for r in generalise_birth_date(p).collect()}
+    assert years == {10: None, 11: 1990, 12: 1960}
+
+
+def test_text_birth_band_reaches_the_scan(spark, scratch):
+    p = _profiles(spark).selectExpr("patientId", "CAST(birthDate AS STRING) AS birthDate")
+    p.unionByName(spark.createDataFrame([(13, "1970-99-99"), (14, None)], p.schema)).write.parquet(f"{scratch}/p")
+    stored = spark.read.parquet(f"{scratch}/p")
+    band = stored.where(birth_year_filter(stored, "birthDate", 1960, 1990))
+    assert sorted(r.patientId for r in band.collect()) == [10, 12]
+    text = plan_text(band)
+    assert "GreaterThanOrEqual(birthDate,1960)" in text and "LessThan(birthDate,1990)" in text
+
+
 def test_component_series_reference_semantics(spark):
     t = _tests(spark)
     assert component_series(t, "cholesterol").count() == 3  # row 4: no date, no value
@@ -102,8 +134,8 @@ def test_nutritional_cohort_and_top_k(spark):
 def test_patient_details_private_lookup(spark):
     from custodia.operators import pseudonymise_id
     p = pseudonymise_id(_profiles(spark))
-    assert patient_details(p, "S11", zone=Zone.PRIVATE).first().patientId == 11
-    assert patient_details(p, "S11").count() == 0  # clear text never matches a pseudonym
+    assert patient_details(p, "S11", zone=Zone.PRIVATE, columns=HAVE).first().patientId == 11
+    assert patient_details(p, "S11", columns=HAVE).count() == 0  # clear text never matches a pseudonym
 
 
 def test_documents_no_match_and_missing_id(spark):
@@ -119,5 +151,5 @@ def test_private_zone_returns_birth_years(spark):
     rows = nutritional_data(t, p, zone=Zone.PRIVATE).collect()
     assert {r.birthDate for r in rows} == {1970}
     from custodia.operators import pseudonymise_id
-    details = patient_details(pseudonymise_id(p), "S11", zone=Zone.PRIVATE).first()
+    details = patient_details(pseudonymise_id(p), "S11", zone=Zone.PRIVATE, columns=HAVE).first()
     assert details.birthDate == 1990
