@@ -13,8 +13,10 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +26,21 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from custodia.functions.columns import MEASUREMENT_COLUMNS
-from custodia.model import GovernedPlan, PolicyRequest, Zone
+from custodia.functions.columns import MEASUREMENT_COLUMNS, PROFILE_COLUMNS
+from custodia.model import GovernedPlan, PolicyRequest, TableSpec, Zone
 from custodia.operators import (
-    SkewPolicy, age_band_average, age_band_values, drop_denied_rows, generalise_birth_date, in_cohort,
-    json_component, component_average, component_series, mask_by_clauses, not_in_cohort,
+    PUBLIC_COLUMNS,
+    DEFAULT_SKEW, SkewPolicy, age_band_average, age_band_values, cohort_and_hot_keys,
+    drop_denied_rows, generalise_birth_date, in_cohort, json_component, component_average, component_series, mask_by_clauses, not_in_cohort,
     nutritional_data, patient_details, patient_documents, pseudonymise_id, public_export,
     quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
 )
 from custodia.plans.governed import governed_query, run_governed
-from custodia.plans.movement import fill_present
+from custodia.plans.movement import (
+    fill_present, finish_governed, finish_movement, stage_governed_export, start_movement,
+)
+from custodia.session import checkpoint_path
+from custodia.sources.catalog import Catalog
 from custodia.sources.fixtures import (
     CLAUSE_EXPRESSIONS, DOCUMENT_EXPRESSIONS, PROFILE_EXPRESSIONS, blood_tests_expressions,
     fixture_catalog,
@@ -134,12 +141,14 @@ def q_stroke_cohort(spark, sf_dir):
 
 def q_in_cohort(spark, sf_dir):
     _, bt, _ = _tables(spark, sf_dir)
-    return in_cohort(bt.select("testId", "patientId"), stroke_cohort(bt))
+    cohort, hot = cohort_and_hot_keys(bt, None, "patientId", DEFAULT_SKEW)
+    return in_cohort(bt.select("testId", "patientId"), cohort, hot=hot)
 
 
 def q_not_in_cohort(spark, sf_dir):
     _, bt, _ = _tables(spark, sf_dir)
-    return not_in_cohort(bt.select("testId", "patientId"), stroke_cohort(bt), null_ids="strict")
+    cohort, hot = cohort_and_hot_keys(bt, None, "patientId", DEFAULT_SKEW)
+    return not_in_cohort(bt.select("testId", "patientId"), cohort, null_ids="strict", hot=hot)
 
 
 def q_tests_with_profiles(spark, sf_dir):
@@ -156,29 +165,103 @@ def q_public_export_all(spark, sf_dir):
 
 
 def q_public_export_strict(spark, sf_dir):
-    return _export(spark, sf_dir, plan="two_branch", null_ids="strict")
+    return _export(spark, sf_dir, null_ids="strict")
 
 
 def q_public_export_where(spark, sf_dir):
-    return _export(spark, sf_dir, where="fibrinogen_value IS NOT NULL")
+    return _export(spark, sf_dir, where="blood_tests.fibrinogen_value IS NOT NULL")
+
+
+def q_public_export_top20(spark, sf_dir):
+    return _export(spark, sf_dir, limit=TOP_K, order_by=list(PUBLIC_COLUMNS))
+
+
+def _folder(spark) -> str:
+    """A new folder on the shared storage that spark.checkpoint.dir names."""
+    return checkpoint_path(spark, f"movement-{uuid.uuid4().hex}")
+
+
+_PUBLIC_TABLES: dict[tuple[str, str], str] = {}
+
+
+def _public_table(spark, sf_dir) -> DataFrame:
+    """The public zone's table: the export, moved there once per application
+    by stroke flag, as its readers find it."""
+    stored = (spark.sparkContext.applicationId, sf_dir)
+    if stored not in _PUBLIC_TABLES:
+        folder = _folder(spark)
+        start_movement(_export(spark, sf_dir), f"{folder}/staging")
+        finish_movement(spark, f"{folder}/staging", f"{folder}/public", fill={},
+                        partition_by=["stroke"], sort_within=["birthDate"])
+        _PUBLIC_TABLES[stored] = f"{folder}/public"
+    return spark.read.parquet(_PUBLIC_TABLES[stored])
 
 
 def q_public_cohort(spark, sf_dir):
-    return nutritional_data(_export(spark, sf_dir), zone=Zone.PUBLIC)
+    return nutritional_data(_public_table(spark, sf_dir), zone=Zone.PUBLIC)
 
 
 def q_public_avg_age(spark, sf_dir):
-    return age_band_average(_export(spark, sf_dir), None, "fibrinogen", *AGE_BAND,
+    return age_band_average(_public_table(spark, sf_dir), None, "fibrinogen", *AGE_BAND,
                             as_of=AS_OF, zone=Zone.PUBLIC, digits=6)
 
 
 def q_birth_year_int(spark, sf_dir):
-    return age_band_values(_export(spark, sf_dir), None, "fibrinogen", *AGE_BAND,
+    return age_band_values(_public_table(spark, sf_dir), None, "fibrinogen", *AGE_BAND,
                            as_of=AS_OF, zone=Zone.PUBLIC)
 
 
 def q_public_group_sizes(spark, sf_dir):
-    return quasi_identifier_groups(_export(spark, sf_dir))
+    return quasi_identifier_groups(_public_table(spark, sf_dir))
+
+
+def q_public_tests(spark, sf_dir):
+    return tests_with_profiles(_public_table(spark, sf_dir), None, zone=Zone.PUBLIC)
+
+
+def q_movement_round_trip(spark, sf_dir):
+    folder = _folder(spark)
+    start_movement(_export(spark, sf_dir), f"{folder}/staging")
+    finish_movement(spark, f"{folder}/staging", f"{folder}/target")
+    return spark.read.parquet(f"{folder}/target")
+
+
+def q_movement_rerun(spark, sf_dir):
+    # the second run of the movement brings fewer rows: no other may stay
+    folder, export = _folder(spark), _public_table(spark, sf_dir)
+    for rows in (export, export.where("stroke = 1")):
+        start_movement(rows, f"{folder}/staging")
+        finish_movement(spark, f"{folder}/staging", f"{folder}/target", movement_id="m1",
+                        partition_by=["stroke"])
+    return spark.read.parquet(f"{folder}/target").drop("movement_id")
+
+
+def q_movement_refused(spark, sf_dir):
+    # a staging path that exists is refused and keeps its rows
+    folder, (_, bt, _) = _folder(spark), _tables(spark, sf_dir)
+    rows = bt.select("testId", "fibrinogen_value")
+    start_movement(rows.where("fibrinogen_value IS NOT NULL"), folder, mode="errorifexists")
+    try:
+        start_movement(rows, folder, mode="errorifexists")
+    except AnalysisException:
+        return spark.read.parquet(folder)
+    raise AssertionError("an existing staging path was replaced")
+
+
+def q_movement_report(spark, sf_dir):
+    folder, export = _folder(spark), _public_table(spark, sf_dir)
+    made = [(name, start_movement(export.where(rows), f"{folder}/{name}"))
+            for name, rows in (("all", "true"), ("nobody", "stroke > 1"))]
+    return spark.createDataFrame([(n, r.rows, r.empty) for n, r in made],
+                                 "step string, moved long, empty boolean")
+
+
+def q_catalog_append(spark, sf_dir):
+    _, bt, _ = _tables(spark, sf_dir)
+    target = Catalog({"flags": TableSpec("flags", "parquet", _folder(spark))})
+    for flag in (0, 1):
+        target.save(bt.select("testId", "patientId", "stroke").where(F.col("stroke") == flag), "flags")
+    return target.load(spark, "flags")
 
 
 def q_masked(spark, sf_dir):
@@ -221,6 +304,43 @@ def q_governed_query(spark, sf_dir):
                           fixture_catalog(sf_dir))
 
 
+# A governed read of measurements, profiles and consent: the first
+# measurements of the people born in a range of years.
+GOVERNED_JOIN_SQL = (
+    "SELECT blood_tests.testId, blood_tests.patientId, patientsProfiles.gender, "
+    "CASE WHEN clauses.consent_labs THEN blood_tests.fibrinogen_value END AS fibrinogen_value "
+    "FROM blood_tests JOIN patientsProfiles ON patientsProfiles.patientId = blood_tests.patientId "
+    "LEFT JOIN clauses ON clauses.patientId = blood_tests.patientId "
+    "WHERE patientsProfiles.birthDate >= make_date({first}, 1, 1) "
+    "AND patientsProfiles.birthDate < make_date({after}, 1, 1) "
+    "ORDER BY blood_tests.testId LIMIT {most}"
+)
+JOIN_ARGS = {"first": 1960, "after": 1990, "most": TOP_K}
+
+
+def q_governed_join(spark, sf_dir):
+    plan = GovernedPlan(sql=GOVERNED_JOIN_SQL.format(**{a: f":{a}" for a in JOIN_ARGS}),
+                        tables=("blood_tests", "patientsProfiles", "blood_tests_clauses"))
+    return run_governed(spark, plan, fixture_catalog(sf_dir), args=JOIN_ARGS)
+
+
+def export_policy(request: PolicyRequest) -> GovernedPlan | None:
+    """Stand-in for the external policy engine: movements to the public cloud
+    may read and write; laboratory values and genders need consent."""
+    if request.purpose != "data_movement_public_cloud" or request.access not in ("read", "write"):
+        return None
+    return GovernedPlan(sql=request.query, tables=(), rules={
+        "fibrinogen_value": "consent_labs", "cholesterol_total_value": "consent_labs",
+        "gender": "consent_identity"})
+
+
+def q_governed_public_export(spark, sf_dir):
+    folder, purpose = _folder(spark), "data_movement_public_cloud"
+    stage_governed_export(spark, fixture_catalog(sf_dir), f"{folder}/staging", purpose, export_policy)
+    finish_governed(spark, f"{folder}/staging", f"{folder}/target", purpose, export_policy, fill={})
+    return spark.read.parquet(f"{folder}/target")
+
+
 def q_generalise(spark, sf_dir):
     _, _, pp = _tables(spark, sf_dir)
     return generalise_birth_date(pp.select("patientId", "gender", "birthDate"))
@@ -271,6 +391,56 @@ def q_hot_public_export(spark, sf_dir):
     return public_export(bt, pp, skew=HOT_SKEW)
 
 
+# The tables with the faults of real ones: measurements of nobody (also among
+# the flagged ones), people without a profile, birth dates as texts of which
+# some are no dates, and values that are not a number.
+ROUGH_ID = "CASE WHEN testId % 50 = 1 OR testId % 194 = 0 THEN NULL ELSE patientId END"
+ROUGH_VALUE = "CASE WHEN testId % 12 = 0 THEN CAST('NaN' AS DOUBLE) ELSE fibrinogen_value END"
+ROUGH_BIRTH = ("CASE WHEN patientId % 7 = 0 THEN 'unknown' WHEN patientId % 11 = 0 THEN NULL "
+               "ELSE CAST(birthDate AS VARCHAR(10)) END")
+ROUGH_PROFILES = "patientId % 10 <> 0"
+
+
+def _rough_tables(spark, sf_dir):
+    _, bt, pp = _tables(spark, sf_dir)
+    return (bt.withColumn("fibrinogen_value", F.expr(ROUGH_VALUE)).withColumn("patientId", F.expr(ROUGH_ID)),
+            pp.where(ROUGH_PROFILES).withColumn("birthDate", F.expr(ROUGH_BIRTH)))
+
+
+def q_rough_public_export(spark, sf_dir):
+    bt, pp = _rough_tables(spark, sf_dir)
+    return public_export(bt, pp).drop("fibrinogen_value")
+
+
+def q_rough_export_strict(spark, sf_dir):
+    # a NULL id in the cohort: NOT IN holds for nobody
+    bt, pp = _rough_tables(spark, sf_dir)
+    return public_export(bt, pp, null_ids="strict").drop("fibrinogen_value")
+
+
+def q_rough_not_in_strict(spark, sf_dir):
+    bt, _ = _rough_tables(spark, sf_dir)
+    cohort, hot = cohort_and_hot_keys(bt, None, "patientId", DEFAULT_SKEW)
+    return not_in_cohort(bt.select("testId", "patientId"), cohort, null_ids="strict",
+                         hot=hot).agg(F.count("*").alias("n"))
+
+
+def q_rough_generalise(spark, sf_dir):
+    _, pp = _rough_tables(spark, sf_dir)
+    return generalise_birth_date(pp.select("patientId", "birthDate"))
+
+
+def q_rough_age_band(spark, sf_dir):
+    bt, pp = _rough_tables(spark, sf_dir)
+    return age_band_values(bt, pp, "cholesterol", *AGE_BAND, as_of=AS_OF)
+
+
+def q_rough_no_id(spark, sf_dir):
+    bt, _ = _rough_tables(spark, sf_dir)
+    kept = drop_denied_rows(bt.select("patientId", "fibrinogen_value"), subject=None)
+    return kept.select("patientId", F.isnan("fibrinogen_value").alias("not_a_number"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "component_series": q_component_series,
     "component_series_measured": q_component_series_measured,
@@ -292,6 +462,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "public_export_all": q_public_export_all,
     "public_export_strict": q_public_export_strict,
     "public_export_where": q_public_export_where,
+    "public_export_top20": q_public_export_top20,
+    "public_tests": q_public_tests,
+    "movement_round_trip": q_movement_round_trip,
+    "movement_rerun": q_movement_rerun,
+    "movement_refused": q_movement_refused,
+    "movement_report": q_movement_report,
+    "catalog_append": q_catalog_append,
+    "governed_join": q_governed_join,
+    "governed_public_export": q_governed_public_export,
+    "rough_public_export": q_rough_public_export,
+    "rough_export_strict": q_rough_export_strict,
+    "rough_not_in_strict": q_rough_not_in_strict,
+    "rough_generalise": q_rough_generalise,
+    "rough_age_band": q_rough_age_band,
+    "rough_no_id": q_rough_no_id,
     "public_cohort": q_public_cohort,
     "public_avg_age": q_public_avg_age,
     "birth_year_int": q_birth_year_int,
@@ -356,14 +541,15 @@ _J = "blood_tests INNER JOIN patientsProfiles ON patientsProfiles.patientId = bl
 _IDS = "(SELECT DISTINCT patientId FROM blood_tests WHERE stroke = 1)"
 
 
-def _export_sql(distinct: bool = True, where: str = "TRUE") -> str:
+def _export_sql(distinct: bool = True, where: str = "TRUE",
+                birth: str = "CAST(year(p.birthDate) AS INT)") -> str:
     """The export by its meaning: a subject has had a stroke if any of
     their measurements says so; each measurement row of a subject with a
     profile leaves without its id and with the year of birth."""
     columns = ", ".join(f"m.{c}" for c in MEASUREMENT_COLUMNS)
     return (
         f"(SELECT {'DISTINCT' if distinct else ''} CAST(coalesce(h.had, FALSE) AS INT) AS stroke, "
-        "0 AS patientId, p.gender, CAST(year(p.birthDate) AS INT) AS birthDate, "
+        f"0 AS patientId, p.gender, {birth} AS birthDate, "
         f"{columns} FROM (SELECT * FROM blood_tests WHERE category = 'blood_test' AND {where}) m "
         "JOIN patientsProfiles p USING (patientId) "
         "LEFT JOIN (SELECT patientId, bool_or(stroke = 1) AS had FROM blood_tests GROUP BY patientId) h "
@@ -396,13 +582,10 @@ _ORACLE = {
         f"SELECT blood_tests.fibrinogen_value, blood_tests.patientId FROM {_J} "
         f"WHERE {_BAND_PRIVATE} AND blood_tests.fibrinogen_value IS NOT NULL",
     "patient_details":
-        "SELECT nationality, job, birthDate, gender, patientId, socialId FROM patientsProfiles "
-        f"WHERE socialId = '{SOCIAL_ID}'",
+        f"SELECT {', '.join(PROFILE_COLUMNS)} FROM patientsProfiles WHERE socialId = '{SOCIAL_ID}'",
     "patient_details_private":
-        "SELECT nationality, job, CAST(year(birthDate) AS INT) AS birthDate, gender, patientId, "
-        "socialId FROM "
-        "(SELECT patientId, sha256(socialId) AS socialId, nationality, job, gender, birthDate "
-        f"FROM patientsProfiles) p WHERE socialId = sha256('{SOCIAL_ID}')",
+        f"SELECT {', '.join(PROFILE_COLUMNS)} FROM (SELECT * REPLACE (sha256(socialId) AS socialId, "
+        f"CAST(year(birthDate) AS INT) AS birthDate) FROM patientsProfiles) p WHERE socialId = sha256('{SOCIAL_ID}')",
     "documents": f"SELECT * FROM documents_p WHERE patientId = {PATIENT}",
     "nutritional":
         f"SELECT {_NUTRITION} FROM {_J} WHERE blood_tests.category = 'blood_test' "
@@ -416,8 +599,7 @@ _ORACLE = {
     "in_cohort": f"SELECT patientId, testId FROM blood_tests WHERE patientId IN {_IDS}",
     "not_in_cohort": f"SELECT patientId, testId FROM blood_tests WHERE patientId NOT IN {_IDS}",
     "tests_with_profiles":
-        "SELECT blood_tests.*, patientsProfiles.socialId, patientsProfiles.nationality, "
-        f"patientsProfiles.job, patientsProfiles.gender, patientsProfiles.birthDate FROM {_J}",
+        f"SELECT blood_tests.*, {', '.join(c for c in PROFILE_COLUMNS if c != 'patientId')} FROM {_J}",
     "public_export": _export_sql(),
     "public_export_all": _export_sql(distinct=False),
     "public_export_strict": _export_sql(),
@@ -477,7 +659,62 @@ _HOT = {
 _ORACLE.update(_HOT)
 
 
+_FILLED = "SELECT * REPLACE (coalesce(fibrinogen_value, CAST(0.0 AS DOUBLE)) AS fibrinogen_value) FROM"
+_ORACLE.update({
+    "public_export_top20": f"SELECT * FROM {_export_sql()} p ORDER BY "
+                           + ", ".join(f"{c} NULLS FIRST" for c in PUBLIC_COLUMNS) + f" LIMIT {TOP_K}",
+    "public_tests": _export_sql(),
+    "movement_round_trip": f"{_FILLED} {_export_sql()} p",
+    "movement_rerun": f"{_FILLED} {_export_sql()} p WHERE stroke = 1",
+    "movement_refused": "SELECT testId, fibrinogen_value FROM blood_tests WHERE fibrinogen_value IS NOT NULL",
+    "movement_report": f"SELECT 'all' AS step, count(*) AS moved, count(*) = 0 AS empty FROM {_export_sql()} p "
+                       "UNION ALL SELECT 'nobody', 0, TRUE",
+    "catalog_append": "SELECT testId, patientId, stroke FROM blood_tests",
+    "governed_join": GOVERNED_JOIN_SQL.format(**JOIN_ARGS),
+})
+
+_TESTS_CTE, _PROFILES_CTE = f"blood_tests AS ({_blood_tests_sql()})", f"patientsProfiles AS ({_PROFILES_SQL})"
+
+
+def _with(tests: str, profiles: str) -> str:
+    """The CTEs with changed measurements and profiles."""
+    return (_WITH.replace(_TESTS_CTE, f"even_tests AS ({_blood_tests_sql()})")
+            .replace(_PROFILES_CTE, f"even_profiles AS ({_PROFILES_SQL})").rstrip()
+            + f", blood_tests AS ({tests}), patientsProfiles AS ({profiles}) ")
+
+
+def _consented(column: str, consent: str) -> str:
+    return f"CASE WHEN {consent} THEN {column} END AS {column}"
+
+
+_CHANGED = {
+    "governed_public_export": _with(
+        "SELECT e.* REPLACE (" + ", ".join(_consented(c, "consent_labs") for c in
+                                           ("fibrinogen_value", "cholesterol_total_value"))
+        + ") FROM even_tests e LEFT JOIN clauses USING (patientId)",
+        f"SELECT e.* REPLACE ({_consented('gender', 'consent_identity')}) "
+        "FROM even_profiles e LEFT JOIN clauses USING (patientId)") + _export_sql(),
+}
+_ROUGH = _with(
+    f"SELECT * REPLACE ({ROUGH_ID} AS patientId, {ROUGH_VALUE} AS fibrinogen_value) FROM even_tests",
+    f"SELECT * REPLACE ({ROUGH_BIRTH} AS birthDate) FROM even_profiles WHERE {ROUGH_PROFILES}")
+_ROUGH_EXPORT = _export_sql(birth="CAST(year(try_cast(p.birthDate AS DATE)) AS INT)")
+_CHANGED |= {name: _ROUGH + sql for name, sql in {
+    "rough_public_export": f"SELECT * EXCLUDE (fibrinogen_value) FROM {_ROUGH_EXPORT} p",
+    "rough_export_strict": f"SELECT * EXCLUDE (fibrinogen_value) FROM {_ROUGH_EXPORT} p "
+                           f"WHERE stroke = 1 OR NOT EXISTS (SELECT 1 FROM {_IDS} i WHERE i.patientId IS NULL)",
+    "rough_not_in_strict": f"SELECT count(*) AS n FROM blood_tests WHERE patientId NOT IN {_IDS}",
+    "rough_generalise": "SELECT patientId, CAST(year(try_cast(birthDate AS DATE)) AS INT) AS birthDate "
+                        "FROM patientsProfiles",
+    "rough_age_band": f"SELECT blood_tests.cholesterol_total_value, blood_tests.patientId FROM {_J} "
+                      "WHERE year(try_cast(patientsProfiles.birthDate AS DATE)) BETWEEN 1960 AND 1989 "
+                      "AND cholesterol_total_value IS NOT NULL",
+    "rough_no_id": "SELECT patientId, coalesce(isnan(fibrinogen_value), FALSE) AS not_a_number "
+                   "FROM blood_tests WHERE patientId IS NOT NULL OR fibrinogen_value IS NOT NULL",
+}.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key."""
     return {**{k: (_WITH_HOT if k in _HOT else _WITH) + v for k, v in _ORACLE.items()},
-            **_LLM_ORACLE}
+            **_CHANGED, **_LLM_ORACLE}

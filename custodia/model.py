@@ -56,7 +56,8 @@ class TableSpec:
 
 @dataclass(frozen=True)
 class PolicyRequest:
-    """What is sent to the policy decision point."""
+    """What is sent to the policy decision point; ``access`` is ``read``,
+    ``read_public_cloud`` or, to finish a movement, ``write``."""
 
     query: str
     purpose: str
@@ -67,11 +68,14 @@ class PolicyRequest:
 @dataclass(frozen=True)
 class GovernedPlan:
     """A policy decision: the SQL to run, the tables it needs, and the
-    options (for example Parquet encryption keys) for reads and writes."""
+    options (for example Parquet encryption keys) for reads and writes.
+    For an export, which runs no SQL text, ``rules`` names the consent column
+    that each governed column needs."""
 
     sql: str
     tables: tuple[str, ...]
     write_options: Mapping[str, str] = field(default_factory=dict)
+    rules: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod
     def from_json(cls, text: str) -> "GovernedPlan":

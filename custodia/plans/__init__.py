@@ -1,11 +1,13 @@
 """Multi-step plans: governed execution and data movement."""
 
-from custodia.plans.governed import governed_query, run_governed
+from custodia.plans.governed import governed_export, governed_query, run_governed
 from custodia.plans.movement import (
-    MovementError, MovementReport, fill_present, finish_movement, stage_governed, start_movement,
+    MovementError, MovementReport, fill_present, finish_governed, finish_movement, stage_governed,
+    stage_governed_export, start_movement,
 )
 
 __all__ = [
-    "governed_query", "run_governed", "MovementError", "MovementReport",
-    "fill_present", "finish_movement", "stage_governed", "start_movement",
+    "governed_export", "governed_query", "run_governed", "MovementError", "MovementReport",
+    "fill_present", "finish_governed", "finish_movement", "stage_governed",
+    "stage_governed_export", "start_movement",
 ]

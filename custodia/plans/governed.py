@@ -13,8 +13,12 @@ from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from custodia.functions.predicates import any_present
 from custodia.model import GovernedPlan, PolicyRequest, TableSpec, Zone
+from custodia.operators.export import public_export
+from custodia.operators.privacy import mask_by_clauses
 from custodia.operators.rows import drop_denied_rows
+from custodia.operators.skew import DEFAULT_SKEW, SkewPolicy
 from custodia.sources.catalog import Catalog
 
 log = logging.getLogger(__name__)
@@ -38,6 +42,40 @@ def _child(spark: SparkSession) -> SparkSession:
     return session
 
 
+def decide(policy: Policy, query: str, purpose: str, access: str,
+           requester_id: str = "") -> GovernedPlan:
+    """The policy's decision on a request; no decision is a PermissionError,
+    raised before anything is read or written."""
+    if not purpose:
+        raise ValueError("a purpose is required")
+    plan = policy(PolicyRequest(query=query, purpose=purpose, access=access,
+                                requester_id=requester_id))
+    if plan is None:
+        raise PermissionError("no policy decision: nothing is read or written")
+    return plan
+
+
+def governed_export(tests: DataFrame, profiles: DataFrame, clauses: DataFrame,
+                    plan: GovernedPlan, key: str = "patientId", skew: SkewPolicy | None = DEFAULT_SKEW,
+                    **arguments) -> DataFrame:
+    """``public_export`` of what the plan's consent rules leave.
+
+    Cells a subject has not consented to share are blanked in both tables
+    before anything else sees them: a denied cell takes no part in the
+    caller's ``where``, in the category filter or in the cohort. A row of the
+    export in which no column but ``stroke`` and the subject id holds a value
+    is dropped. A rule for a column that neither table has is an error.
+    """
+    unknown = [c for c in plan.rules if c not in tests.columns + profiles.columns]
+    if unknown:
+        raise ValueError(f"rules name columns not in the data: {unknown}")
+    masked = [mask_by_clauses(df, clauses, rules, key, skew) if rules else df
+              for df in (tests, profiles)
+              for rules in [{c: r for c, r in plan.rules.items() if c in df.columns}]]
+    export = public_export(*masked, key=key, skew=skew, **arguments)
+    return export.where(any_present(c for c in export.columns if c not in ("stroke", key)))
+
+
 def run_governed(spark: SparkSession, plan: GovernedPlan | None, catalog: Catalog,
                  args: Mapping[str, object] | None = None,
                  subject: str | None = "patientId") -> DataFrame:
@@ -75,13 +113,9 @@ def governed_query(spark: SparkSession, query: str, purpose: str, policy: Policy
     with no value at all are dropped too, so an id-only result hides a
     NULL id here, while a movement (``stage_governed``) keeps it.
     """
-    if not purpose:
-        raise ValueError("Missing purpose")
     if not query:
-        raise ValueError("Missing query")
-    request = PolicyRequest(query=query, purpose=purpose,
-                            access=Zone.parse(zone).access, requester_id=requester_id)
-    plan = policy(request)
-    log.info("governed query for purpose %s: %s", purpose, plan.sql if plan else None)
+        raise ValueError("a query is required")
+    plan = decide(policy, query, purpose, Zone.parse(zone).access, requester_id)
+    log.info("governed query for purpose %s: %s", purpose, plan.sql)
     result = run_governed(spark, plan, catalog, args=args, subject=subject)
     return drop_denied_rows(result, subject=None)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custodia.model import GovernedPlan
+from custodia.model import GovernedPlan, Zone
 
 # The reference fills this gap on ingest into the target zone.
 DEFAULT_FILL = {"fibrinogen_value": 0.0}
@@ -89,6 +89,34 @@ def stage_governed(spark: SparkSession, plan: GovernedPlan | None, catalog,
     return start_movement(result, staging, options=plan.write_options)
 
 
+def stage_governed_export(spark: SparkSession, catalog, staging: str, purpose: str, policy,
+                          tests: str = "blood_tests", profiles: str = "patientsProfiles",
+                          clauses: str = "blood_tests_clauses", zone=Zone.ON_PREM,
+                          requester_id: str = "", **arguments) -> MovementReport:
+    """Start a movement of the public export under a policy: ask for a read
+    of the measurement table, mask by the decision's consent rules, export
+    (``arguments`` go to ``public_export``) and stage with the decision's
+    options. Without a decision nothing is read or staged."""
+    from custodia.plans.governed import decide, governed_export
+
+    plan = decide(policy, f"SELECT * FROM {tests}", purpose, Zone.parse(zone).access, requester_id)
+    export = governed_export(catalog.load(spark, tests), catalog.load(spark, profiles),
+                             catalog.load(spark, clauses), plan, **arguments)
+    return start_movement(export, staging, options=plan.write_options)
+
+
+def finish_governed(spark: SparkSession, staging: str, target: str, purpose: str, policy,
+                    requester_id: str = "", **arguments) -> MovementReport:
+    """``finish_movement`` under a policy: asks for access ``write`` to the
+    target and appends with the decision's options. Without a decision the
+    target is not touched."""
+    from custodia.plans.governed import decide
+
+    plan = decide(policy, target, purpose, "write", requester_id)
+    return finish_movement(spark, staging, target,
+                           options={**plan.write_options, **arguments.pop("options", {})}, **arguments)
+
+
 def _schema_of(spark: SparkSession, path: str, options: Mapping[str, str]) -> T.StructType | None:
     try:
         return spark.read.options(**options).parquet(path).schema
