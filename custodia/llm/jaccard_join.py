@@ -40,6 +40,7 @@ SHINGLE = 5
 #: Tokens put last in the order, at most; the order decides only the work.
 FREQUENT_TOKENS = 1 << 18
 _SEEN = 4                  # documents of a batch that hold a frequent token
+_ODD = ["odd0", "odd1", "odd2", "odd3"]
 _FLUSH = 1 << 22           # tokens counted at once
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,10 +71,19 @@ def _set_hashes(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([one + np.uint64(len(s)), two], np.uint64).view(np.int64))
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """How many elements fall into each of some ranges of hashes."""
-    places = (s >> np.uint64(56)).astype(np.int64)
-    return np.bincount(places, minlength=256).astype(np.uint32 if len(s) > 65535 else np.uint16).tobytes()
+def _ranges(s: np.ndarray) -> np.ndarray:
+    """How many elements fall into each of 256 ranges of hashes."""
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+
+
+def _sketch(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint32 if counts.sum() > 65535 else np.uint16).tobytes()
+
+
+def _odd(counts: np.ndarray) -> np.ndarray:
+    """The ranges with an odd number of elements, as the bits of four numbers.
+    Sets differ by an element at least for each bit that differs."""
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _counts(sketch) -> np.ndarray:
@@ -96,7 +106,7 @@ def _likely(batches):
 
 def _describe(size: int) -> Callable:
     """Rows of documents (seen NULL) and of tokens that a batch sees often."""
-    names = ["doc_id", "n", "set", "check", "token", "seen", "sketch"]
+    names = ["doc_id", "n", "set", "check", "token", "seen", "sketch", *_ODD]
 
     def often(sets: list[np.ndarray]):
         tokens, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -104,26 +114,29 @@ def _describe(size: int) -> Callable:
         none = pa.nulls(len(n), pa.int64())
         return pa.RecordBatch.from_arrays(
             [none] * 4 + [pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64)),
-                          pa.nulls(len(n), pa.binary())], names=names)
+                          pa.nulls(len(n), pa.binary()), *[none] * len(_ODD)], names=names)
 
     def run(batches):
         sets, held = [], 0
         for batch in batches:
-            rows, sketches = [], []
+            rows, sketches, odd = [], [], []
             for _, _, words in batch_words(batch.column(1), blank_separated()):
                 for s in _shingles(words, size):
                     rows.append((len(s), *_set_hashes(s)))
-                    sketches.append(_sketch(s))
+                    counts = _ranges(s)
+                    sketches.append(_sketch(counts))
+                    odd.append(_odd(counts))
                     sets.append(s)
                     held += len(s)
                     if held >= _FLUSH:
                         yield often(sets)
                         sets, held = [], 0
             columns = np.array(rows, np.int64).reshape(-1, 3)
+            bits = np.array(odd, np.int64).reshape(-1, len(_ODD))
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(columns[:, k]) for k in range(3)], none, none,
-                 pa.array(sketches, pa.binary())], names=names)
+                 pa.array(sketches, pa.binary()), *[pa.array(bits[:, k]) for k in range(len(_ODD))]], names=names)
         if sets:
             yield often(sets)
     return run
@@ -231,8 +244,9 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = kept(texts.mapInArrow(
-        _describe(shingle), "doc_id long, n long, set long, check long, token long, seen long, sketch binary"))
-    documents = seen.filter("seen IS NULL").select("doc_id", "n", "set", "check", "sketch")
+        _describe(shingle), "doc_id long, n long, set long, check long, token long, seen long, sketch binary, "
+        + ", ".join(f"{c} long" for c in _ODD)))
+    documents = seen.filter("seen IS NULL").select("doc_id", "n", "set", "check", "sketch", *_ODD)
     counted = seen.filter("seen IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("n"))
     top = most_frequent(counted, frequent_tokens)[0].toArrow()
     tokens = np.asarray(top.column("token").combine_chunks(), np.int64).view(np.uint64)
@@ -271,22 +285,26 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
     near = _verified(kept(chosen), documents, texts, shingle)
     groups = components(near)
 
-    # pairs across groups: same list, sizes that fit, position early enough
+    # pairs across groups: same list, sizes that fit, position early enough,
+    # and no more odd ranges apart than similar sets can have elements apart
+    bits = (documents.filter("doc_id IS NOT NULL AND n > 0").groupBy("set")
+            .agg(*[F.min(c).alias(c) for c in _ODD]))
     grouped = (lists.select("token", "set", "n", "pos")
                .join(groups.select(F.col("node").alias("set"), "label"), "set", "left")
                .withColumn("group", F.coalesce("label", "set")).drop("label"))
     whole = Window.partitionBy("token")
     grouped = kept(grouped.withColumn("lo", F.min("group").over(whole)).withColumn("hi", F.max("group").over(whole))
-                   .filter("lo <> hi").drop("lo", "hi")
+                   .filter("lo <> hi").drop("lo", "hi").join(bits, "set")
                    .withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int")))
     small = (grouped.filter(F.col("pos") * 9 <= F.col("n"))
              .withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))).alias("s")
     large = grouped.alias("l")
     s, l = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"l.{c}"))
+    apart = sum(F.bit_count(s(c).bitwiseXOR(l(c))) for c in _ODD)
     across = (small.join(large, (s("token") == l("token")) & (s("block") == l("block"))
                          & (s("group") != l("group"))
                          & ((s("n") < l("n")) | ((s("n") == l("n")) & (s("set") < l("set"))))
-                         & _possible(s("n"), s("pos"), l("n"), l("pos")))
+                         & _possible(s("n"), s("pos"), l("n"), l("pos")) & (apart * 9 <= s("n") + l("n")))
               .select(s("set").alias("a"), l("set").alias("b")).distinct())
     more = _verified(kept(across), documents, texts, shingle)
     if more.isEmpty():

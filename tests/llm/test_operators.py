@@ -347,3 +347,16 @@ def test_pipeline_stages(spark, docs):
     left = {r.doc_id for r in out.collect()}
     assert left and not left & {150, 151, 152}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_odd_ranges_never_differ_by_more_than_the_sets():
+    from custodia.llm.jaccard_join import _odd, _ranges
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = rng.integers(0, 900, 2)
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, len(a) + 1))],
+                                      rng.integers(0, 1 << 63, m).astype(np.uint64) << np.uint64(1)]))
+        apart = sum(int(x).bit_count() for x in (_odd(_ranges(a)) ^ _odd(_ranges(b))).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
