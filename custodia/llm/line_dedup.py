@@ -7,8 +7,10 @@ characters; a line within k edits leaves one of them whole, shifted by no
 more than the edits around it allow. The lines probe an index of segments with
 their substrings for all lengths that can match, and pairs that share one
 are verified with a banded bit-parallel edit distance. A line is dropped if
-an earlier line (smaller first document, then smaller hash) is within k
-edits of it.
+an earlier line that stays (smaller first document, then the place in it) is
+within k edits of it; a dropped line drops nothing. Rounds over the links
+decide this: lines without an earlier undecided neighbour stay, their
+neighbours go. Once few links are left, the driver goes through them in order.
 
 Only hashes, never whole texts, are grouped: a line that most documents
 hold is aggregated before the shuffle or counted by window, and segment
@@ -36,6 +38,8 @@ from custodia.llm.tables import kept
 
 MAX_EDITS = 2
 MIN_CHARS = 20
+#: Links that the driver decides at once; more are decided in rounds.
+LOCAL_LINKS = 1 << 18
 
 
 def _hashes(line: str) -> tuple[int, int]:
@@ -133,29 +137,31 @@ def _keys(edits: int, min_chars: int) -> Callable:
 
 def _wanted_lines(batches):
     for batch in batches:
-        names, lines = [], []
+        names, lines, places = [], [], []
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             wanted = set(wanted)
-            for line in dict.fromkeys(_lines(text.as_py())):
+            for place, line in enumerate(dict.fromkeys(_lines(text.as_py()))):
                 if line and (name := _hashes(line)[0]) in wanted:
                     names.append(name)
                     lines.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string())],
-                                         names=["lo", "line"])
+                    places.append(place)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string()),
+                                          pa.array(places, pa.int32())], names=["lo", "line", "place"])
 
 
 def _near(edits: int) -> Callable:
     def run(batches):
         for batch in batches:
             close = pa.array([distance_within(x.as_py(), y.as_py(), edits) is not None
-                              for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)],
-                                             names=["a", "b"])
+                              for x, y in zip(batch.column(4), batch.column(5))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(close) for c in batch.columns[:4]],
+                                             names=["a", "b", "a_place", "b_place"])
     return run
 
 
 def line_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(a, b) of different lines within ``edits``, by hash, each pair once."""
+    """(a, b, a_place, b_place) of different lines within ``edits``, by hash,
+    each pair once, with their places in their first documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .filter("doc_id IS NOT NULL")
     keys = texts.select("text").mapInArrow(_keys(edits, min_chars), "key long, lo long, own boolean, sketch long")
@@ -172,12 +178,37 @@ def line_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     where = (asked.join(classes.select("lo", "first"), "lo").groupBy(F.col("first").alias("doc_id"))
              .agg(F.collect_set("lo").alias("wanted")))
     lines = kept(texts.join(where, "doc_id").select("text", "wanted")
-                 .mapInArrow(_wanted_lines, "lo long, line string").distinct())
-    x = lines.select(F.col("lo").alias("a"), F.col("line").alias("x"))
-    y = lines.select(F.col("lo").alias("b"), F.col("line").alias("y"))
+                 .mapInArrow(_wanted_lines, "lo long, line string, place int")
+                 .groupBy("lo", "line").agg(F.min("place").alias("place")))
+    x = lines.select(F.col("lo").alias("a"), F.col("line").alias("x"), F.col("place").alias("a_place"))
+    y = lines.select(F.col("lo").alias("b"), F.col("line").alias("y"), F.col("place").alias("b_place"))
     near = F.abs(F.length("x") - F.length("y")) <= edits
-    return kept(pairs.join(x, "a").join(y, "b").filter(near).select("a", "b", "x", "y")
-                .mapInArrow(_near(edits), "a long, b long").distinct())
+    return kept(pairs.join(x, "a").join(y, "b").filter(near)
+                .select("a", "b", "a_place", "b_place", "x", "y")
+                .mapInArrow(_near(edits), "a long, b long, a_place int, b_place int").distinct())
+
+
+def late_lines(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """The lines ``lo`` that go, each once, given every link (lo, other) to
+    an earlier line, with the order (first, place) of ``lo``."""
+    spark = links.sparkSession
+    out = spark.createDataFrame([], "lo long")
+    left = links.select("lo", "other", "first", "place")
+    while left.count() > local:
+        stay = left.select(F.col("other").alias("lo")).distinct().join(left.select("lo"), "lo", "left_anti")
+        gone = kept(left.join(stay.withColumnRenamed("lo", "other"), "other").select("lo").distinct())
+        left = kept(left.join(gone, "lo", "left_anti")
+                    .join(gone.withColumnRenamed("lo", "other"), "other", "left_anti")
+                    .select("lo", "other", "first", "place"))
+        out = out.union(gone)
+    earlier: dict[tuple[int, int, int], list[int]] = {}
+    for lo, other, first, place in zip(*(c.to_pylist() for c in left.toArrow().columns)):
+        earlier.setdefault((first, place, lo), []).append(other)
+    late: set[int] = set()
+    for line in sorted(earlier):
+        if not late.issuperset(earlier[line]):
+            late.add(line[2])
+    return out.union(spark.createDataFrame([(lo,) for lo in sorted(late)], "lo long"))
 
 
 def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -192,14 +223,15 @@ def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
     classes = kept(occurrences.groupBy("lo", "hi").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
 
     links = line_links(docs, classes, edits, min_chars)
-    both = links.union(links.select("b", "a")).toDF("lo", "other")
+    both = (links.select("a", "b", "a_place", "b_place").union(links.select("b", "a", "b_place", "a_place"))
+            .toDF("lo", "other", "place", "other_place"))
     order = classes.select("lo", "first")
-    both = (both.join(order, "lo")
-            .join(order.select(F.col("lo").alias("other"), F.col("first").alias("other_first")), "other"))
-    earlier = (F.col("other_first") < F.col("first")) | (
-        (F.col("other_first") == F.col("first")) & (F.col("other") < F.col("lo")))
-    near = both.groupBy("lo").agg(F.count(F.lit(1)).alias("links"), F.max(earlier).alias("late"),
-                                  F.min("other_first").alias("near_first"))
+    both = kept(both.join(order, "lo")
+                .join(order.select(F.col("lo").alias("other"), F.col("first").alias("other_first")), "other"))
+    earlier = F.struct("other_first", "other_place", "other") < F.struct("first", "place", "lo")
+    late = late_lines(both.filter(earlier)).withColumn("late", F.lit(True))
+    near = (both.groupBy("lo").agg(F.count(F.lit(1)).alias("links"), F.min("other_first").alias("near_first"))
+            .join(late, "lo", "left"))
     judged = (classes.join(near, "lo", "left").filter("n > 1 OR links IS NOT NULL")
               .select("lo", "hi", "first", F.coalesce("links", F.lit(0)).alias("links"),
                       F.coalesce("late", F.lit(False)).alias("late"),

@@ -1,0 +1,53 @@
+"""Line dedup: only a line that stays drops another one, in page order."""
+
+import random
+
+import pytest
+
+from custodia.llm import line_dedup
+from custodia.llm.edit_distance import distance_within
+
+
+def brute(rows):
+    """Lines that stay, by document."""
+    place = {}
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            place[x] = min((i, k), place.get(x, (i, k)))
+    stay = []
+    for x in sorted(place, key=place.get):
+        if len(x) < 20 or all(len(y) < 20 or distance_within(x, y, 2) is None for y in stay):
+            stay.append(x)
+    return {i: "\n".join(x for x in stay if place[x][0] == i) for i, _ in rows}
+
+
+def test_a_dropped_line_drops_nothing(spark):
+    rng = random.Random(9)
+    rows = [(1, "a chain of lines, end aaaa"), (2, "a chain of lines, end aabb"), (3, "a chain of lines, end bbbb"),
+            (4, "\n".join(f"Step {n} of a long recipe" for n in (1000, 1011, 1111, 2222, 2211, 3333)))]
+    rows += [(i, "\n".join(dict.fromkeys(
+        f"{i % 3} some words before {''.join(rng.choice('ab') for _ in range(9))}" for _ in range(12))))
+        for i in range(5, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert want[3] == rows[2][1] and want[4].startswith("Step 1000")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: t for i, t in want.items() if t}
+    assert {r.doc_id: r.n_kept for r in line_dedup.line_decisions(docs).collect()} == {
+        i: len(t.split("\n")) if t else 0 for i, t in want.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_and_driver_decide_alike(spark, seed):
+    rng = random.Random(seed)
+    order = {n: (rng.randint(0, 9), rng.randint(0, 9)) for n in range(60)}
+    key = lambda n: (*order[n], n)
+    links = {(max(a, b, key=key), min(a, b, key=key)) for a, b in (rng.sample(range(60), 2) for _ in range(120))}
+    late = set()
+    for n in sorted(order, key=key):
+        if any(a == n and b not in late for a, b in links):
+            late.add(n)
+    df = spark.createDataFrame([(a, b, *order[a]) for a, b in links], "lo long, other long, first long, place int")
+    for local in (0, 1 << 18):
+        got = [r.lo for r in line_dedup.late_lines(df, local).collect()]
+        assert sorted(got) == sorted(late)
