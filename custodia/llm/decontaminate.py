@@ -12,7 +12,8 @@ The benchmark is cut into blocks of bounded size, each broadcast and
 applied in the same pass over the documents, which are never shuffled.
 
 Defined cases: a NULL or empty text has no words and no hits; an item with
-NULL id, NULL text or no words is left out; items may repeat (their
+NULL text or no words is left out; the windows of an item with NULL id give
+hits and spans, but no name to the items; items may repeat (their
 windows are united); repeated documents each get their own row; an empty
 table on either side gives no hits; other columns pass through untouched.
 """
@@ -50,7 +51,7 @@ _ARROW_HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
 class Windows:
     """The distinct windows of some items, as numbers of their words."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         table = alphanumeric()
         found: dict[bytes, tuple[np.ndarray, set[str]]] = {}
         for item, text in items:
@@ -58,7 +59,9 @@ class Windows:
                 h = words.hashes()
                 for at in range(max(1, len(h) - window + 1) if len(h) else 0):
                     w = h[at:at + window]
-                    found.setdefault(w.tobytes(), (w, set()))[1].add(item)
+                    names = found.setdefault(w.tobytes(), (w, set()))[1]
+                    if item is not None:
+                        names.add(item)
         hashes = [w for w, _ in found.values()]
         self.items = [sorted(names) for _, names in found.values()]
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
@@ -164,10 +167,10 @@ def _marker(sent, text_at: int, hits_at: int | None, name: str) -> Callable:
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     rows, size = [], 0
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")) \
-        .filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+        .filter("t IS NOT NULL").distinct()
     for r in items.toLocalIterator():
         rows.append((r.i, r.t))
         size += len(r.t)
