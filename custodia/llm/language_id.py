@@ -4,9 +4,10 @@ Byte trigrams of words (with word boundaries) are counted per language over
 all training documents. A document is a mixture of languages: each word has
 a likelihood under every language, the product of its trigrams, and
 expectation-maximisation finds the proportions of the languages. Then the
-set of languages is chosen among the leading one, two, ... by likelihood
-minus a penalty for each further language; the prediction is the language
-with the largest proportion of the chosen set, the score its proportion.
+set of languages is chosen among the leading one, two, ... up to all of them
+by likelihood minus a penalty for each further language; sizes that cannot
+win by an upper bound of the likelihood are not fitted. The prediction is the
+language with the largest proportion of the chosen set, the score its proportion.
 
 Trigrams fall into a fixed number of buckets, so the model's size depends
 on the number of languages alone, which is checked before it is broadcast.
@@ -120,6 +121,17 @@ def _fit(p: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray,
     return theta, like
 
 
+def _most(p: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """An upper bound of each document's log-likelihood under any
+    proportions: the logarithm is concave, so none exceeds that of ``theta``
+    by more than n log of the largest mean ratio of a language's likelihood
+    to the mixture's."""
+    total = np.maximum((p * theta[row]).sum(axis=1), 1e-300)
+    ratio = np.add.reduceat(p / total[:, None], first, axis=0) / n[:, None]
+    most = np.add.reduceat(np.log(total), first) + n * np.log(ratio.max(axis=1))
+    return most + 1e-9 * (n + np.abs(most))
+
+
 def _infer(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the rows that have words: their proportions, with 0 for
     languages outside the chosen set; and which rows these are."""
@@ -133,18 +145,21 @@ def _infer(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     theta, _ = _fit(p, row, first, n, np.full((len(rows), len(table)), 1 / len(table)), ROUNDS)
     order = np.argsort(-theta, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    best, chosen = None, theta
-    for size in range(1, min(3, len(table)) + 1):
-        start = np.where(rank < size, theta + 1e-9, 0.0)
+    most = _most(p, row, first, n, theta)
+    chosen, best = _fit(p, row, first, n, (rank == 0).astype(np.float64), 0)
+    for size in range(2, len(table) + 1):
+        penalty = PENALTY * (size - 1) * np.log(n + 1.0)
+        at = np.flatnonzero(most - penalty > best)      # only shrinks with size
+        if not len(at):
+            break
+        start = np.where(rank[at] < size, theta[at] + 1e-9, 0.0)
         start /= start.sum(axis=1, keepdims=True)
-        fitted, value = _fit(p, row, first, n, start, 0 if size == 1 else 3)
-        value = value - PENALTY * (size - 1) * np.log(n + 1.0)
-        if best is None:
-            best, chosen = value, fitted
-        else:
-            better = value > best
-            best = np.where(better, value, best)
-            chosen = np.where(better[:, None], fitted, chosen)
+        fitted, value = _fit(p[np.isin(row, at)], np.repeat(np.arange(len(at)), n[at]),
+                             np.cumsum(n[at]) - n[at], n[at], start, 3)
+        value = value - penalty[at]
+        better = value > best[at]
+        best[at[better]] = value[better]
+        chosen[at[better]] = fitted[better]
     return chosen, rows
 
 
