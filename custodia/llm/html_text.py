@@ -5,8 +5,11 @@ paragraph passes points, one plus its commas plus one for each 100
 characters up to three, to its parent, half to the grandparent and a
 third, a sixth by level further up. A container's score is its points
 discounted by the share of its text that is links. The best container (or
-the ``article``/``main`` element around it) and those siblings that score
-well are kept, without menus and other parts that are not article text.
+the ``article``/``main`` element around it) is kept with those siblings
+that score well, without menus and other parts that are not article
+text. An element whose class or id names such a part goes only if it holds
+at most half of the paragraph points of the article/main elements on the
+page (or in the article/main around it); without any, of all paragraphs.
 
 Defined cases: NULL or empty html and pages without text give an empty
 text; broken markup is closed where the next element requires it; rows that
@@ -53,6 +56,8 @@ _NOT_TEXT = re.compile(
     r"footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|"
     r"pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|"
     r"sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names that say what a page has or lacks, not what the element is.
+_HAS = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*|\S+[_-]enabled(?!\S)", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert",
           "alertdialog", "menu", "menubar", "note", "status"}
@@ -74,35 +79,63 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "style" and _HIDDEN.search(value):
             return True
-        if key in ("class", "id") and tag not in HEADINGS and tag not in ("article", "main"):
-            if _NOT_TEXT.search(value) or not in_article and _HEADER.search(value):
-                return True
         if key in ("class", "id") and tag == "article" and re.search(r"\b(?:comment|reply)", value, re.I):
             return True
     return False
 
 
+def _named(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether class or id name a part that is not article text."""
+    if not attributes or tag in HEADINGS or tag in ("article", "main", "html", "body"):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            value = _HAS.sub(" ", m[2] or m[3] or m[4] or "")
+            if _NOT_TEXT.search(value) or not in_article and _HEADER.search(value):
+                return True
+    return False
+
+
+def _joined(parts: list[tuple[str, bool, int]]) -> tuple[str, int]:
+    """Text of the parts, and its characters inside links."""
+    return (" ".join("".join(t for t, _, _ in parts).split()),
+            sum(len("".join(t.split())) for t, linked, _ in parts if linked))
+
+
 class _Page:
     """Elements (parent and tag by number; parents come first) and blocks
-    (element, text, characters inside links) of a page, in page order."""
+    (element, text, characters inside links) of a page, in page order; the
+    elements that their names call no text; and for blocks with such an
+    element inside, by number, their parts (text, whether inside a link, the
+    element or 0)."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.links = [-1], ["#page"], [0]
         self.blocks: list[tuple[int, str, int]] = []
+        self.named: list[int] = []
         self._open = [0]                 # elements around the current place
-        self._text: list[tuple[str, bool]] = []
+        self._text: list[tuple[str, bool, int]] = []
+        self._inline: list[int] = []     # open elements of named that are no blocks
+        self.parts: dict[int, list[tuple[str, bool, int]]] = {}
         self._in_link = 0
         self._articles = 0
         self._read(source)
 
+    def _block(self) -> int:
+        return next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCKS)
+
+    def _add(self, text: str, linked: bool) -> None:
+        inside = self._inline[-1] if self._inline and self._inline[-1] > self._block() else 0
+        self._text.append((text, linked, inside))
+
     def _flush(self) -> None:
         if self._text:
             parts, self._text = self._text, []
-            text = " ".join("".join(t for t, _ in parts).split())
+            text, linked = _joined(parts)
             if text:
-                linked = sum(len("".join(t.split())) for t, a in parts if a)
-                at = next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCKS)
-                self.blocks.append((at, text, linked))
+                if any(e for _, _, e in parts):
+                    self.parts[len(self.blocks)] = parts
+                self.blocks.append((self._block(), text, linked))
 
     def _close_to(self, depth: int) -> None:
         """Close the open elements from ``depth`` on."""
@@ -114,6 +147,8 @@ class _Page:
                 self._in_link -= 1
             if tag in ("article", "main"):
                 self._articles -= 1
+            if self._inline and e == self._inline[-1]:
+                self._inline.pop()
             self._open.pop()
 
     def _close_nearest(self, tags: set[str], bounds: set[str]) -> None:
@@ -155,7 +190,7 @@ class _Page:
             m = _TOKEN.search(source, at)
             text = source[at:m.start() if m else len(source)]
             if text:
-                self._text.append((html.unescape(text) if "&" in text else text, self._in_link > 0))
+                self._add(html.unescape(text) if "&" in text else text, self._in_link > 0)
             if not m:
                 break
             at = m.end()
@@ -165,7 +200,7 @@ class _Page:
             closing, attributes = (m[1], m[3]) if m[2] else (m[4], m[6])
             if closing:
                 if tag == "br":
-                    self._text.append((" ", False))
+                    self._add(" ", False)
                 self._close_nearest({tag}, {"#page"})
                 continue
             if tag in BLOCKS:
@@ -175,7 +210,7 @@ class _Page:
             if tag in IMPLIED:
                 self._close_nearest(*IMPLIED[tag])
             if tag == "br":
-                self._text.append((" ", False))
+                self._add(" ", False)
             if tag in VOID:
                 continue
             if _unwanted(tag, attributes, self._articles > 0):
@@ -184,24 +219,84 @@ class _Page:
                         self._flush() if tag in BLOCKS else None
                     at = self._skip(source, tag, at)
                 continue
+            named = _named(tag, attributes, self._articles > 0)
             if tag == "a":
                 self._close_nearest({"a"}, BLOCKS)
                 self._in_link += 1
-                self.links[self._open[-1]] += 1
             if tag in ("article", "main"):
                 self._articles += 1
             self.parent.append(self._open[-1])
             self.tag.append(tag)
-            self.links.append(0)
+            self.links.append(int(tag == "a"))
             self._open.append(len(self.tag) - 1)
+            if named:
+                self.named.append(len(self.tag) - 1)
+                if tag not in BLOCKS:
+                    self._inline.append(len(self.tag) - 1)
         self._flush()
 
 
+def _points(text: str, in_links: int) -> float:
+    return (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // 100, 3)) \
+        * (1 - min(1.0, in_links / len(text)))
+
+
+def _drop_named(page: _Page) -> None:
+    """Take out the blocks of elements that are no text by name and do not
+    hold most of the points around them."""
+    parent, tag, n = page.parent, page.tag, len(page.tag)
+    scope, stop = [0] * n, list(range(1, n + 1))    # article/main or page around; end of the subtree
+    for e in range(1, n):
+        scope[e] = parent[e] if tag[parent[e]] in ("article", "main") else scope[parent[e]]
+    for e in range(n - 1, 0, -1):
+        stop[parent[e]] = max(stop[parent[e]], stop[e])
+    own = [0.0] * n
+    for k, (e, text, in_links) in enumerate(page.blocks):
+        if tag[e] in HEADINGS:
+            continue
+        parts = page.parts.get(k)
+        for x in {i for _, _, i in parts} if parts else ():
+            text, in_links = _joined([p for p in parts if p[2] == x])
+            if text:
+                own[x or e] += _points(text, in_links)
+        if not parts:
+            own[e] += _points(text, in_links)
+    within: dict[int, tuple[list[float], list[float]]] = {}
+    gone = [False] * n
+    for e in page.named:
+        if gone[e]:
+            continue
+        around = scope[e]
+        if around not in within:                    # running sums of all points, and of those in inner articles
+            all_, inner = [0.0], [0.0]
+            for x in range(around, stop[around]):
+                deeper = x != around and (tag[x] in ("article", "main") or scope[x] != around)
+                all_.append(all_[-1] + own[x])
+                inner.append(inner[-1] + own[x] * deeper)
+            within[around] = all_, inner
+        all_, inner = within[around]
+        sums = inner if inner[-1] > 0 else all_
+        if 2 * (sums[stop[e] - around] - sums[e - around]) <= sums[-1]:
+            gone[e:stop[e]] = [True] * (stop[e] - e)
+    blocks = []
+    for k, (e, text, in_links) in enumerate(page.blocks):
+        if k in page.parts:
+            text, in_links = _joined([p for p in page.parts[k] if not gone[p[2]]])
+        if text and not gone[e]:
+            blocks.append((e, text, in_links))
+    page.blocks = blocks
+    for e in range(n):
+        if gone[e]:
+            page.links[e] = 0
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the main text of one page, joined by line ends."""
     if not source:
         return ""
     page = _Page(source)
+    if page.named:
+        _drop_named(page)
     parent, tag, n = page.parent, page.tag, len(page.tag)
     points, length, linked, links = [0.0] * n, [0] * n, [0] * n, list(page.links)
     for e, text, in_links in page.blocks:
@@ -209,8 +304,7 @@ def main_text(source: str | None) -> str:
         linked[e] += in_links
         if tag[e] in HEADINGS:
             continue
-        score = (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // 100, 3)) \
-            * (1 - min(1.0, in_links / len(text)))
+        score = _points(text, in_links)
         up, level = (parent[e], 1) if tag[e] in PARAGRAPHS else (e, 1)
         while up >= 0 and level <= 5:
             points[up] += score / (level if level < 3 else 3 * (level - 2))
