@@ -6,7 +6,7 @@ characters up to three, to its parent, half to the grandparent and a
 third, a sixth by level further up. A container's score is its points
 discounted by the share of its text that is links. The best container (or
 the ``article``/``main`` element around it) is kept with those siblings
-that score well, without menus and other parts that are not article
+that are not link lists, without menus and other parts that are not article
 text. An element whose class or id names such a part goes only if it holds
 at most half of the paragraph points of the article/main elements on the
 page (or in the article/main around it); without any, of all paragraphs.
@@ -329,13 +329,21 @@ def main_text(source: str | None) -> str:
     kept = [False] * n
     kept[best] = True
     around = parent[best]
-    for e in range(1, n):
-        if parent[e] != around or e == best or not length[e]:
-            continue
-        if tag[e] == "p":
-            kept[e] = density[e] < 0.25 and (length[e] > 80 or not linked[e])
-        elif tag[best] not in ("article", "main") or tag[e] == tag[best]:
-            kept[e] = score[e] >= max(2.0, 0.2 * score[best])
+    in_article = tag[best] in ("article", "main")
+    while True:
+        siblings = [e for e in range(1, n) if parent[e] == around and e != best and length[e]]
+        for e in siblings:
+            if tag[e] == "p":
+                kept[e] = density[e] < 0.25 and (length[e] > 80 or not linked[e])
+            elif not in_article:
+                kept[e] = density[e] < 0.25
+            elif tag[e] == tag[best]:
+                kept[e] = score[e] >= max(2.0, 0.2 * score[best])
+        # a parent with nothing but text in it is part of the text
+        if in_article or around <= 0 or tag[around] in ("body", "html") or not all(kept[e] for e in siblings):
+            break
+        best, around = around, parent[around]
+        kept[best] = True
     for e in range(1, n):
         if not kept[e] and kept[parent[e]] if parent[e] >= 0 else False:
             menu = tag[e] in ("ul", "ol", "div", "section", "table", "dl") and links[e] >= 3 and density[e] > 0.5

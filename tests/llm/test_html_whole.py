@@ -27,3 +27,14 @@ def test_boilerplate_still_goes_by_name():
     assert main_text(f'<article>{BODY}</article><section class="related">{cards}</section>') == TEXT
     assert main_text(f'<article>{BODY}<p>Say <span class="share">Tweet, this</span>it.</p></article>') == (
         TEXT + "\nSay it.")
+
+
+def test_short_sections_beside_a_long_one_stay():
+    long_ = "".join(f"<p>Paragraph {k}, with commas, of the long, long section, and more.</p>" for k in range(10))
+    want = "\n".join(f"Paragraph {k}, with commas, of the long, long section, and more." for k in range(10))
+    links = "<ul>" + "".join(f"<li><a href=x>Link {k}</a>" for k in range(5)) + "</ul>"
+    page = (f"<body>{links}<div><h1>T</h1><section>{long_}</section><section><p>One short paragraph.</p></section>"
+            f"<figure><figcaption>A river</figcaption></figure><ul><li>An item<li>Two</ul>{links}</div></body>")
+    assert main_text(page) == f"T\n{want}\nOne short paragraph.\nA river\nAn item\nTwo"
+    page = f"<body><div><h1>T</h1><div><div><section>{long_}</section></div></div><div><p>End.</p></div></div></body>"
+    assert main_text(page) == f"T\n{want}\nEnd."
