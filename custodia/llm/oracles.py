@@ -75,8 +75,85 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: Unsigned CRC-32 of a text, as lists of integers: a table of 256 entries by
+#: eight steps each, then one step per byte of the text.
+_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END"
+
+
+def _crc_table() -> str:
+    made = "CAST(range(256) AS BIGINT[])"
+    for _ in range(8):
+        made = f"list_transform({made}, lambda x: {_STEP})"
+    return f"crc AS (SELECT {made} AS entries)"
+
+
+def _crc(text: str) -> str:
+    size = f"CAST(strlen({text}) AS BIGINT)"
+    each = f"list_transform(range({size}), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    folded = ("list_reduce(list_prepend(4294967295::BIGINT, " + each
+              + "), lambda a, b: xor(a >> 8, crc.entries[(xor(a, b) & 255) + 1]))")
+    return f"xor({folded}, 4294967295::BIGINT)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEVELS = 6                                     # 16 ** 6 leaves a source, 16 ** 6 sources
+
+
+def _op13() -> str:
+    def framed(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || {c} END"
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(p: str) -> list[str]:
+        steps = []
+        for i in range(_LEVELS):
+            run = "PARTITION BY source, place // 16 ORDER BY place ROWS BETWEEN"
+            steps += [
+                f"{p}s{i} AS (SELECT source, place, "
+                f"coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt "
+                f"FROM {p}{i} WHERE n > 1)",
+                f"{p}{i + 1} AS (SELECT source, place // 16 AS place, (n + 15) // 16 AS n, "
+                f"CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE max(h) END AS h "
+                f"FROM {p}{i} GROUP BY source, place // 16, n)"]
+        return steps
+
+    def climb(p: str, start: str) -> list[str]:
+        steps = [start]
+        for i in range(_LEVELS):
+            steps.append(
+                f"{p}f{i + 1} AS (SELECT f.* REPLACE (f.place // 16 AS place, "
+                f"CASE WHEN s.lft IS NULL THEN f.h ELSE sha256(s.lft || f.h || s.rgt) END AS h, "
+                f"f.proof || coalesce(s.lft || s.rgt, '') AS proof) FROM {p}f{i} f LEFT JOIN {p}s{i} s "
+                f"ON s.source IS NOT DISTINCT FROM f.source AND s.place = f.place)")
+        return steps
+
+    return "WITH " + ",\n".join([
+        _crc_table(),
+        f"d AS (SELECT *, {digest('text')} AS leaf, coalesce({_crc('CAST(doc_id AS VARCHAR)')} % 5 = 0, FALSE) AS hit "
+        "FROM documents, crc)",
+        f"l AS (SELECT doc_id, source, leaf, CASE WHEN hit THEN "
+        + digest(f"translate(text, '{_UPPER}', '{_LOWER}')") + " ELSE leaf END AS changed, "
+        "row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, "
+        "count(*) OVER (PARTITION BY source) AS n FROM d)",
+        "a0 AS (SELECT source, place, n, leaf AS h FROM l)", *tree("a"),
+        f"tops AS (SELECT source AS own, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, "
+        f"count(*) OVER () AS n FROM a{_LEVELS})",
+        "b0 AS (SELECT '' AS source, place, n, subroot AS h FROM tops)", *tree("b"),
+        *climb("a", "af0 AS (SELECT doc_id, leaf, source, place, changed AS h, '' AS proof FROM l)"),
+        *climb("b", "bf0 AS (SELECT f.doc_id, f.leaf, t.subroot, '' AS source, t.place, f.h, f.proof "
+                    f"FROM af{_LEVELS} f JOIN tops t ON t.own IS NOT DISTINCT FROM f.source)"),
+    ]) + (f"\nSELECT f.doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, "
+          f"f.h = r.h AS verified FROM bf{_LEVELS} f, b{_LEVELS} r")
+
+
+OP13 = _op13()
+
 ORACLE_SQL = {
     "op4_systematic_mix": OP4,
     "op8_fm_index_decontamination": OP8,
     "op10_branch_and_bound": OP10,
+    "op13_merkle_manifest": OP13,
 }

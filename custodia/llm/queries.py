@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.llm import (
-    chat, decontaminate, hmm, html_text, jaccard_join, language_id, line_dedup, mixing, quality, topk,
+    chat, decontaminate, hmm, html_text, jaccard_join, language_id, line_dedup, merkle, mixing, quality, topk,
 )
 from custodia.llm.tables import table
 
@@ -59,6 +59,10 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_segment_line_dedup": op1_segment_line_dedup,
     "op2_tree_scored_text": op2_tree_scored_text,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
     "op9_language_mixture": op9_language_mixture,
     "op10_branch_and_bound": op10_branch_and_bound,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
