@@ -149,11 +149,38 @@ def _op13() -> str:
           f"f.h = r.h AS verified FROM bf{_LEVELS} f, b{_LEVELS} r")
 
 
+OP12 = "WITH RECURSIVE " + ",\n".join([
+    _crc_table(),
+    f"""runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text,
+  '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)""",
+    f"""lowered AS (SELECT id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n FROM runs
+  WHERE length(run) >= 5 GROUP BY ALL)""",
+    f"hashed AS (SELECT run, n, {_crc('(id || chr(58) || run)')} AS h FROM lowered, crc)",
+    """spelt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+  ELSE run END AS word, n FROM hashed)""",
+    "words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3)",
+    "cuts AS (SELECT word, n, unnest(range(length(word))) AS k FROM words)",
+    "holes AS (SELECT word, n, k, substr(word, 1, k) AS l, substr(word, k + 2) AS r FROM cuts)",
+    """near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b
+    ON a.k = b.k AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.l || h.r
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.l || h.r)""",
+    """best AS (SELECT word, count(*) AS n_near, max(other_n) AS most,
+  first(other ORDER BY other_n DESC, other) AS other FROM near GROUP BY word)""",
+    """judged AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN other END AS form,
+  CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word))""",
+    """walk AS (SELECT word, word AS at, form AS next FROM judged
+  UNION ALL SELECT walk.word, judged.word, judged.form FROM walk JOIN judged ON judged.word = walk.next)""",
+]) + """
+SELECT word, form, walk.at AS root, n, n_near, form_n FROM judged JOIN walk USING (word) WHERE walk.next IS NULL
+"""
+
 OP13 = _op13()
 
 ORACLE_SQL = {
     "op4_systematic_mix": OP4,
     "op8_fm_index_decontamination": OP8,
     "op10_branch_and_bound": OP10,
+    "op12_spelling_variants": OP12,
     "op13_merkle_manifest": OP13,
 }

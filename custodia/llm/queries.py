@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.llm import (
-    chat, decontaminate, hmm, html_text, jaccard_join, language_id, line_dedup, merkle, mixing, quality, topk,
+    chat, collision_search, decontaminate, hmm, html_text, jaccard_join, language_id, line_dedup, merkle,
+    mixing, quality, spelling, topk,
 )
 from custodia.llm.tables import table
 
@@ -59,6 +60,14 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
@@ -74,5 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
     "op9_language_mixture": op9_language_mixture,
     "op10_branch_and_bound": op10_branch_and_bound,
+    "op11_collision_counting": op11_collision_counting,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
