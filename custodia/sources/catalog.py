@@ -10,6 +10,7 @@ from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from custodia.functions.sealing import COLUMN_KEYS, CRYPTO_FACTORY, KEYSTORE, seal, split_options, unseal
 from custodia.model import TableSpec
 
 Builder = Callable[[SparkSession], DataFrame]
@@ -74,20 +75,26 @@ class Catalog:
 
     def load(self, spark: SparkSession, name: str, **options: str) -> DataFrame:
         """Lazy DataFrame for a logical table; ``options`` go to the reader
-        (for example decryption properties of a governed plan)."""
+        (for example decryption properties of a governed plan). Sealed columns
+        are opened with the keystore that the options name; without their key
+        their cells are NULL."""
         entry = self.spec(name)
         if not isinstance(entry, TableSpec):
             df = entry(spark)
             required: tuple[str, ...] = ()
         else:
             fmt = _FORMAT_ALIASES.get(entry.format, entry.format)
-            reader = spark.read.format(fmt).options(**{**entry.options, **options})
+            given = {**entry.options, **options}
+            store = given.pop(KEYSTORE, None)
+            if CRYPTO_FACTORY not in given:
+                given.pop(COLUMN_KEYS, None)
+            reader = spark.read.format(fmt).options(**given)
             if entry.schema and fmt != "jdbc":
                 reader = reader.schema(entry.schema)
             if fmt == "jdbc":
                 df = reader.option("dbtable", entry.location).load()
             else:
-                df = reader.load(entry.location)
+                df = unseal(reader.load(entry.location), store)
             required = entry.required_columns
         missing = [c for c in required if c not in df.columns]
         if missing:
@@ -101,7 +108,10 @@ class Catalog:
         if not isinstance(entry, TableSpec):
             raise TypeError(f"table {name!r} is derived and cannot be written")
         fmt = _FORMAT_ALIASES.get(entry.format, entry.format)
-        writer = df.write.format(fmt).mode(mode).options(**{**entry.options, **options})
+        sealing, rest = split_options({**entry.options, **options})
+        if sealing and fmt == "jdbc":
+            raise ValueError("columns of a database table cannot be sealed")
+        writer = seal(df, sealing).write.format(fmt).mode(mode).options(**rest)
         if fmt == "jdbc":
             writer.option("dbtable", entry.location).save()
             return
