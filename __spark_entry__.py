@@ -35,9 +35,12 @@ from custodia.operators import (
     nutritional_data, patient_details, patient_documents, pseudonymise_id, public_export,
     quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
 )
-from custodia.plans.governed import governed_query, run_governed
+from custodia.functions.sealing import COLUMN_KEYS, KEYSTORE, create_keystore
+from custodia.plans.contents import table_contents
+from custodia.plans.governed import governed_lineage, governed_query, run_governed
 from custodia.plans.movement import (
-    fill_present, finish_governed, finish_movement, stage_governed_export, start_movement,
+    MovementError, fill_present, finish_governed, finish_movement, stage_governed, stage_governed_export,
+    start_movement,
 )
 from custodia.session import checkpoint_path
 from custodia.sources.catalog import Catalog
@@ -256,6 +259,74 @@ def q_movement_report(spark, sf_dir):
                                  "step string, moved long, empty boolean")
 
 
+def q_movement_emptied(spark, sf_dir):
+    # everybody of the first movement withdraws: its re-run has no rows left
+    folder, (_, bt, _) = _folder(spark), _tables(spark, sf_dir)
+    rows = bt.select("testId", "patientId", "stroke", "fibrinogen_value")
+    runs = [("m1", "stroke = 1"), ("m2", "testId % 5 = 0"), ("m1", "stroke > 1")]
+    for movement_id, kept in runs:
+        start_movement(rows.where(kept), f"{folder}/staging")
+        finish_movement(spark, f"{folder}/staging", f"{folder}/target", movement_id=movement_id, fill={},
+                        partition_by=["stroke"])
+    return spark.read.parquet(f"{folder}/target")
+
+
+def q_movement_altered_stage(spark, sf_dir):
+    # a part file that was not staged by the movement: the re-run is refused
+    # while it moves, and the earlier run's rows stay
+    folder, (_, bt, _) = _folder(spark), _tables(spark, sf_dir)
+    rows = bt.select("testId", "patientId", "stroke", "fibrinogen_value")
+    start_movement(rows.where("testId % 2 = 0"), f"{folder}/staging")
+    finish_movement(spark, f"{folder}/staging", f"{folder}/target", movement_id="m1", fill={})
+    start_movement(rows, f"{folder}/staging")
+    rows.where("stroke = 1").write.mode("append").parquet(f"{folder}/staging")
+    try:
+        finish_movement(spark, f"{folder}/staging", f"{folder}/target", movement_id="m1", fill={})
+    except MovementError:
+        return spark.read.parquet(f"{folder}/target").drop("movement_id")
+    raise AssertionError("an altered stage was moved")
+
+
+def q_movement_digest(spark, sf_dir):
+    # rows and digest as noted by the stage, as moved, and as the target holds them
+    folder, (_, bt, _) = _folder(spark), _tables(spark, sf_dir)
+    rows = bt.select("testId", "patientId", "date", "stroke")
+    staged = start_movement(rows, f"{folder}/staging", partition_by=["stroke"])
+    moved = finish_movement(spark, f"{folder}/staging", f"{folder}/target", fill={}, sort_within=["patientId"])
+    noted = spark.createDataFrame([(n, r.rows, r.digest) for n, r in (("staged", staged), ("moved", moved))],
+                                  "step string, rows long, digest string")
+    held = table_contents(spark.read.parquet(f"{folder}/target").select(*rows.columns))
+    return noted.unionByName(held.withColumn("step", F.lit("target")))
+
+
+def _sealed_movement(spark, sf_dir) -> tuple[Catalog, str]:
+    """The consent-masked measurements, moved with two columns sealed under
+    one key and one under another."""
+    folder = _folder(spark)
+    create_keystore(spark, f"{folder}/keys", ["labs", "identity"])
+    options = {COLUMN_KEYS: "labs: cholesterol_total_value, fibrinogen_value; identity: date",
+               KEYSTORE: f"{folder}/keys"}
+    plan = GovernedPlan(sql=GOVERNED_SQL, tables=("blood_tests", "blood_tests_clauses"), write_options=options)
+    stage_governed(spark, plan, fixture_catalog(sf_dir), f"{folder}/staging")
+    finish_movement(spark, f"{folder}/staging", f"{folder}/target", options=options)
+    return Catalog({"moved": TableSpec("moved", "parquet", f"{folder}/target")}), f"{folder}/keys"
+
+
+def q_sealed_movement(spark, sf_dir):
+    moved, keys = _sealed_movement(spark, sf_dir)
+    return moved.load(spark, "moved", **{KEYSTORE: keys})
+
+
+def q_sealed_masked(spark, sf_dir):
+    moved, _ = _sealed_movement(spark, sf_dir)
+    return moved.load(spark, "moved")
+
+
+def q_governed_lineage(spark, sf_dir):
+    plan = GovernedPlan(sql=GOVERNED_SQL, tables=("blood_tests", "blood_tests_clauses"))
+    return governed_lineage(spark, plan, fixture_catalog(sf_dir))
+
+
 def q_catalog_append(spark, sf_dir):
     _, bt, _ = _tables(spark, sf_dir)
     target = Catalog({"flags": TableSpec("flags", "parquet", _folder(spark))})
@@ -468,6 +539,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "movement_rerun": q_movement_rerun,
     "movement_refused": q_movement_refused,
     "movement_report": q_movement_report,
+    "movement_emptied": q_movement_emptied,
+    "movement_altered_stage": q_movement_altered_stage,
+    "movement_digest": q_movement_digest,
+    "sealed_movement": q_sealed_movement,
+    "sealed_masked": q_sealed_masked,
+    "governed_lineage": q_governed_lineage,
     "catalog_append": q_catalog_append,
     "governed_join": q_governed_join,
     "governed_public_export": q_governed_public_export,
@@ -673,6 +750,41 @@ _ORACLE.update({
     "governed_join": GOVERNED_JOIN_SQL.format(**JOIN_ARGS),
 })
 
+_MOVED = "SELECT testId, patientId, stroke, fibrinogen_value FROM blood_tests"
+_GOVERNED = _ORACLE["governed"]
+
+
+def _framed(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(strlen({text}) AS VARCHAR) || ':' || {text} END"
+
+
+_LIMBS = " || ':' || ".join(
+    f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+_CONTENTS = (f"SELECT count(*) AS rows, {_LIMBS} AS digest FROM (SELECT sha256("
+             + " || ".join(_framed(c) for c in sorted(["testId", "patientId", "date", "stroke"]))
+             + ") AS h FROM blood_tests)")
+_ORACLE.update({
+    "movement_emptied": f"SELECT t.*, 'm2' AS movement_id FROM ({_MOVED}) t WHERE testId % 5 = 0",
+    "movement_altered_stage": f"{_MOVED} WHERE testId % 2 = 0",
+    "movement_digest": f"SELECT s.step, c.rows, c.digest FROM ({_CONTENTS}) c, "
+                       "(VALUES ('staged'), ('moved'), ('target')) s(step)",
+    "sealed_movement": f"{_FILLED} ({_GOVERNED}) t",
+    "sealed_masked": "SELECT patientId, CAST(NULL AS DOUBLE) AS cholesterol_total_value, "
+                     f"CAST(NULL AS DOUBLE) AS fibrinogen_value, CAST(NULL AS DATE) AS date FROM ({_GOVERNED}) t",
+    "governed_lineage": "SELECT s.*, CASE s.\"column\" WHEN 'patientId' THEN n.p WHEN 'date' THEN n.d "
+                        "WHEN 'fibrinogen_value' THEN n.f ELSE n.c END AS cells FROM "
+                        "(SELECT count(patientId) AS p, count(date) AS d, count(fibrinogen_value) AS f, "
+                        f"count(cholesterol_total_value) AS c FROM ({_GOVERNED}) t) n, (VALUES "
+                        "('patientId', 'blood_tests', 'patientId'), ('date', 'blood_tests', 'date'), "
+                        "('date', 'blood_tests_clauses', 'consent_identity'), "
+                        "('fibrinogen_value', 'blood_tests', 'fibrinogen_value'), "
+                        "('fibrinogen_value', 'blood_tests_clauses', 'consent_labs'), "
+                        "('cholesterol_total_value', 'blood_tests', 'cholesterol_total_value'), "
+                        "('cholesterol_total_value', 'blood_tests_clauses', 'consent_labs')) "
+                        "s(\"column\", source_table, source_column)",
+})
+
 _TESTS_CTE, _PROFILES_CTE = f"blood_tests AS ({_blood_tests_sql()})", f"patientsProfiles AS ({_PROFILES_SQL})"
 
 
