@@ -43,6 +43,7 @@ from custodia.plans.movement import (
     start_movement,
 )
 from custodia.session import checkpoint_path
+from custodia.sources.bucketed import write_bucketed
 from custodia.sources.catalog import Catalog
 from custodia.sources.fixtures import (
     CLAUSE_EXPRESSIONS, DOCUMENT_EXPRESSIONS, PROFILE_EXPRESSIONS, blood_tests_expressions,
@@ -452,6 +453,31 @@ def q_hot_masked(spark, sf_dir):
                             "fibrinogen_value": "consent_labs"}, skew=HOT_SKEW)
 
 
+BUCKETS = 16
+
+
+def _laid_out(spark, sf_dir):
+    """The hot measurements and the per-subject tables, in equal buckets."""
+    folder, (cat, bt, pp) = _folder(spark), _hot_tables(spark, sf_dir)
+    tests = write_bucketed(bt, f"{folder}/tests", "patientId", BUCKETS, HOT_SKEW)
+    keyed = [write_bucketed(df, f"{folder}/{n}", "patientId", BUCKETS, skew=None).read(spark)
+             for n, df in (("profiles", pp), ("clauses", cat.load(spark, "blood_tests_clauses")))]
+    return tests, *keyed
+
+
+def q_bucketed_profiles(spark, sf_dir):
+    tests, profiles, _ = _laid_out(spark, sf_dir)
+    return tests.over_parts(spark, lambda rows, skew, hot: tests_with_profiles(
+        rows, profiles, skew=skew, hot=hot), HOT_SKEW)
+
+
+def q_bucketed_masked(spark, sf_dir):
+    tests, _, clauses = _laid_out(spark, sf_dir)
+    rules = {"cholesterol_total_value": "consent_labs", "fibrinogen_value": "consent_labs"}
+    return tests.over_parts(spark, lambda rows, skew, hot: mask_by_clauses(
+        rows.select("patientId", *rules), clauses, rules, skew=skew, hot=hot), HOT_SKEW)
+
+
 def q_hot_not_in_cohort(spark, sf_dir):
     _, bt, _ = _hot_tables(spark, sf_dir)
     return not_in_cohort(bt.select("testId", "patientId"), stroke_cohort(bt), skew=HOT_SKEW)
@@ -566,6 +592,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fill": q_fill,
     "id_only": q_id_only,
     "hot_masked": q_hot_masked,
+    "bucketed_profiles": q_bucketed_profiles,
+    "bucketed_masked": q_bucketed_masked,
     "hot_not_in_cohort": q_hot_not_in_cohort,
     "hot_public_export": q_hot_public_export,
 }
@@ -732,6 +760,8 @@ _HOT = {
         "SELECT patientId, testId FROM blood_tests b WHERE NOT EXISTS "
         "(SELECT 1 FROM blood_tests s WHERE s.stroke = 1 AND s.patientId = b.patientId)",
     "hot_public_export": _export_sql(),
+    "bucketed_profiles": _ORACLE["tests_with_profiles"],
+    "bucketed_masked": _MASK,
 }
 _ORACLE.update(_HOT)
 

@@ -109,7 +109,8 @@ def not_in_cohort(tests: DataFrame, cohort: DataFrame, key: str = "patientId",
 
 def tests_with_profiles(tests: DataFrame, profiles: DataFrame | None,
                         zone: Zone = Zone.ON_PREM, key: str = "patientId",
-                        skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+                        skew: SkewPolicy | None = DEFAULT_SKEW,
+                        hot: Mapping | None = None) -> DataFrame:
     """Measurements joined with the subject's profile (inner, NULL ids drop).
 
     In the public zone the measurement table is already denormalised, so no
@@ -124,4 +125,4 @@ def tests_with_profiles(tests: DataFrame, profiles: DataFrame | None,
     if zone is Zone.PRIVATE and "birthDate" in profiles.columns:
         # generalised once per subject, before the join
         profiles = profiles.withColumn("birthDate", birth_year("birthDate"))
-    return salted_join(tests, profiles, key, "inner", skew)
+    return salted_join(tests, profiles, key, "inner", skew, hot=hot)

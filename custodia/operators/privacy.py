@@ -33,7 +33,7 @@ def suppress_id(df: DataFrame, column: str = "patientId", value: int = 0) -> Dat
 def mask_by_clauses(df: DataFrame, clauses: DataFrame, rules: Mapping[str, str | Column],
                     key: str = "patientId",
                     skew: SkewPolicy | None = DEFAULT_SKEW,
-                    drop_denied: bool = False) -> DataFrame:
+                    drop_denied: bool = False, hot: Mapping | None = None) -> DataFrame:
     """Blank cells the subject has not consented to share.
 
     ``clauses`` holds one row per subject with boolean consent columns;
@@ -45,7 +45,8 @@ def mask_by_clauses(df: DataFrame, clauses: DataFrame, rules: Mapping[str, str |
     ``drop_denied=True`` also removes the rows left empty (as
     ``drop_denied_rows``). Because masking only removes values, rows that are
     already empty are dropped before the consent join (exact, and it shrinks
-    the join input); the rest are checked again after masking.
+    the join input); the rest are checked again after masking. ``hot`` gives
+    known hot keys, as in ``salted_join``.
     """
     unknown = [c for c in rules if c not in df.columns]
     if unknown:
@@ -55,7 +56,7 @@ def mask_by_clauses(df: DataFrame, clauses: DataFrame, rules: Mapping[str, str |
     only_names = all(isinstance(r, str) for r in rules.values())
     consent = clauses.select(key, *needed) if only_names else clauses
     source = drop_denied_rows(df, subject=key) if drop_denied else df
-    joined = salted_join(source, consent, key, "left", skew)
+    joined = salted_join(source, consent, key, "left", skew, hot=hot)
     masked = joined.select(*[
         F.when(conds[c], F.col(c)).alias(c) if c in conds else F.col(c)
         for c in df.columns
