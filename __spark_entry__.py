@@ -11,6 +11,7 @@ oracle inlines the same derivations as CTEs.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 import os
 import sys
 import uuid
@@ -36,6 +37,7 @@ from custodia.operators import (
     quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
 )
 from custodia.functions.sealing import COLUMN_KEYS, KEYSTORE, create_keystore
+from custodia.operators.bitmaps import Cohort, cohort_ids, cohort_index, cohort_size, members, rows_in
 from custodia.plans.contents import table_contents
 from custodia.plans.governed import governed_lineage, governed_query, run_governed
 from custodia.plans.movement import (
@@ -453,6 +455,43 @@ def q_hot_masked(spark, sf_dir):
                             "fibrinogen_value": "consent_labs"}, skew=HOT_SKEW)
 
 
+# Three cohorts of the measurements, and what is asked of them.
+COHORTS = {"stroke": "stroke = 1", "high": "fibrinogen_value > 200", "heavy": "bmi >= 37 AND haemoglobin_value > 100"}
+
+
+def _cohort_index(spark, sf_dir):
+    """The index, stored once and read back as its readers find it."""
+    folder, (_, bt, _) = _folder(spark), _tables(spark, sf_dir)
+    cohort_index(bt, COHORTS).write.parquet(f"{folder}/index")
+    return bt, spark.read.parquet(f"{folder}/index")
+
+
+_STROKE, _HIGH, _HEAVY = (Cohort.named(n) for n in COHORTS)
+
+
+def q_cohort_algebra(spark, sf_dir):
+    _, index = _cohort_index(spark, sf_dir)
+    return cohort_ids(members(index, (_STROKE | _HIGH) - _HEAVY))
+
+
+def q_cohort_sizes(spark, sf_dir):
+    _, index = _cohort_index(spark, sf_dir)
+    asked = {"stroke": _STROKE, "stroke and heavy": _STROKE & _HEAVY, "none": ~(_STROKE | _HIGH | _HEAVY),
+             "two or more": (_STROKE & _HIGH) | (_STROKE & _HEAVY) | (_HIGH & _HEAVY)}
+    sizes = [cohort_size(members(index, c)).withColumn("cohort", F.lit(n)) for n, c in asked.items()]
+    return functools.reduce(DataFrame.unionByName, sizes)
+
+
+def q_bitmap_in_cohort(spark, sf_dir):
+    bt, index = _cohort_index(spark, sf_dir)
+    return rows_in(bt.select("testId", "patientId"), members(index, _STROKE))
+
+
+def q_bitmap_not_in_cohort(spark, sf_dir):
+    bt, index = _cohort_index(spark, sf_dir)
+    return rows_in(bt.select("testId", "patientId"), members(index, _STROKE | _HIGH), negate=True)
+
+
 BUCKETS = 16
 
 
@@ -552,6 +591,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nutritional_private": q_nutritional_private,
     "nutritional_top20": q_nutritional_top20,
     "stroke_cohort": q_stroke_cohort,
+    "cohort_algebra": q_cohort_algebra,
+    "cohort_sizes": q_cohort_sizes,
+    "bitmap_in_cohort": q_bitmap_in_cohort,
+    "bitmap_not_in_cohort": q_bitmap_not_in_cohort,
     "in_cohort": q_in_cohort,
     "not_in_cohort": q_not_in_cohort,
     "tests_with_profiles": q_tests_with_profiles,
@@ -780,6 +823,19 @@ _ORACLE.update({
     "governed_join": GOVERNED_JOIN_SQL.format(**JOIN_ARGS),
 })
 
+_FLAGS = ("SELECT patientId, " + ", ".join(f"coalesce(bool_or({c}), FALSE) AS {n}" for n, c in COHORTS.items())
+          + " FROM blood_tests WHERE patientId IS NOT NULL GROUP BY patientId")
+_ORACLE.update({
+    "cohort_algebra": f"SELECT patientId FROM ({_FLAGS}) f WHERE (stroke OR high) AND NOT heavy",
+    "cohort_sizes": " UNION ALL ".join(
+        f"SELECT '{name}' AS cohort, count(*) AS n FROM ({_FLAGS}) f WHERE {rule}" for name, rule in (
+            ("stroke", "stroke"), ("stroke and heavy", "stroke AND heavy"),
+            ("none", "NOT stroke AND NOT high AND NOT heavy"),
+            ("two or more", "CAST(stroke AS INT) + CAST(high AS INT) + CAST(heavy AS INT) >= 2"))),
+    "bitmap_in_cohort": _ORACLE["in_cohort"],
+    "bitmap_not_in_cohort": f"SELECT patientId, testId FROM blood_tests b WHERE NOT EXISTS "
+                            f"(SELECT 1 FROM ({_FLAGS}) f WHERE f.patientId = b.patientId AND (stroke OR high))",
+})
 _MOVED = "SELECT testId, patientId, stroke, fibrinogen_value FROM blood_tests"
 _GOVERNED = _ORACLE["governed"]
 
