@@ -36,6 +36,7 @@ from custodia.operators import (
     nutritional_data, patient_details, patient_documents, pseudonymise_id, public_export,
     quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
 )
+from custodia.functions.keyed import keystore_key, pseudonymise, restore_ids
 from custodia.functions.sealing import COLUMN_KEYS, KEYSTORE, create_keystore
 from custodia.operators.bitmaps import Cohort, cohort_ids, cohort_index, cohort_size, members, rows_in
 from custodia.plans.contents import table_contents
@@ -425,6 +426,38 @@ def q_pseudonym_sha2(spark, sf_dir):
     return pseudonymise_id(pp.select("socialId", "patientId"), "socialId", method="sha2")
 
 
+# A demonstration key: the oracle needs the same one. Deployments take theirs
+# from a keystore, as the round trip does.
+DEMO_KEY = "demonstration key"
+
+
+def q_keyed_pseudonyms(spark, sf_dir):
+    _, bt, _ = _tables(spark, sf_dir)
+    return pseudonymise(bt.select("testId", "patientId"), "patientId", DEMO_KEY)
+
+
+def q_keyed_mac(spark, sf_dir):
+    _, _, pp = _tables(spark, sf_dir)
+    return pseudonymise(pp.select("socialId", "patientId"), "socialId", DEMO_KEY, method="mac")
+
+
+def q_keyed_round_trip(spark, sf_dir):
+    # measurements and profiles joined by pseudonyms, the ids then restored
+    folder, (_, bt, pp) = _folder(spark), _tables(spark, sf_dir)
+    create_keystore(spark, f"{folder}/keys", ["ids"])
+    key = keystore_key(spark, f"{folder}/keys", "ids")
+    tests, people = (pseudonymise(df, "patientId", key) for df in (bt.select("testId", "patientId"),
+                                                                   pp.select("patientId", "gender")))
+    return restore_ids(tests_with_profiles(tests, people), "patientId", key)
+
+
+def q_pseudonym_murmur3(spark, sf_dir):
+    # the reference's private-zone hash, for whole numbers and for texts
+    _, _, pp = _tables(spark, sf_dir)
+    both = pp.select("patientId", F.col("patientId").alias("number"), F.col("socialId").alias("text"))
+    return pseudonymise_id(pseudonymise_id(both, "number", method="murmur3"), "text", method="murmur3")
+
+
 def q_fill(spark, sf_dir):
     _, bt, _ = _tables(spark, sf_dir)
     return fill_present(bt.select("testId", "fibrinogen_value"), {"fibrinogen_value": 0.0})
@@ -632,6 +665,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "governed_query": q_governed_query,
     "generalise": q_generalise,
     "pseudonym_sha2": q_pseudonym_sha2,
+    "pseudonym_murmur3": q_pseudonym_murmur3,
+    "keyed_pseudonyms": q_keyed_pseudonyms,
+    "keyed_mac": q_keyed_mac,
+    "keyed_round_trip": q_keyed_round_trip,
     "fill": q_fill,
     "id_only": q_id_only,
     "hot_masked": q_hot_masked,
@@ -871,6 +908,63 @@ _ORACLE.update({
                         "s(\"column\", source_table, source_column)",
 })
 
+# The Feistel network of the keyed pseudonyms, a step per round. Both halves
+# are whole numbers below 2 ** 32; the result is read as a signed number.
+_FEISTEL = ["SELECT testId, (patientId >> 32) & 4294967295 AS l, patientId & 4294967295 AS r FROM blood_tests"] + [
+    f"SELECT testId, r AS l, xor(l, CAST('0x' || substr(sha256('{DEMO_KEY}|{n}|' || CAST(r AS VARCHAR)), 1, 8) "
+    f"AS BIGINT)) AS r FROM feistel{n - 1}" for n in range(1, 11)]
+
+
+def _hmac(text: str, key: str) -> str:
+    """HMAC-SHA-256 with a short ASCII key, its padding written out."""
+    inner, outer = ("".join(f"\\x{(key.encode()[k] if k < len(key) else 0) ^ pad:02X}" for k in range(64))
+                    for pad in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({text}))))"
+
+
+def _murmur3(words: str, size: str) -> str:
+    """Murmur3 (32 bits, seed 42) of a list of words; numbers are kept below
+    2 ** 32 and the result is read as a signed one."""
+    def times(x: str, c: int) -> str:
+        return f"CAST(({x})::HUGEINT * {c} % 4294967296 AS BIGINT)"
+
+    def turned(x: str, n: int) -> str:
+        return f"(((({x}) << {n}) & 4294967295) | (({x}) >> {32 - n}))"
+
+    def folded(x: str, n: int) -> str:
+        return f"xor({x}, ({x}) >> {n})"
+    word = times(turned(times("k", 0xCC9E2D51), 15), 0x1B873593)
+    step = f"({times(turned(f'xor(h, {word})', 13), 5)} + 3864292196) & 4294967295"
+    mixed = f"xor(list_reduce(list_prepend(42::BIGINT, {words}), lambda h, k: {step}), {size})"
+    end = folded(times(folded(times(folded("m", 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
+    end = f"list_transform([{mixed}], lambda m: {end})[1]"
+    return f"CAST(list_transform([{end}], lambda m: CASE WHEN m >= 2147483648 THEN m - 4294967296 ELSE m END)[1] AS INT)"
+
+
+def _byte(text: str, at: str) -> str:
+    return f"CAST('0x' || substr(hex(encode({text})), CAST(2 * ({at}) + 1 AS BIGINT), 2) AS BIGINT)"
+
+
+def _text_words(text: str) -> str:
+    """Four bytes a word, the first the lowest; the bytes left over are words
+    of their own, as signed numbers."""
+    whole = " + ".join(f"{_byte(text, f'4 * i + {k}')} * {256 ** k}" for k in range(4))
+    rest = f"{_byte(text, 'i')} + CASE WHEN {_byte(text, 'i')} >= 128 THEN 4294967040 ELSE 0 END"
+    n = f"CAST(strlen({text}) AS BIGINT)"
+    return (f"list_concat(list_transform(range({n} // 4), lambda i: {whole}), "
+            f"list_transform(range({n} // 4 * 4, {n}), lambda i: {rest}))")
+
+
+_ORACLE["pseudonym_murmur3"] = (
+    f"SELECT patientId, {_murmur3('[patientId & 4294967295, (patientId >> 32) & 4294967295]', '8')} AS number, "
+    f"{_murmur3(_text_words('socialId'), 'strlen(socialId)')} AS text FROM patientsProfiles")
+_ORACLE.update({
+    "keyed_pseudonyms": "SELECT testId, CASE WHEN l >= 2147483648 THEN l - 4294967296 ELSE l END * 4294967296 + r "
+                        "AS patientId FROM feistel10",
+    "keyed_mac": f"SELECT {_hmac('socialId', DEMO_KEY)} AS socialId, patientId FROM patientsProfiles",
+    "keyed_round_trip": f"SELECT blood_tests.patientId, blood_tests.testId, patientsProfiles.gender FROM {_J}",
+})
+
 _TESTS_CTE, _PROFILES_CTE = f"blood_tests AS ({_blood_tests_sql()})", f"patientsProfiles AS ({_PROFILES_SQL})"
 
 
@@ -912,7 +1006,14 @@ _CHANGED |= {name: _ROUGH + sql for name, sql in {
 }.items()}
 
 
+_WITH_FEISTEL = _WITH.rstrip() + ", " + ", ".join(f"feistel{n} AS ({sql})" for n, sql in enumerate(_FEISTEL)) + " "
+
+
+def _ctes(name: str) -> str:
+    return _WITH_HOT if name in _HOT else _WITH_FEISTEL if name == "keyed_pseudonyms" else _WITH
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key."""
-    return {**{k: (_WITH_HOT if k in _HOT else _WITH) + v for k, v in _ORACLE.items()},
+    return {**{k: _ctes(k) + v for k, v in _ORACLE.items()},
             **_CHANGED, **_LLM_ORACLE}
