@@ -55,7 +55,8 @@ def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     key, give what lies before each part.
     """
     by = [key, *order, "tie"]
-    dealt = kept(rows.withColumn("tie", F.monotonically_increasing_id())
+    # stored first: the range bounds are sampled from a pass of their own
+    dealt = kept(kept(rows.withColumn("tie", F.monotonically_increasing_id()))
                  .repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
                  .withColumn("at", F.monotonically_increasing_id())
                  .withColumn("part", F.shiftright("at", 33)))
