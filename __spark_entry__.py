@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import functools
+import itertools
 import os
 import sys
 import uuid
@@ -38,6 +39,7 @@ from custodia.operators import (
 )
 from custodia.functions.keyed import keystore_key, pseudonymise, restore_ids
 from custodia.functions.sealing import COLUMN_KEYS, KEYSTORE, create_keystore
+from custodia.operators.anonymity import anonymous, calendar, keep_or_hide, year_bands
 from custodia.operators.bitmaps import Cohort, cohort_ids, cohort_index, cohort_size, members, rows_in
 from custodia.plans.contents import table_contents
 from custodia.plans.governed import governed_lineage, governed_query, run_governed
@@ -416,6 +418,25 @@ def q_governed_public_export(spark, sf_dir):
     return spark.read.parquet(f"{folder}/target")
 
 
+# Groups of at least K rows in the export, at the price of few rows.
+QUASI_IDENTIFIERS = (keep_or_hide("gender"), year_bands("birthDate"), calendar("date"))
+K, MAX_SHARE = 100, 0.15
+
+
+def q_k_anonymous_export(spark, sf_dir):
+    rows, _ = anonymous(_export(spark, sf_dir), QUASI_IDENTIFIERS, K, MAX_SHARE)
+    return rows
+
+
+def q_k_anonymous_report(spark, sf_dir):
+    # what was chosen, and the groups of the rows that left, counted anew
+    rows, made = anonymous(_export(spark, sf_dir), QUASI_IDENTIFIERS, K, MAX_SHARE)
+    groups = quasi_identifier_groups(rows, [h.column for h in QUASI_IDENTIFIERS])
+    return (groups.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("rows_left"), F.min("n").alias("smallest"))
+            .withColumn("levels", F.lit(",".join(map(str, made.levels))))
+            .withColumn("suppressed", F.lit(made.suppressed).cast("long")))
+
+
 def q_generalise(spark, sf_dir):
     _, _, pp = _tables(spark, sf_dir)
     return generalise_birth_date(pp.select("patientId", "gender", "birthDate"))
@@ -663,6 +684,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "masked": q_masked,
     "governed": q_governed,
     "governed_query": q_governed_query,
+    "k_anonymous_export": q_k_anonymous_export,
+    "k_anonymous_report": q_k_anonymous_report,
     "generalise": q_generalise,
     "pseudonym_sha2": q_pseudonym_sha2,
     "pseudonym_murmur3": q_pseudonym_murmur3,
@@ -965,6 +988,37 @@ _ORACLE.update({
     "keyed_round_trip": f"SELECT blood_tests.patientId, blood_tests.testId, patientsProfiles.gender FROM {_J}",
 })
 
+def _anonymous_sql() -> str:
+    """CTEs of the export at the lowest levels that satisfy K and MAX_SHARE:
+    ``left_rows`` (recoded, with the rows of its group) and ``chosen``."""
+    columns = [h.column for h in QUASI_IDENTIFIERS]
+    judged = []
+    for levels in itertools.product(*(range(len(h.levels)) for h in QUASI_IDENTIFIERS)):
+        values = ", ".join(f"{h.levels[n].format(c=h.column)} AS v{j}"
+                           for j, (h, n) in enumerate(zip(QUASI_IDENTIFIERS, levels)))
+        numbers = ", ".join(f"{n} AS l{j}" for j, n in enumerate(levels))
+        judged.append(f"SELECT {numbers}, sum(CASE WHEN n < {K} THEN n ELSE 0 END) AS suppressed, sum(n) AS total "
+                      f"FROM (SELECT v0, v1, v2, sum(n) AS n FROM (SELECT {values}, n FROM finest) GROUP BY ALL)")
+    recoded = ", ".join("CASE l{} {} END AS {}".format(j, " ".join(
+        f"WHEN {n} THEN {level.format(c='e.' + h.column)}" for n, level in enumerate(h.levels)), h.column)
+        for j, h in enumerate(QUASI_IDENTIFIERS))
+    return (f", export AS {_export_sql()}, finest AS (SELECT {', '.join(columns)}, count(*) AS n FROM export GROUP BY ALL), "
+            f"judged AS ({' UNION ALL '.join(judged)}), "
+            f"chosen AS (SELECT * FROM judged WHERE suppressed <= {MAX_SHARE} * total "
+            "ORDER BY l0 + l1 + l2, suppressed, l0, l1, l2 LIMIT 1), "
+            f"recoded AS (SELECT e.* REPLACE ({recoded}) FROM export e, chosen), "
+            f"left_rows AS (SELECT *, count(*) OVER (PARTITION BY {', '.join(columns)}) AS members FROM recoded) ")
+
+
+_ANONYMOUS = {
+    "k_anonymous_export": f"SELECT * EXCLUDE (members) FROM left_rows WHERE members >= {K}",
+    "k_anonymous_report":
+        "SELECT count(*) AS n_groups, sum(n)::BIGINT AS rows_left, min(n) AS smallest, "
+        "any_value(l0 || ',' || l1 || ',' || l2) AS levels, any_value(suppressed)::BIGINT AS suppressed FROM (SELECT "
+        f"gender, birthDate, date, count(*) AS n FROM left_rows WHERE members >= {K} GROUP BY ALL) g, chosen",
+}
+_ORACLE.update(_ANONYMOUS)
+
 _TESTS_CTE, _PROFILES_CTE = f"blood_tests AS ({_blood_tests_sql()})", f"patientsProfiles AS ({_PROFILES_SQL})"
 
 
@@ -1010,6 +1064,8 @@ _WITH_FEISTEL = _WITH.rstrip() + ", " + ", ".join(f"feistel{n} AS ({sql})" for n
 
 
 def _ctes(name: str) -> str:
+    if name in _ANONYMOUS:
+        return _WITH.rstrip() + _anonymous_sql()
     return _WITH_HOT if name in _HOT else _WITH_FEISTEL if name == "keyed_pseudonyms" else _WITH
 
 

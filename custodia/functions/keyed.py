@@ -86,7 +86,8 @@ def mac(value: Column | str, key: Column | str) -> Column:
             F.conv(F.substr(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("long").bitwiseXOR(F.lit(byte))), 2, "0"))
         return F.unhex(F.array_join(xored, ""))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), text), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+    # a missing key must not make a pseudonym that anybody can make
+    return F.when(key.isNotNull(), F.sha2(F.concat(pad(0x5C), inner), 256))
 
 
 def pseudonymise(df: DataFrame, column: str, key: Column | str, method: str = "permute") -> DataFrame:
