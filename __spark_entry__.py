@@ -28,14 +28,15 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from custodia.functions.columns import MEASUREMENT_COLUMNS, PROFILE_COLUMNS
+from custodia.functions.columns import COMPONENTS, MEASUREMENT_COLUMNS, PROFILE_COLUMNS
 from custodia.model import GovernedPlan, PolicyRequest, TableSpec, Zone
 from custodia.operators import (
     PUBLIC_COLUMNS,
     DEFAULT_SKEW, SkewPolicy, age_band_average, age_band_values, cohort_and_hot_keys,
     drop_denied_rows, generalise_birth_date, in_cohort, json_component, component_average, component_series, mask_by_clauses, not_in_cohort,
     nutritional_data, patient_details, patient_documents, pseudonymise_id, public_export,
-    quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
+    parse_variant_rows, quasi_identifier_groups, stroke_cohort, tests_with_profiles, to_json_rows,
+    to_variant_rows, variant_component,
 )
 from custodia.functions.keyed import keystore_key, pseudonymise, restore_ids
 from custodia.functions.sealing import COLUMN_KEYS, KEYSTORE, create_keystore
@@ -47,6 +48,7 @@ from custodia.plans.movement import (
     MovementError, fill_present, finish_governed, finish_movement, stage_governed, stage_governed_export,
     start_movement,
 )
+from custodia.plans.partials import finish_with_partials, stored_averages
 from custodia.session import checkpoint_path
 from custodia.sources.bucketed import write_bucketed
 from custodia.sources.catalog import Catalog
@@ -107,6 +109,38 @@ def q_json_average(spark, sf_dir):
     return component_average(json_component(rows, "fibrinogen_value"), "fibrinogen_value", digits=6)
 
 
+def q_variant_average(spark, sf_dir):
+    # the two-hop path with typed rows: stored as VARIANT, one field read back
+    folder, (_, bt, pp) = _folder(spark), _tables(spark, sf_dir)
+    to_variant_rows(age_band_values(bt, pp, "fibrinogen", *AGE_BAND, as_of=AS_OF)).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    return component_average(variant_component(rows, "fibrinogen_value"), "fibrinogen_value", digits=6)
+
+
+# Row texts of which some are cut off, hold a word for a number or no field.
+ROUGH_TEXT = ("CASE WHEN testId % 7 = 0 THEN '{\"fibrinogen_value\": ' WHEN testId % 11 = 0 THEN "
+              "'{\"fibrinogen_value\": \"high\"}' WHEN testId % 13 = 0 THEN '{}' WHEN testId % 17 = 0 THEN NULL "
+              "ELSE '{\"fibrinogen_value\": ' || CAST(fibrinogen_value AS VARCHAR(40)) || '}' END")
+
+
+def q_variant_texts(spark, sf_dir):
+    _, bt, _ = _tables(spark, sf_dir)
+    texts = bt.where("fibrinogen_value IS NOT NULL").select("testId", F.expr(ROUGH_TEXT).alias("value"))
+    parsed = parse_variant_rows(texts)
+    known = F.col("value").isNotNull()
+    return parsed.select("testId", known.alias("parsed"), F.try_variant_get(
+        "value", "$.fibrinogen_value", "double").alias("fibrinogen_value"))
+
+
+def q_partial_averages(spark, sf_dir):
+    # two movements and a smaller re-run of the first, averaged from the stored sums
+    folder, export = _folder(spark), _public_table(spark, sf_dir)
+    for movement_id, rows in (("m1", "stroke = 0"), ("m2", "stroke = 1"), ("m1", "stroke = 0 AND bmi > 25")):
+        start_movement(export.where(rows), f"{folder}/staging")
+        finish_with_partials(spark, f"{folder}/staging", f"{folder}/target", f"{folder}/store", movement_id, fill={})
+    return stored_averages(spark, f"{folder}/store", 1960, 1990, digits=6)
+
+
 def q_json_rows(spark, sf_dir):
     _, bt, _ = _tables(spark, sf_dir)
     return to_json_rows(component_series(bt, "cholesterol"))
@@ -638,6 +672,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "age_band_values": q_age_band_values,
     "json_average": q_json_average,
     "json_rows": q_json_rows,
+    "variant_average": q_variant_average,
+    "variant_texts": q_variant_texts,
+    "partial_averages": q_partial_averages,
     "patient_details": q_patient_details,
     "patient_details_private": q_patient_details_private,
     "documents": q_documents,
@@ -853,6 +890,16 @@ _ORACLE["json_rows"] = (
 _ORACLE["json_average"] = _ORACLE["avg_age"]
 
 
+_ORACLE["variant_average"] = _ORACLE["avg_age"]
+_ORACLE["variant_texts"] = (
+    "SELECT testId, testId % 7 <> 0 AND (testId % 11 = 0 OR testId % 13 = 0 OR testId % 17 <> 0) AS parsed, "
+    "CASE WHEN testId % 7 <> 0 AND testId % 11 <> 0 AND testId % 13 <> 0 AND testId % 17 <> 0 THEN fibrinogen_value END "
+    "AS fibrinogen_value FROM blood_tests WHERE fibrinogen_value IS NOT NULL")
+_ORACLE["partial_averages"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS component, count({c}_value) AS n, round(avg({c}_value), 6) AS value FROM {_export_sql()} p "
+    f"WHERE {_BAND_PUBLIC} AND (stroke = 1 OR bmi > 25) HAVING count({c}_value) > 0" for c in COMPONENTS)
+
+
 _WITH_HOT = _WITH.replace(
     f"blood_tests AS ({_blood_tests_sql()})",
     f"even_tests AS ({_blood_tests_sql()}), "

@@ -38,3 +38,22 @@ def json_component(df: DataFrame, field: str, dtype: str = "double",
     """
     raw = df.select(F.json_tuple(F.col(column), field).alias(field))
     return raw.select(F.col(field).try_cast(dtype).alias(field))
+
+
+def to_variant_rows(df: DataFrame, column: str = "value") -> DataFrame:
+    """One VARIANT object per row: typed values instead of a text. Unlike in
+    ``to_json_rows``, a NULL field stays as a null of the object."""
+    return df.select(F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(column))
+
+
+def parse_variant_rows(df: DataFrame, column: str = "value") -> DataFrame:
+    """JSON row texts as VARIANT, parsed once; a text that is no JSON is NULL
+    instead of an error. Other columns stay."""
+    return df.withColumn(column, F.try_parse_json(F.col(f"`{column}`")))
+
+
+def variant_component(df: DataFrame, field: str, dtype: str = "double", column: str = "value") -> DataFrame:
+    """One field of VARIANT rows as a typed column. A missing field and one
+    that does not fit the type are NULL."""
+    name = field.replace("\\", "\\\\").replace("'", "\\'")
+    return df.select(F.try_variant_get(F.col(f"`{column}`"), f"$['{name}']", dtype).alias(field))

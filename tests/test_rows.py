@@ -46,3 +46,20 @@ def test_json_component_bad_text_is_null(spark):
                                "value string")
     got = [r.v for r in json_component(df, "v").collect()]
     assert got == [1.5, None, None, None]
+
+
+def test_variant_rows_round_trip_and_faulty_texts(spark, scratch):
+    from custodia.operators import parse_variant_rows, to_variant_rows, variant_component
+
+    df = spark.createDataFrame([(1, 0.1, "é"), (2, None, None), (3, float("inf"), "x")], "id long, `a b` double, t string")
+    to_variant_rows(df).write.parquet(f"{scratch}/v")
+    back = spark.read.parquet(f"{scratch}/v")
+    assert back.dtypes == [("value", "variant")]
+    for field, kind in (("id", "long"), ("a b", "double"), ("t", "string"), ("nothing", "int")):
+        want = [None] * 3 if field == "nothing" else [r[0] for r in df.select(f"`{field}`").collect()]
+        got = [r[0] for r in variant_component(back, field, kind).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    texts = ['{"v": 1.5}', '{"v": "1.25"}', '{"v": "word"}', '{"v": ', "", None, "[]", "{}", '{"v": null}', '{"v": 2, "w": [1]}']
+    parsed = parse_variant_rows(spark.createDataFrame([(x,) for x in texts], "value string"))
+    assert [r.v for r in variant_component(parsed, "v").collect()] == [1.5, 1.25, None, None, None, None, None, None, None, 2.0]
+    assert [r.value is None for r in parsed.collect()] == [False] * 3 + [True] * 3 + [False] * 4
