@@ -47,6 +47,10 @@ BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd",
           "th", "thead", "tr", "ul"} | (DROPPED - RAW - {"button", "select", "label"})
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "figcaption"}
+#: Boxes that are menus if links make up most of their text; a list whose
+#: items say more than their links, as references do, is none.
+MENUS = {"ul", "ol", "div", "section", "table", "dl"}
+LIST_LINKS = 0.8
 #: An opening tag ends an open element of these, up to the given bounds.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}),
            "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -114,6 +118,8 @@ class _Page:
         self.blocks: list[tuple[int, str, int]] = []
         self.named: list[int] = []
         self._open = [0]                 # elements around the current place
+        self._depths: dict[str, list[int]] = {}      # where a tag is open, by depth
+        self._boxes = [0]                # those of them that are blocks
         self._text: list[tuple[str, bool, int]] = []
         self._inline: list[int] = []     # open elements of named that are no blocks
         self.parts: dict[int, list[tuple[str, bool, int]]] = {}
@@ -122,7 +128,7 @@ class _Page:
         self._read(source)
 
     def _block(self) -> int:
-        return next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCKS)
+        return self._boxes[-1]
 
     def _add(self, text: str, linked: bool) -> None:
         inside = self._inline[-1] if self._inline and self._inline[-1] > self._block() else 0
@@ -143,6 +149,8 @@ class _Page:
             tag = self.tag[e]
             if tag in BLOCKS:
                 self._flush()
+                self._boxes.pop()
+            self._depths[tag].pop()
             if tag == "a":
                 self._in_link -= 1
             if tag in ("article", "main"):
@@ -152,21 +160,19 @@ class _Page:
             self._open.pop()
 
     def _close_nearest(self, tags: set[str], bounds: set[str]) -> None:
-        for depth in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[depth]]
-            if tag in tags:
-                self._close_to(depth)
-                return
-            if tag in bounds:
-                return
+        def deepest(names: set[str]) -> int:
+            return max((self._depths[t][-1] for t in names if self._depths.get(t)), default=0)
+        depth = deepest(tags)
+        if depth and (not bounds or depth >= deepest(bounds)):
+            self._close_to(depth)
 
     def _skip(self, source: str, name: str, at: int) -> int:
         """The place after the end of a dropped element opened before ``at``."""
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at, self._end)
             return end.end() if end else len(source)
         depth = 1
-        while m := _TOKEN.search(source, at):
+        while m := _TOKEN.search(source, at, self._end):
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -186,8 +192,12 @@ class _Page:
 
     def _read(self, source: str) -> None:
         at = 0
+        self._end = source.rfind(">") + 1            # no tag ends behind it
+        comment = source.find("<!--", self._end)
+        if comment >= 0:
+            source = source[:comment]
         while True:
-            m = _TOKEN.search(source, at)
+            m = _TOKEN.search(source, at, self._end) if at < self._end else None
             text = source[at:m.start() if m else len(source)]
             if text:
                 self._add(html.unescape(text) if "&" in text else text, self._in_link > 0)
@@ -201,7 +211,7 @@ class _Page:
             if closing:
                 if tag == "br":
                     self._add(" ", False)
-                self._close_nearest({tag}, {"#page"})
+                self._close_nearest({tag}, set())
                 continue
             if tag in BLOCKS:
                 self._flush()
@@ -228,7 +238,10 @@ class _Page:
             self.parent.append(self._open[-1])
             self.tag.append(tag)
             self.links.append(int(tag == "a"))
+            self._depths.setdefault(tag, []).append(len(self._open))
             self._open.append(len(self.tag) - 1)
+            if tag in BLOCKS:
+                self._boxes.append(len(self.tag) - 1)
             if named:
                 self.named.append(len(self.tag) - 1)
                 if tag not in BLOCKS:
@@ -255,8 +268,11 @@ def _drop_named(page: _Page) -> None:
         if tag[e] in HEADINGS:
             continue
         parts = page.parts.get(k)
-        for x in {i for _, _, i in parts} if parts else ():
-            text, in_links = _joined([p for p in parts if p[2] == x])
+        inside: dict[int, list[tuple[str, bool, int]]] = {}
+        for p in parts or ():
+            inside.setdefault(p[2], []).append(p)
+        for x, some in inside.items():
+            text, in_links = _joined(some)
             if text:
                 own[x or e] += _points(text, in_links)
         if not parts:
@@ -330,23 +346,25 @@ def main_text(source: str | None) -> str:
     kept[best] = True
     around = parent[best]
     in_article = tag[best] in ("article", "main")
+    children: list[list[int]] = [[] for _ in range(n)]
+    for x in range(1, n):
+        if length[x]:
+            children[parent[x]].append(x)
     while True:
-        siblings = [e for e in range(1, n) if parent[e] == around and e != best and length[e]]
-        for e in siblings:
-            if tag[e] == "p":
-                kept[e] = density[e] < 0.25 and (length[e] > 80 or not linked[e])
-            elif not in_article:
-                kept[e] = density[e] < 0.25
-            elif tag[e] == tag[best]:
-                kept[e] = score[e] >= max(2.0, 0.2 * score[best])
+        siblings = [x for x in children[around] if x != best] if around >= 0 else []
+        for x in siblings:
+            if tag[x] == "p":
+                kept[x] = density[x] < 0.25 and (length[x] > 80 or not linked[x])
+            elif not in_article or tag[x] == tag[best] or tag[x] in HEADINGS and x < best:
+                kept[x] = density[x] < 0.25
         # a parent with nothing but text in it is part of the text
-        if in_article or around <= 0 or tag[around] in ("body", "html") or not all(kept[e] for e in siblings):
+        if in_article or around <= 0 or tag[around] in ("body", "html") or not all(kept[x] for x in siblings):
             break
         best, around = around, parent[around]
         kept[best] = True
     for e in range(1, n):
         if not kept[e] and kept[parent[e]] if parent[e] >= 0 else False:
-            menu = tag[e] in ("ul", "ol", "div", "section", "table", "dl") and links[e] >= 3 and density[e] > 0.5
+            menu = tag[e] in MENUS and links[e] >= 3 and density[e] > (LIST_LINKS if tag[e] in ("ul", "ol") else 0.5)
             kept[e] = not menu
     return "\n".join(text for e, text, _ in page.blocks if kept[e])
 

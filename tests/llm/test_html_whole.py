@@ -38,3 +38,41 @@ def test_short_sections_beside_a_long_one_stay():
     assert main_text(page) == f"T\n{want}\nOne short paragraph.\nA river\nAn item\nTwo"
     page = f"<body><div><h1>T</h1><div><div><section>{long_}</section></div></div><div><p>End.</p></div></div></body>"
     assert main_text(page) == f"T\n{want}\nEnd."
+
+
+@pytest.mark.parametrize("box", ["main", "div"])
+def test_headings_and_short_articles_beside_the_article_stay(box):
+    page = f"<body><nav><a>x</a></nav><{box}><h1>Title</h1><article>{BODY}</article><h2>More</h2></{box}></body>"
+    assert main_text(page) == "Title\n" + TEXT
+    short = "<article><p>A short second article.</p></article>"
+    assert main_text(f"<body><{box}><h1>Title</h1><article>{BODY}</article>{short}</{box}></body>") == (
+        f"Title\n{TEXT}\nA short second article.")
+
+
+def test_reference_lists_stay_and_menus_go():
+    refs = "".join(f"<li>Author {k}, A title of some length, <a href=x>doi {k}</a>, pages {k} to {k + 9}.</li>" for k in range(4))
+    menu = "".join(f"<li><a href=x>Link number {k}</a></li>" for k in range(4))
+    want = "\n".join(f"Author {k}, A title of some length, doi {k}, pages {k} to {k + 9}." for k in range(4))
+    assert main_text(f"<article>{BODY}<h2>References</h2><ol>{refs}</ol><ul>{menu}</ul></article>") == (
+        f"{TEXT}\nReferences\n{want}")
+    short = "".join(f"<li>No. {k}: <a href=x>a linked title</a>, 2020.</li>" for k in range(4))
+    assert "a linked title" in main_text(f"<article>{BODY}<ul>{short}</ul></article>")
+
+
+@pytest.mark.parametrize("part", ["<b></i>x", "<div>x", "<a ", "<p><b>x", '<a title="', "<!-- <b>", "<script>",
+                                  "<ul><li>x", "<span class=share>x", "<td><b>", "</p></div>x", "<p><i><div>x, y"])
+def test_hostile_pages_take_seconds(part):
+    import time
+    source = part * ((1 << 20) // len(part))
+    begun = time.monotonic()
+    main_text(source)
+    main_text(f"<article>{BODY}</article>" + source)
+    assert time.monotonic() - begun < 30
+
+
+def test_deep_and_repeated_pages(spark):
+    from custodia.llm.html_text import page_texts
+    deep = "<div>" * 3000 + BODY + "</div>" * 3000
+    rows = [(1, "u", deep), (1, "u", deep), (2, "u", f"<main>{BODY}</main>")]
+    got = page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(1, TEXT), (1, TEXT), (2, TEXT)]
