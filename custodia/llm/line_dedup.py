@@ -13,8 +13,9 @@ decide this: lines without an earlier undecided neighbour stay, their
 neighbours go. Once few links are left, the driver goes through them in order.
 
 Only hashes, never whole texts, are grouped: a line that most documents
-hold is aggregated before the shuffle or counted by window, and segment
-lists with one line are left out before pairs are formed.
+hold is aggregated before the shuffle, and segment lists with one line are
+left out before pairs are formed. Inside a list, sketches of the letters and
+of the pairs of letters rule out nearly all pairs that are not near.
 
 Defined cases: lines are compared without white space around them; blank
 lines are no lines and stay; NULL and empty texts have no lines; a line
@@ -30,9 +31,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custodia.llm import line_keys
 from custodia.llm.edit_distance import distance_within
 from custodia.llm.tables import kept
 
@@ -40,6 +42,8 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 #: Links that the driver decides at once; more are decided in rounds.
 LOCAL_LINKS = 1 << 18
+#: Columns of a line's sketches: letters and length, pairs of letters.
+SKETCH = ("letters", "pairs0", "pairs1", "pairs2", "pairs3")
 
 
 def _hashes(line: str) -> tuple[int, int]:
@@ -72,66 +76,43 @@ def _occurrences(batches):
 
 def segment_keys(line: str, edits: int) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
     """(segments of the line, further substrings it probes with), each with
-    the number of the segment.
-
-    A partner shorter by ``less`` has segments of ``size`` characters; the
-    ones before the last start at a multiple of it, the last ends with the
-    line. If segment i is whole, at most i edits lie before it or at most
-    edits - i behind it, which bounds its shift from either side.
-    """
-    n = len(line)
-    last = edits
-    own = [(i, line[i * (n // (edits + 1)):(i + 1) * (n // (edits + 1))]) for i in range(last)]
-    own.append((last, line[n - n // (edits + 1):]))
-    more = set()
-    for less in range(edits + 1):
-        size = (n - less) // (edits + 1)
-        more.add((last, line[n - size:]))
-        for i in range(last):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = i * size + shift
-                if 0 <= at <= n - size:
-                    more.add((i, line[at:at + size]))
-    return own, sorted(more.difference(own))
+    the number of the segment (see ``line_keys.places``)."""
+    own, more = ([(i, line[at:at + size]) for i, at, size in some] for some in line_keys.places(len(line), edits))
+    return own, sorted(set(more).difference(own))
 
 
 def _sketch(line: str) -> int:
-    """Which characters (by code modulo 56) occur an odd number of times,
-    and above these bits the length modulo 128. An edit changes at most two
-    of the bits."""
-    odd = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % 56, minlength=56) & 1
-    return int.from_bytes(np.packbits(odd, bitorder="little").tobytes(), "little") | (len(line) & 127) << 56
+    """The letter sketch of one line."""
+    return int(line_keys.sketches(line_keys.codes_of([line], len(line)))[0, 0])
 
 
-def _keys(edits: int, min_chars: int) -> Callable:
+def _by_length(batch: pa.RecordBatch, min_chars: int) -> dict[int, list[str]]:
+    """The different lines of a batch of at least ``min_chars``, by length."""
+    found: dict[int, dict[str, None]] = {}
+    for text in batch.column(0):
+        for line in _lines(text.as_py()):
+            if len(line) >= min_chars:
+                found.setdefault(len(line), {})[line] = None
+    return {n: list(lines) for n, lines in found.items()}
+
+
+def _keys(edits: int, min_chars: int, whole: bool) -> Callable:
+    """Per line and place (key, lo), and if ``whole`` own and the sketches."""
+    names = ["key", "lo", *(["own", *SKETCH] if whole else [])]
+
     def run(batches):
         for batch in batches:
-            seen: set[int] = set()
-            keys, names, whole, sketches = [], [], [], []
-            for text in batch.column(0):
-                for line in _lines(text.as_py()):
-                    if len(line) < min_chars:
-                        continue
-                    name = _hashes(line)[0]
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    own, more = segment_keys(line, edits)
-                    sketches += [_sketch(line)] * (len(own) + len(more))
-                    for part, mine in ((own, True), (more, False)):
-                        for i, s in part:
-                            keys.append(xxhash.xxh3_64_intdigest(s.encode(), i))
-                            names.append(name)
-                            whole.append(mine)
-                if len(keys) >= 1 << 19:
-                    yield _batch(keys, names, whole, sketches)
-                    keys, names, whole, sketches = [], [], [], []
-            yield _batch(keys, names, whole, sketches)
-
-    def _batch(keys, names, whole, sketches):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(names, pa.int64()),
-             pa.array(whole, pa.bool_()), pa.array(sketches, pa.int64())], names=["key", "lo", "own", "sketch"])
+            for n, lines in _by_length(batch, min_chars).items():
+                step = max(1, line_keys.CELLS // n)
+                for k in range(0, len(lines), step):
+                    some = lines[k:k + step]
+                    codes = line_keys.codes_of(some, n)
+                    keys, own = line_keys.segment_hashes(codes, edits)
+                    each = keys.shape[1]
+                    columns = [keys.ravel(), np.repeat([_hashes(x)[0] for x in some], each)]
+                    if whole:
+                        columns += [np.tile(own, len(some)), *(np.repeat(c, each) for c in line_keys.sketches(codes).T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
     return run
 
 
@@ -164,14 +145,24 @@ def line_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     each pair once, with their places in their first documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .filter("doc_id IS NOT NULL")
-    keys = texts.select("text").mapInArrow(_keys(edits, min_chars), "key long, lo long, own boolean, sketch long")
-    whole = Window.partitionBy("key")
-    lists = kept(keys.withColumn("least", F.min("lo").over(whole)).withColumn("most", F.max("lo").over(whole))
-                 .filter("least <> most").groupBy("key", "lo", "sketch").agg(F.max("own").alias("own")))
+    lines_of = texts.select("text")
+    # a list matters if it holds two different lines; a common line counts
+    # once per task here, and no list is ever gathered
+    shared = (lines_of.mapInArrow(_keys(edits, min_chars, False), "key long, lo long")
+              .groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most"))
+              .filter("least <> most").select("key"))
+    columns = ", ".join(f"{c} long" for c in SKETCH)
+    lists = kept(lines_of.mapInArrow(_keys(edits, min_chars, True), f"key long, lo long, own boolean, {columns}")
+                 .join(shared, "key").groupBy("key", "lo", *SKETCH).agg(F.max("own").alias("own")))
     left, right = lists.filter("own").alias("l"), lists.alias("r")
-    changed = F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch")).bitwiseAND(F.lit((1 << 56) - 1)))
-    apart = F.pmod(F.shiftright("l.sketch", 56) - F.shiftright("r.sketch", 56), F.lit(128))
-    fits = (changed <= 2 * edits) & ((apart <= edits) | (apart >= 128 - edits))
+
+    def changed(some: tuple[str, ...], mask: int):
+        return sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")).bitwiseAND(F.lit(mask))) for c in some[1:]),
+                   F.bit_count(F.col(f"l.{some[0]}").bitwiseXOR(F.col(f"r.{some[0]}")).bitwiseAND(F.lit(mask))))
+    apart = F.pmod(F.shiftright(f"l.{SKETCH[0]}", 56) - F.shiftright(f"r.{SKETCH[0]}", 56), F.lit(128))
+    fits = ((changed(SKETCH[:1], (1 << 56) - 1) <= line_keys.LETTER_CHANGES * edits)
+            & (changed(SKETCH[1:], -1) <= line_keys.PAIR_CHANGES * edits)
+            & ((apart <= edits) | (apart >= 128 - edits)))
     pairs = kept(left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.lo") != F.col("r.lo")) & fits)
                  .select(F.least("l.lo", "r.lo").alias("a"), F.greatest("l.lo", "r.lo").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("lo")).distinct()
@@ -258,8 +249,9 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
     lines go, if ``drop_emptied``."""
     schema = docs.schema
     text_at = docs.columns.index("text")
+    own, lost = (_unused(docs, name) for name in ("__doc", "__dropped"))
     gone = line_decisions(docs, edits, min_chars).filter("doc_id IS NOT NULL").select(
-        F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped")).dropDuplicates(["__doc"])
+        F.col("doc_id").alias(own), F.col("dropped").alias(lost)).dropDuplicates([own])
 
     def run(batches):
         for batch in batches:
@@ -285,4 +277,10 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stay, pa.bool_()))
 
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc").mapInArrow(run, schema)
+    return docs.join(gone, docs["doc_id"] == gone[own], "left").drop(own).mapInArrow(run, schema)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
