@@ -12,12 +12,8 @@ these numbers it misses the threshold with a probability under one in a
 thousand. When the windows hold everything, everything has been verified, so
 a search always ends with whole answers.
 
-The vectors are dealt out in blocks, each with its own arrays. The queries
-are not collected: they are copied once per block, and a task sorts its rows
-so that the vectors of a block come first and the queries pass by. A task
-holds one block, whose rows are bounded by its values, and one batch of
-queries. Blocks are dealt by row, so equal vectors and repeated ids spread
-evenly. A second grouping merges the answers of the blocks.
+The vectors are dealt out in blocks, each with its own arrays, and every block
+answers all queries (``blocks``).
 
 Defined cases: vectors that are NULL, of zeros alone or with a NULL or
 non-finite component take no part, nor rows with a NULL id; vectors are
@@ -30,23 +26,20 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custodia.llm.blocks import BLOCK_ROWS, Answer, best_of_blocks, valid_vectors
+
 PROJECTIONS = 64
 #: Collisions that make a candidate, and half the window's width in radii: a
 #: vector at the radius itself collides in an array with probability 0.84.
 THRESHOLD = 44
 WINDOW = 1.4
 GROWTH = 1.2
-#: Rows and values that a block holds at most.
-BLOCK_ROWS = 16384
-BLOCK_VALUES = 1 << 22
-LEAST_ROWS = 256
 
 
 def directions(length: int, seed: int) -> np.ndarray:
@@ -111,70 +104,17 @@ class Block:
         return max(float(np.median(reach)) / (2 * WINDOW), 1e-12)
 
 
-def _searcher(k: int, seed: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, ids, parts = None, None, [], []
-        for batch in batches:
-            numbers, asks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            length = np.asarray(batch.column(2))
-            row_ids, vectors = np.asarray(batch.column(3)), batch.column(4)
-            keys = np.stack([numbers, length, asks], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            found: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
-                if lo == hi:
-                    continue
-                here, d = (int(numbers[lo]), int(length[lo])), int(length[lo])
-                matrix = np.asarray(vectors.slice(lo, hi - lo).flatten(), np.float64).reshape(hi - lo, d)
-                if here != key:
-                    key, block, ids, parts = here, None, [], []
-                if not asks[lo]:
-                    ids.append(row_ids[lo:hi])
-                    parts.append(matrix)
-                    continue
-                if block is None:
-                    if not parts:
-                        continue                  # a block without vectors of this length
-                    block = Block(np.concatenate(ids), np.concatenate(parts), seed)
-                    ids, parts = [], []
-                for own, query in zip(row_ids[lo:hi].tolist(), matrix):
-                    found.append((own, *block.search(own, query, k)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
-                 pa.array(np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])),
-                 pa.array(np.concatenate([np.zeros(0), *(f[2] for f in found)]))],
-                names=["query_id", "vec_id", "score"])
-    return run
-
-
-def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
-    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-            .filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-            .filter(finite & F.exists("v", lambda x: x != 0)))
-
-
 def nearest(rows: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id",
             vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found, for every row
     of ``rows`` whose id satisfies ``asks`` (a condition on ``id``)."""
-    spark = rows.sparkSession
-    data = usable(rows, id_col, vector_col)
-    size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n, d = size.n, size.d or 1
-    block_rows = max(1, min(block_rows, BLOCK_VALUES // d))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-n // block_rows), min(tasks, n // LEAST_ROWS))
-    vectors = (data.withColumn("row", F.monotonically_increasing_id())
-               .select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"),
-                       F.size("v").alias("length"), "id", "v"))
-    queries = (data.filter(asks).distinct()
-               .select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"),
-                       F.size("v").alias("length"), "id", "v"))
-    found = (vectors.unionByName(queries).repartition("block")
-             .sortWithinPartitions("block", "length", "asks")
-             .mapInArrow(_searcher(k, seed), "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    data = valid_vectors(rows, id_col, vector_col).filter(F.exists("v", lambda x: x != 0))
+
+    def build(ids: np.ndarray, vectors: np.ndarray) -> Block:
+        return Block(ids, vectors, seed)
+
+    def answer(block: Block, ids: list[int], queries: np.ndarray) -> Iterator[Answer]:
+        for own, query in zip(ids, queries):
+            yield own, *block.search(own, query, k)
+
+    return best_of_blocks(data, data.filter(asks), build, answer, k, "double", True, block_rows)

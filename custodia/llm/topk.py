@@ -7,15 +7,15 @@ whose partial score plus a bound of what the remaining dimensions can add
 (the product of the remaining lengths of both vectors) stays under the
 query's k-th best score is dropped, and the survivors are compacted.
 
-Queries go through in blocks of a fixed number, broadcast one after the
-other; every block meets all candidates, which stay where they were read.
-Each task keeps at most k answers per query and the merge takes the best k.
+Every block of candidates answers all queries (``blocks``), with at most k
+answers per query, and the merge takes the best k.
 
-Components become ``floor(scale * x)``; scores are exact while they stay
-within 2**53 in size, which is tested for each candidate block.
+Components become ``floor(scale * x)``. Where scores can exceed 2**53, which
+is tested for each block and query, they are computed in whole numbers of any
+size; a score beyond the range of a long is given as its limit.
 
 Defined cases: a vector that is NULL or has a NULL or non-finite component
-takes no part; vectors are compared with those of the same length only; a
+(also after scaling) takes no part; vectors are compared with those of the same length only; a
 row with a NULL id takes no part; a query never meets rows of its own id;
 rows that repeat an id are candidates each for themselves, and one query
 per different vector, whose answers are ranked together; ties go to the
@@ -24,35 +24,19 @@ smaller id; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from custodia.llm.blocks import Answer, best_of_blocks, valid_vectors
 
 QUERY_BLOCK = 4096
 DIMENSION_BLOCK = 16
 CANDIDATE_BLOCK = 16384
 
 _EXACT = float(1 << 53)
-
-
-def _matrices(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of the valid rows, by vector length."""
-    ids, vectors = batch.column(0), batch.column(1)
-    flat = vectors.flatten()
-    lengths = np.asarray(vectors.value_lengths().fill_null(-1), np.int64)
-    ends = np.cumsum(np.maximum(lengths, 0))
-    starts = ends - np.maximum(lengths, 0)
-    values = np.floor(scale * np.asarray(flat.cast(pa.float64()).fill_null(np.nan), np.float64))
-    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
-    good = (lengths >= 0) & (bad[ends] == bad[starts]) & np.asarray(ids.is_valid())
-    id_values = np.asarray(ids.fill_null(0), np.int64)
-    for d in np.unique(lengths[good]):
-        rows = np.flatnonzero(good & (lengths == d))
-        take = starts[rows][:, None] + np.arange(d)[None, :]
-        yield id_values[rows], values[take] if d else np.zeros((len(rows), 0))
+_LONG = (1 << 63) - 1
 
 
 def _rest_lengths(matrix: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
@@ -88,69 +72,59 @@ def _search(query: np.ndarray, own: int, columns: np.ndarray, ids: np.ndarray,
     return score[mine], where[mine]
 
 
-def _searcher(queries, k: int, scale: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_vectors = queries.value
-        best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
-        by_length: dict[int, list[int]] = {}
-        for n, v in enumerate(q_vectors):
-            by_length.setdefault(len(v), []).append(n)
-        for batch in batches:
-            for all_ids, all_vectors in _matrices(batch, scale):
-                d = all_vectors.shape[1]
-                cuts = [*range(DIMENSION_BLOCK, d, DIMENSION_BLOCK), d]
-                for at in range(0, len(all_ids), CANDIDATE_BLOCK):
-                    ids = all_ids[at:at + CANDIDATE_BLOCK]
-                    columns = np.ascontiguousarray(all_vectors[at:at + CANDIDATE_BLOCK].T)
-                    rest = _rest_lengths(columns, cuts)
-                    length = float(rest[0].max(initial=0)) if d else 0.0
-                    length = float(np.sqrt((columns * columns).sum(axis=0)).max(initial=length))
-                    for n in by_length.get(d, ()):
-                        q = q_vectors[n]
-                        if length * float(np.sqrt((q * q).sum())) >= _EXACT:
-                            raise ValueError("a score can exceed 2**53: scale the vectors down")
-                        floor = best[n][-1][0] if len(best[n]) == k else -np.inf
-                        score, where = _search(q, q_ids[n], columns, ids, rest, cuts, k, floor)
-                        if len(score) > k:
-                            top = np.lexsort((ids[where], -score))[:k]
-                            score, where = score[top], where[top]
-                        if len(score):
-                            found = best[n] + [(int(s), int(i)) for s, i in zip(score, ids[where])]
-                            best[n] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-        rows = [(int(q_ids[n]), i, s) for n, found in enumerate(best) for s, i in found]
-        columns = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
-                                         names=["query_id", "vec_id", "score"])
-    return run
+def _search_exactly(query: np.ndarray, own: int, columns: np.ndarray, ids: np.ndarray, k: int):
+    """The same in whole numbers of any size, for scores that a double does
+    not hold. Rounded scores with a bound of their error leave the rest out."""
+    with np.errstate(all="ignore"):
+        rough = query @ columns
+        slack = (np.abs(query) @ np.abs(columns)) * (2 * len(query) + 4) * 2.0 ** -52
+        sure, most = rough - slack, rough + slack
+    other = ids != own
+    if other.sum() > k and np.isfinite(sure).all() and np.isfinite(most).all():
+        other &= most >= np.sort(sure[other])[-k]
+    q = [int(x) for x in query]
+    exact = sorted((-sum(a * int(b) for a, b in zip(q, columns[:, j])), int(ids[j])) for j in np.flatnonzero(other))[:k]
+    return (np.array([min(max(-s, -_LONG - 1), _LONG) for s, _ in exact], np.int64),
+            np.array([i for _, i in exact], np.int64))
+
+
+class Block:
+    """Candidates of one length, column by column."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, d = ids, vectors.shape[1]
+        self.columns = np.ascontiguousarray(vectors.T)
+        self.cuts = [*range(DIMENSION_BLOCK, d, DIMENSION_BLOCK), d]
+        with np.errstate(over="ignore"):
+            self.rest = _rest_lengths(self.columns, self.cuts)
+            self.length = float(np.sqrt((self.columns * self.columns).sum(axis=0)).max(initial=0))
+
+    def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the ``k`` best, best first."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            small = self.length * float(np.sqrt((query * query).sum())) < _EXACT
+        if not small:
+            score, ids = _search_exactly(query, own, self.columns, self.ids, k)
+            return ids, score
+        score, where = _search(query, own, self.columns, self.ids, self.rest, self.cuts, k, -np.inf)
+        ids = self.ids[where]
+        top = np.lexsort((ids, -score))[:k]
+        return ids[top], score[top].astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0,
           id_col: str = "vec_id", vector_col: str = "embedding",
           query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows."""
-    spark = vectors.sparkSession
-    data = vectors.select(F.col(id_col).cast("long").alias("id"),
-                          F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"),
-                           F.col(vector_col).cast("array<double>").alias("v")) \
-        .filter("id IS NOT NULL AND v IS NOT NULL").distinct()
-    blocks = max(1, -(-asked.count() // query_block))
-    found = None
-    for b in range(blocks):
-        # about query_block rows by construction, the block is fixed in size
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        ids, vecs = [], []
-        for part in mine.combine_chunks().to_batches():
-            for i, m in _matrices(part, scale):
-                ids += i.tolist()
-                vecs += list(m)
-        if not ids:
-            continue
-        sent = spark.sparkContext.broadcast((ids, vecs))
-        part = data.mapInArrow(_searcher(sent, k, scale), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    """(query_id, rank, vec_id, score): each query's k best rows.
+    ``query_block`` queries at most are turned into whole numbers at once."""
+    def build(ids: np.ndarray, found: np.ndarray) -> Block:
+        return Block(ids, np.floor(scale * found))
+
+    def answer(block: Block, ids: list[int], asked: np.ndarray) -> Iterator[Answer]:
+        for at in range(0, len(ids), query_block):
+            whole = np.floor(scale * asked[at:at + query_block])
+            for own, query in zip(ids[at:at + query_block], whole):
+                yield own, *block.best(own, query, k)
+
+    data, asked = (valid_vectors(df, id_col, vector_col, scale) for df in (vectors, queries))
+    return best_of_blocks(data, asked, build, answer, k, "long", False, CANDIDATE_BLOCK)
