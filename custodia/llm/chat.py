@@ -13,13 +13,16 @@ then over these ranges), which splits a conversation with most of the rows.
 Defined cases: turns are in order of turn (NULL first), role and text, ties
 and repeated rows all stay; a NULL role is the participant ``unknown``; a
 NULL text is empty; a NULL conv_id is one conversation; a conversation with
-only system turns has no rendering; markers that occur inside a text or
-name are broken by a space; an empty table gives an empty result.
+only system turns has no rendering; markers that occur inside a text
+are broken by a space, in a name written in percent notation; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 256
@@ -27,6 +30,15 @@ _RANGE = 256
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
+def _name(role: Column) -> Column:
+    """Roles as names without white space or markers, one name per role."""
+    name = F.regexp_replace(role.cast("string"), "%", "%25")
+    for c in " \t\n\x0b\f\r":
+        name = F.regexp_replace(name, re.escape(c), f"%{ord(c):02X}")
+    name = F.regexp_replace(name, r"<\|", "%3C|")
+    return F.coalesce(F.when(name == "unknown", F.lit("%75nknown")).otherwise(name), F.lit("unknown"))
+
+
 def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Per conversation, speaker and part: conv_id, speaker, part, n_turns,
     text, spans (begin and end of what is trained on, in characters of the
@@ -34,7 +46,7 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     plain = lambda c, empty: F.regexp_replace(F.coalesce(c, F.lit(empty)), r"<\|", "< |")
     turns = conversations.select(
         F.col("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.regexp_replace(plain(F.col("role").cast("string"), "unknown"), r"\s+", "_").alias("role"),
+        _name(F.col("role")).alias("role"),
         plain(F.col("text").cast("string"), "").alias("text"),
         F.col("conv_id").isNull().alias("no_id"))
     turns = turns.withColumn("id", F.coalesce(F.col("conv_id"), F.lit(0).cast(conversations.schema["conv_id"].dataType)))
