@@ -631,15 +631,21 @@ def _rough_tables(spark, sf_dir):
             pp.where(ROUGH_PROFILES).withColumn("birthDate", F.expr(ROUGH_BIRTH)))
 
 
+def _nan_apart(export: DataFrame) -> DataFrame:
+    """NaN as a column of its own: it has no SQL text that compares equal."""
+    nan = F.isnan("fibrinogen_value")
+    return export.withColumns({"not_a_number": nan, "fibrinogen_value": F.when(~nan, F.col("fibrinogen_value"))})
+
+
 def q_rough_public_export(spark, sf_dir):
     bt, pp = _rough_tables(spark, sf_dir)
-    return public_export(bt, pp).drop("fibrinogen_value")
+    return _nan_apart(public_export(bt, pp))
 
 
 def q_rough_export_strict(spark, sf_dir):
     # a NULL id in the cohort: NOT IN holds for nobody
     bt, pp = _rough_tables(spark, sf_dir)
-    return public_export(bt, pp, null_ids="strict").drop("fibrinogen_value")
+    return _nan_apart(public_export(bt, pp, null_ids="strict"))
 
 
 def q_rough_not_in_strict(spark, sf_dir):
@@ -1092,9 +1098,11 @@ _ROUGH = _with(
     f"SELECT * REPLACE ({ROUGH_ID} AS patientId, {ROUGH_VALUE} AS fibrinogen_value) FROM even_tests",
     f"SELECT * REPLACE ({ROUGH_BIRTH} AS birthDate) FROM even_profiles WHERE {ROUGH_PROFILES}")
 _ROUGH_EXPORT = _export_sql(birth="CAST(year(try_cast(p.birthDate AS DATE)) AS INT)")
+_NAN_APART = ("SELECT * REPLACE (CASE WHEN NOT isnan(fibrinogen_value) THEN fibrinogen_value END AS fibrinogen_value), "
+              "coalesce(isnan(fibrinogen_value), FALSE) AS not_a_number FROM")
 _CHANGED |= {name: _ROUGH + sql for name, sql in {
-    "rough_public_export": f"SELECT * EXCLUDE (fibrinogen_value) FROM {_ROUGH_EXPORT} p",
-    "rough_export_strict": f"SELECT * EXCLUDE (fibrinogen_value) FROM {_ROUGH_EXPORT} p "
+    "rough_public_export": f"{_NAN_APART} {_ROUGH_EXPORT} p",
+    "rough_export_strict": f"{_NAN_APART} {_ROUGH_EXPORT} p "
                            f"WHERE stroke = 1 OR NOT EXISTS (SELECT 1 FROM {_IDS} i WHERE i.patientId IS NULL)",
     "rough_not_in_strict": f"SELECT count(*) AS n FROM blood_tests WHERE patientId NOT IN {_IDS}",
     "rough_generalise": "SELECT patientId, CAST(year(try_cast(birthDate AS DATE)) AS INT) AS birthDate "
