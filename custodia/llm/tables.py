@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.session import ensure_checkpoint_dir
+from custodia.sources.files import Folders
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``kept`` stores inside, once the block ends:
+    for callers that have written or collected their result by then."""
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        folders = Folders(spark)
+        for path in scopes.pop():
+            folders.delete(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder.
 
     Later jobs neither repeat its work nor depend on one executor, and plan
     with its real size (a checkpoint keeps the estimates of the plan before
-    it, which multiply from join to join). The files stay in the folder that
+    it, which multiply from join to join). Inside ``removed_after`` the files
+    go at its end; otherwise they stay in the folder that
     ``spark.checkpoint.dir`` names until its owner clears it.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    if getattr(_SCOPES, "open", None):
+        _SCOPES.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -72,3 +72,25 @@ def test_long_conversations_are_whole(spark):
         assert text == "".join(f"<|im_start|>{'assistant' if f'p{k % 3}' == speaker else f'user name=p{k % 3}'}\nt{k}<|im_end|>\n"
                                for k in range(1500))
         assert sum(len(p.spans) for p in parts) == 500
+
+
+def test_tables_kept_on_the_way_are_removed(spark, tmp_path):
+    import os
+
+    from custodia.llm.tables import kept, removed_after
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    stays = kept(spark.range(2))
+    with removed_after(spark):
+        a = kept(spark.range(3))
+        with removed_after(spark):
+            b = kept(a.union(stays))
+            assert b.count() == 5
+        a.write.parquet(f"{tmp_path}/out")
+    with pytest.raises(ValueError):
+        with removed_after(spark):
+            kept(spark.range(4))
+            raise ValueError
+    assert len(set(os.listdir(folder)) - before) == 1 and stays.count() == 2
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
