@@ -26,7 +26,7 @@ from custodia.llm.jaccard_join import one_per_component
 from custodia.llm.language_id import identified_only
 from custodia.llm.line_dedup import dedup_lines
 from custodia.llm.mixing import mix_sources
-from custodia.llm.tables import table
+from custodia.llm.tables import removed_after, table
 from custodia.session import ensure_checkpoint_dir
 
 
@@ -65,11 +65,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared checkpoint
-    folder and read again."""
+    folder and read again; what it has stored on the way is then removed."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with removed_after(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs
