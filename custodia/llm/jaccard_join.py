@@ -4,16 +4,18 @@ A document is the set of its distinct five-word shingles. Equal sets form
 one class. A class sends the tokens of its prefix, in an order that puts
 tokens seen often last, to the index lists of these tokens; two classes
 that are similar enough share such a token. Entries carry set size and
-position, and whole blocks of a list are skipped by them: a set meets only
-the blocks of sizes it can match, and the smaller set of a pair must hold
-the token within the first ninth of its order.
-
-Relations between sets save most of the work. First every class is compared
-with the neighbour or leader that it shares most list entries with. What is
-similar forms groups. The remaining answers derive from these: a
-pair inside a group adds no new component, so only pairs across groups are
-formed and compared. No link between different texts that would join two
-components is lost, and groups of near copies are not expanded into pairs.
+position. Lists are keyed by blocks of sizes, so a set meets only the sizes
+it can match; position is tested entry by entry inside a block (the smaller
+set of a pair must hold the token within the first ninth of its order): no
+block is skipped by position.
+
+Relations between sets save work, but no set's answers are derived from
+another's. First every class is compared with the neighbour or leader that it
+shares most list entries with. What is similar forms groups. A pair inside a
+group adds no new component, so only pairs across groups are formed and
+compared; every member still probes its lists. No link between different texts
+that would join two components is lost, and groups of near copies are not
+expanded into pairs.
 
 Defined cases: NULL text, empty text and text without words have an empty
 set and are linked with nothing; a text of fewer than five words is one
