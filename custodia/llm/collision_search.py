@@ -40,6 +40,8 @@ PROJECTIONS = 64
 THRESHOLD = 44
 WINDOW = 1.4
 GROWTH = 1.2
+#: Growth while there are not as many verified vectors as asked for.
+LEAP = 2.0
 
 
 def directions(length: int, seed: int) -> np.ndarray:
@@ -90,7 +92,8 @@ class Block:
                 ids, dist = ids[best], dist[best]
             if whole or len(ids) >= want and np.partition(dist, want - 1)[want - 1] <= radius * self.unit:
                 break
-            radius *= GROWTH
+            # far below the first answers wide steps cost nothing but verifications
+            radius *= GROWTH if len(ids) >= want else LEAP
         best = np.lexsort((ids, dist))[:k]
         return ids[best], dist[best]
 
