@@ -13,8 +13,8 @@ decide this: lines without an earlier undecided neighbour stay, their
 neighbours go. Once few links are left, the driver goes through them in order.
 
 Only hashes, never whole texts, are grouped: a line that most documents
-hold is aggregated before the shuffle, and segment lists with one line are
-left out before pairs are formed. Inside a list, sketches of the letters and
+hold is aggregated before the shuffle or counted by window, and segment
+lists with one line are left out before pairs are formed. Inside a list, sketches of the letters and
 of the pairs of letters rule out nearly all pairs that are not near.
 
 Defined cases: lines are compared without white space around them; blank
@@ -31,7 +31,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia.llm import line_keys
@@ -43,7 +43,7 @@ MIN_CHARS = 20
 #: Links that the driver decides at once; more are decided in rounds.
 LOCAL_LINKS = 1 << 18
 #: Columns of a line's sketches: letters and length, pairs of letters.
-SKETCH = ("letters", "pairs0", "pairs1", "pairs2", "pairs3")
+SKETCH = ("letters", "pairs")
 
 
 def _hashes(line: str) -> tuple[int, int]:
@@ -96,9 +96,9 @@ def _by_length(batch: pa.RecordBatch, min_chars: int) -> dict[int, list[str]]:
     return {n: list(lines) for n, lines in found.items()}
 
 
-def _keys(edits: int, min_chars: int, whole: bool) -> Callable:
-    """Per line and place (key, lo), and if ``whole`` own and the sketches."""
-    names = ["key", "lo", *(["own", *SKETCH] if whole else [])]
+def _keys(edits: int, min_chars: int) -> Callable:
+    """Per line and place: key, lo, own and the sketches."""
+    names = ["key", "lo", "own", *SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -109,9 +109,8 @@ def _keys(edits: int, min_chars: int, whole: bool) -> Callable:
                     codes = line_keys.codes_of(some, n)
                     keys, own = line_keys.segment_hashes(codes, edits)
                     each = keys.shape[1]
-                    columns = [keys.ravel(), np.repeat([_hashes(x)[0] for x in some], each)]
-                    if whole:
-                        columns += [np.tile(own, len(some)), *(np.repeat(c, each) for c in line_keys.sketches(codes).T)]
+                    columns = [keys.ravel(), np.repeat([_hashes(x)[0] for x in some], each), np.tile(own, len(some)),
+                               *(np.repeat(c, each) for c in line_keys.sketches(codes).T)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
     return run
 
@@ -145,15 +144,11 @@ def line_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     each pair once, with their places in their first documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .filter("doc_id IS NOT NULL")
-    lines_of = texts.select("text")
-    # a list matters if it holds two different lines; a common line counts
-    # once per task here, and no list is ever gathered
-    shared = (lines_of.mapInArrow(_keys(edits, min_chars, False), "key long, lo long")
-              .groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most"))
-              .filter("least <> most").select("key"))
     columns = ", ".join(f"{c} long" for c in SKETCH)
-    lists = kept(lines_of.mapInArrow(_keys(edits, min_chars, True), f"key long, lo long, own boolean, {columns}")
-                 .join(shared, "key").groupBy("key", "lo", *SKETCH).agg(F.max("own").alias("own")))
+    keys = texts.select("text").mapInArrow(_keys(edits, min_chars), f"key long, lo long, own boolean, {columns}")
+    whole = Window.partitionBy("key")
+    lists = kept(keys.withColumn("least", F.min("lo").over(whole)).withColumn("most", F.max("lo").over(whole))
+                 .filter("least <> most").groupBy("key", "lo", *SKETCH).agg(F.max("own").alias("own")))
     left, right = lists.filter("own").alias("l"), lists.alias("r")
 
     def changed(some: tuple[str, ...], mask: int):

@@ -15,7 +15,7 @@ import numpy as np
 #: Cells of one matrix of code points.
 CELLS = 1 << 20
 #: Bits of the sketch of letter pairs; an edit changes at most four of them.
-PAIR_BITS = 256
+PAIR_BITS = 64
 PAIR_CHANGES = 4
 LETTER_BITS = 56
 LETTER_CHANGES = 2
@@ -88,8 +88,8 @@ def _odd(where: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketches(codes: np.ndarray) -> np.ndarray:
-    """Per line five integers: the letters (by code modulo 56) that occur an
-    odd number of times with the length modulo 128 above them, and 256 bits
+    """Per line two integers: the letters (by code modulo 56) that occur an
+    odd number of times with the length modulo 128 above them, and 64 bits
     of the pairs of letters that do."""
     m, n = codes.shape
     letters = np.zeros((m, 8), np.uint8)
