@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia.llm.components import components
-from custodia.llm.tables import kept, most_frequent
+from custodia.llm.tables import kept, most_frequent, removed_after
 from custodia.llm.words import Words, batch_words, blank_separated, mix
 
 SHINGLE = 5
@@ -209,24 +209,26 @@ def _paired(pairs: DataFrame, values: DataFrame, test: Callable) -> DataFrame:
     """The pairs (a, b) whose ``values`` (set, value) pass a test."""
     left = values.select(F.col("set").alias("a"), F.col("value").alias("x"))
     right = values.select(F.col("set").alias("b"), F.col("value").alias("y"))
-    return kept(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                .mapInArrow(test, "a long, b long").distinct())
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+            .mapInArrow(test, "a long, b long").distinct())
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Of the pairs (a, b) of classes, those that are similar. Sketches rule
     most others out; then whole sets are compared, which come from one text
     of each class that is left."""
-    first = documents.filter("doc_id IS NOT NULL AND n > 0").groupBy("set", "check").agg(F.min("doc_id").alias("doc_id"))
-    both = lambda p: p.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    members = kept(both(pairs).join(first, "set").select("set", "doc_id"))
-    sketches = documents.join(members, ["doc_id", "set"]).select("set", F.col("sketch").alias("value"))
-    likely = _paired(pairs, sketches, _likely)
-    wanted = kept(both(likely).join(members, "set").select("doc_id", F.col("set").alias("wanted")))
-    sets = kept(texts.join(wanted, "doc_id").select("text", "wanted")
-                .mapInArrow(_full_sets(shingle), "set long, value binary, wanted long")
-                .filter(F.col("set") == F.col("wanted")).select("set", "value"))
-    return _paired(likely, sets, _similar)
+    with removed_after(documents.sparkSession) as stays:
+        first = (documents.filter("doc_id IS NOT NULL AND n > 0").groupBy("set", "check")
+                 .agg(F.min("doc_id").alias("doc_id")))
+        both = lambda p: p.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        members = kept(both(pairs).join(first, "set").select("set", "doc_id"))
+        sketches = documents.join(members, ["doc_id", "set"]).select("set", F.col("sketch").alias("value"))
+        likely = kept(_paired(pairs, sketches, _likely))
+        wanted = kept(both(likely).join(members, "set").select("doc_id", F.col("set").alias("wanted")))
+        sets = kept(texts.join(wanted, "doc_id").select("text", "wanted")
+                    .mapInArrow(_full_sets(shingle), "set long, value binary, wanted long")
+                    .filter(F.col("set") == F.col("wanted")).select("set", "value"))
+        return stays(_paired(likely, sets, _similar))
 
 
 def _possible(n, pos, other_n, other_pos):
@@ -264,15 +266,16 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
     here = F.struct("set", "n", "pos")
     lists = (entries.withColumn("before", F.lag(here).over(by_size))
              .withColumn("after", F.lead("n").over(by_size)))
-    lists = kept(lists.filter((F.col("before.n") * 5 >= F.col("n") * 4) | (F.col("after") * 4 <= F.col("n") * 5)))
+    whole = Window.partitionBy("token")
+    lists = kept(lists.filter((F.col("before.n") * 5 >= F.col("n") * 4) | (F.col("after") * 4 <= F.col("n") * 5))
+                 .withColumn("size", F.count(F.lit(1)).over(whole)))
 
     # each class with the neighbour and with the leader that it shares most
     # entries with; leaders are the classes whose entries are in long lists
-    fame = (lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token")))
-            .groupBy("set").agg((F.sum("size") / F.max("n")).alias("fame")))
-    known = lists.join(fame, "set")
+    fame = lists.groupBy("set").agg((F.sum("size") / F.max("n")).alias("fame"))
+    known = lists.drop("size").join(fame, "set")
     one = F.struct("fame", "set", "n", "pos")
-    known = known.withColumn("leader", F.max(one).over(Window.partitionBy("token")))
+    known = known.withColumn("leader", F.max(one).over(whole))
     offers = (known.select("set", "n", "pos", F.explode(F.array(
                   F.struct(F.lit(0).alias("kind"), F.col("before.set").alias("set"),
                            F.col("before.n").alias("n"), F.col("before.pos").alias("pos")),
@@ -294,7 +297,6 @@ def links_and_sets(docs: DataFrame, shingle: int = SHINGLE,
     grouped = (lists.select("token", "set", "n", "pos")
                .join(groups.select(F.col("node").alias("set"), "label"), "set", "left")
                .withColumn("group", F.coalesce("label", "set")).drop("label"))
-    whole = Window.partitionBy("token")
     grouped = kept(grouped.withColumn("lo", F.min("group").over(whole)).withColumn("hi", F.max("group").over(whole))
                    .filter("lo <> hi").drop("lo", "hi").join(bits, "set")
                    .withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SCOPES = threading.local()
 
 
+#: Spark removes a write's shuffle files as it ends, not when the driver
+#: next collects its garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
-def removed_after(spark: SparkSession) -> Iterator[None]:
+def removed_after(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Removes the tables that ``kept`` stores inside, once the block ends:
-    for callers that have written or collected their result by then."""
+    for callers that have written or collected their result by then. The
+    block gets a form of ``kept`` whose tables outlast it: they are left to
+    the block around it, if there is one."""
     scopes = _SCOPES.__dict__.setdefault("open", [])
+    outer = scopes[-1] if scopes else []
     scopes.append([])
     try:
-        yield
+        yield lambda df: _stored(df, outer)
     finally:
         folders = Folders(spark)
         for path in scopes.pop():
@@ -40,15 +48,27 @@ def kept(df: DataFrame) -> DataFrame:
 
     Later jobs neither repeat its work nor depend on one executor, and plan
     with its real size (a checkpoint keeps the estimates of the plan before
-    it, which multiply from join to join). Inside ``removed_after`` the files
-    go at its end; otherwise they stay in the folder that
-    ``spark.checkpoint.dir`` names until its owner clears it.
+    it, which multiply from join to join). Its shuffle files go at once.
+    Inside ``removed_after`` the files go at its end; otherwise they stay in
+    the folder that ``spark.checkpoint.dir`` names until its owner clears it.
     """
+    scopes = getattr(_SCOPES, "open", None)
+    return _stored(df, scopes[-1] if scopes else [])
+
+
+def _stored(df: DataFrame, paths: list[str]) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
-    if getattr(_SCOPES, "open", None):
-        _SCOPES.open[-1].append(path)
-    df.write.parquet(path)
+    paths.append(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
